@@ -31,6 +31,12 @@ def latitude(key: str) -> Column:
     return F.lit(12.90) + ((F.col(key) * 104729) % 3500) / F.lit(10000.0)
 
 
+def planar(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {"x": (F.col("longitude") - 80.0) * 108000.0, "y": (F.col("latitude") - 12.0) * 110600.0}
+    )
+
+
 class World:
     """Lazily built DataFrames over one data directory."""
 
@@ -104,6 +110,37 @@ class World:
             )
         )
 
+    # places ---------------------------------------------------------------
+    @cached_property
+    def bins_xy(self) -> DataFrame:
+        """Bins with planar metre coordinates (a local equirectangular plane)."""
+        return planar(self.dim_bin)
+
+    @cached_property
+    def pois_xy(self) -> DataFrame:
+        """Points of interest: one per customer, typed by market segment."""
+        key = self.table("customer").select(
+            F.col("c_custkey").alias("poi_id"),
+            F.lower("c_mktsegment").alias("poi_type"),
+            (F.col("c_custkey") * 3 + 1).alias("__k"),
+        )
+        return planar(
+            key.select("poi_id", "poi_type", longitude("__k").alias("longitude"), latitude("__k").alias("latitude"))
+        )
+
+    @cached_property
+    def zone_rings(self) -> DataFrame:
+        """Zone rectangles as closed rings."""
+        corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+        ring = F.array(
+            corner("min_lon", "min_lat"),
+            corner("max_lon", "min_lat"),
+            corner("max_lon", "max_lat"),
+            corner("min_lon", "max_lat"),
+            corner("min_lon", "min_lat"),
+        )
+        return self.dim_zone.select("zone_id", "city_id", F.array(ring).alias("rings"))
+
     # facts ----------------------------------------------------------------
     @cached_property
     def interim(self) -> DataFrame:

@@ -171,3 +171,15 @@ cte(
              FROM slot_city GROUP BY ALL) o
        ON d.city_id = o.city_id AND d.service_date_local = o.service_date_local""",
 )
+
+cte(
+    "bin_xy",
+    "SELECT *, (longitude - 80.0) * 108000.0 AS x, (latitude - 12.0) * 110600.0 AS y FROM bin_dim",
+)
+cte(
+    "poi_xy",
+    """SELECT *, (longitude - 80.0) * 108000.0 AS x, (latitude - 12.0) * 110600.0 AS y FROM (
+         SELECT c_custkey AS poi_id, lower(c_mktsegment) AS poi_type,
+                80.15 + CAST(((c_custkey * 3 + 1) * 7919) % 2300 AS DOUBLE) / 10000.0 AS longitude,
+                12.90 + CAST(((c_custkey * 3 + 1) * 104729) % 3500 AS DOUBLE) / 10000.0 AS latitude FROM customer)""",
+)

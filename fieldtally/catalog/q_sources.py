@@ -188,6 +188,7 @@ def _(w):
 
 @query("A9", RING_SQL, "min_lon min_lat max_lon max_lat")
 def _(w):
+    """The zone table (25 rows by construction) is one KML document."""
     path = scratch_path(w.spark, "zones-kml")
     fix = lambda c: F.format_string("%.6f", F.col(c))
     pair = lambda lon, lat: F.concat(fix(lon), F.lit(","), fix(lat), F.lit(",0"))
@@ -210,7 +211,9 @@ def _(w):
         coords,
         F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"),
     )
-    w.dim_zone.select(placemark.alias("value")).write.text(path)
+    body = F.concat_ws("", F.collect_list(placemark))
+    document = F.concat(F.lit("<kml><Document>"), body, F.lit("</Document></kml>"))
+    w.dim_zone.agg(document.alias("value")).write.text(path)
     rows = files.read_kml(w.spark, path)
     return ring_bounds(
         rows.select(

@@ -167,20 +167,18 @@ def parse_coords(text) -> Column:
 def normal_two_sided_p(z) -> Column:
     """Two-sided normal tail probability, accurate in the far tail.
 
-    Spark SQL has no erfc.  The tail integral is evaluated as a continued
-    fraction for |z| >= 2 and as the alternating series of erf below; both are
-    plain column arithmetic, used on one row per test.
+    Spark SQL has no erfc.  The tail integral is a continued fraction for
+    |z| >= 2 and the series of erf below, each as a fold over a short sequence.
     """
-    a = F.abs(col(z))
-    depth = 60
-    frac = a
-    for k in range(depth, 0, -1):
-        frac = a + F.lit(float(k)) / frac
+    a = F.abs(col(z)).cast("double")
     density = F.exp(-a * a / 2) / F.lit(2.5066282746310002)
-    tail = 2 * density / frac
-    term, total = a, a
-    for k in range(1, 40):
-        term = term * a * a / F.lit(float(2 * k + 1))
-        total = total + term
-    near = 1 - 2 * density * total
-    return F.when(a.isNull(), F.lit(None).cast("double")).when(a >= 2, tail).otherwise(near)
+    levels = F.sequence(F.lit(60), F.lit(1), F.lit(-1))
+    far = 2 * density / F.aggregate(levels, a, lambda acc, k: a + k.cast("double") / acc)
+    start = F.struct(a.alias("term"), a.alias("total"))
+
+    def add(acc, k):
+        term = acc["term"] * a * a / (2 * k + 1).cast("double")
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    near = 1 - 2 * density * F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, add)["total"]
+    return F.when(a >= 2, far).when(a < 2, near)
