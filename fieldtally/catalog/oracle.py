@@ -39,7 +39,7 @@ def with_ctes(body: str, doubles: tuple[str, ...] = (), digits: int = 6) -> str:
         place(name)
     parts = [f"{n} AS ({CTES[n]})" for n in ranked] + [f"answer AS ({body.strip()})"]
     if doubles:
-        fixed = ", ".join(f"ROUND({c}, {digits}) + 0.0 AS {c}" for c in doubles)
+        fixed = ", ".join(f"ROUND(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles)
         tail = f"SELECT * REPLACE ({fixed}) FROM answer"
     else:
         tail = "SELECT * FROM answer"
@@ -58,9 +58,9 @@ cte(
        r_name || ':' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS zone_key,
        n_name AS admin_zone_name, 'v1' AS boundary_version, 'SRC_NATION' AS source_id,
        'derived' AS data_origin,
-       80.15 + 0.046 * (n_nationkey % 5) AS min_lon, 12.90 + 0.07 * (n_nationkey // 5) AS min_lat,
-       80.15 + 0.046 * (n_nationkey % 5) + 0.046 AS max_lon,
-       12.90 + 0.07 * (n_nationkey // 5) + 0.07 AS max_lat
+       80.14995 + 0.046 * (n_nationkey % 5) AS min_lon, 12.89995 + 0.07 * (n_nationkey // 5) AS min_lat,
+       80.14995 + 0.046 * (n_nationkey % 5) + 0.046 AS max_lon,
+       12.89995 + 0.07 * (n_nationkey // 5) + 0.07 AS max_lat
        FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
 cte(

@@ -8,6 +8,7 @@ from fieldtally.catalog.q_aggregates import HAVERSINE_SQL
 from fieldtally.catalog.registry import query
 from fieldtally.operators import spatial as sp
 from fieldtally.operators.ordering import exact_quantiles
+from fieldtally.session import cut_lineage
 
 CENTER = (80.2707, 13.0827)
 
@@ -27,12 +28,12 @@ def _(w):
 
 # Krueger's series in n = f / (2 - f): an independent form of the projection
 UTM_SQL = """SELECT bin_id,
-       500000 + 0.9996 * 6367449.145823415 * (e + 8.377318206244698e-4 * cos(2 * z) * sinh(2 * e)
+       500000 + 0.9996e0 * 6.367449145823415e6 * (e + 8.377318206244698e-4 * cos(2 * z) * sinh(2 * e)
          + 7.608527773572307e-7 * cos(4 * z) * sinh(4 * e) + 1.197645503329453e-9 * cos(6 * z) * sinh(6 * e)) AS easting,
-       0.9996 * 6367449.145823415 * (z + 8.377318206244698e-4 * sin(2 * z) * cosh(2 * e)
+       0.9996e0 * 6.367449145823415e6 * (z + 8.377318206244698e-4 * sin(2 * z) * cosh(2 * e)
          + 7.608527773572307e-7 * sin(4 * z) * cosh(4 * e) + 1.197645503329453e-9 * sin(6 * z) * cosh(6 * e)) AS northing
        FROM (SELECT bin_id, atan2(t, cos(l)) AS z, atanh(sin(l) / sqrt(1 + t * t)) AS e
-             FROM (SELECT bin_id, l, sinh(atanh(sin(p)) - 0.08181919084262149 * atanh(0.08181919084262149 * sin(p))) AS t
+             FROM (SELECT bin_id, l, sinh(atanh(sin(p)) - 8.181919084262149e-2 * atanh(8.181919084262149e-2 * sin(p))) AS t
                    FROM (SELECT bin_id, radians(latitude) AS p, radians(longitude - 81) AS l FROM bin_dim)))"""
 
 
@@ -134,7 +135,7 @@ def _(w):
 )
 def _(w):
     """Access within 400 m of a mapped place; the pilot is the 60 nearest accessible bins."""
-    snapped = sp.nearest(w.bins_xy, w.pois_xy, "poi_id", distance="snap_m", target="node_id")
+    snapped = cut_lineage(sp.nearest(w.bins_xy, w.pois_xy, "poi_id", distance="snap_m", target="node_id"))
     flagged = sp.flag_access(snapped, "snap_m", 400)
     pilot = sp.k_nearest_to(flagged.where("network_accessible"), *CENTER, 60, "bin_id").select(
         "bin_id", F.lit(True).alias("in_routing_pilot")
@@ -154,7 +155,7 @@ def _(w):
     digits=3,
 )
 def _(w):
-    near = sp.nearest(w.pois_xy, w.bins_xy, "bin_id")
+    near = cut_lineage(sp.nearest(w.pois_xy, w.bins_xy, "bin_id").select("poi_id", "nearest_m"))
     shares = sp.coverage_kpis(near).withColumn("__one", F.lit(1))
     quants = exact_quantiles(near, [], "nearest_m", {"median_nearest_m": 0.5, "p95_nearest_m": 0.95})
     return shares.join(quants.withColumn("__one", F.lit(1)), "__one").drop("__one")

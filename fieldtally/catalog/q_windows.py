@@ -150,13 +150,13 @@ def _(w):
     return w.bin_day.select("bin_id", "service_date_local", win.ffill("mean_observed_fill_pct", wd).alias("filled"))
 
 
-# ewm as a weighted sum: value j rows back weighs a*(1-a)^j, the first one (1-a)^j, each gap renormalised stepwise
+# each day refolds the 150 days before it: older values weigh less than 1e-18
 @query(
     "E11",
     """SELECT bin_id, service_date_local, CASE WHEN n >= 3 THEN w END AS ewm_fill FROM (
          SELECT bin_id, service_date_local, unnest(st, recursive := true) FROM (
            SELECT bin_id, unnest(list_zip(ds, states)) AS z, z[1] AS service_date_local, z[2] AS st FROM (
-             SELECT bin_id, ds, list_transform(range(1, len(xs) + 1), lambda i: list_reduce(xs[greatest(1, i - 60):i],
+             SELECT bin_id, ds, list_transform(range(1, len(xs) + 1), lambda i: list_reduce(xs[greatest(1, i - 150):i],
                       lambda acc, x: {'w': CASE WHEN x.w IS NULL THEN acc.w WHEN acc.w IS NULL THEN x.w
                                                ELSE (acc.w * acc.d * 0.75 + x.w * 0.25) / (acc.d * 0.75 + 0.25) END,
                                       'n': acc.n + x.n,
@@ -166,7 +166,6 @@ def _(w):
                           list({'w': mean_observed_fill_pct, 'n': CAST(mean_observed_fill_pct IS NOT NULL AS INTEGER),
                                 'd': CAST(1.0 AS DOUBLE)} ORDER BY service_date_local) AS xs FROM binday GROUP BY 1))))""",
     "ewm_fill",
-    digits=4,
 )
 def _(w):
     frame = w.bin_day.select("bin_id", "service_date_local", "mean_observed_fill_pct")

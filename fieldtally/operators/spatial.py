@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldtally.functions.expressions import choose, col
+from fieldtally.session import cut_lineage
 from fieldtally.settings import EARTH_RADIUS_M, MAX_SNAP_M
 
 FAN = 4  # children per axis of one cell
@@ -102,21 +103,26 @@ class Pyramid:
     items: DataFrame
 
 
-def build_pyramid(items: DataFrame, depth: int, leaf_side: float | None = None) -> Pyramid:
+def build_pyramid(items: DataFrame, leaf_side: float | None = None, max_depth: int = 12) -> Pyramid:
     """Cells over items with bounds x0, y0, x1, y1 and weight n, keyed by their midpoints.
 
-    Only four numbers (the extent) come to the driver.  Finer levels roll up
-    into coarser ones, so items are aggregated once.
+    Only the extent and the item count come to the driver; they set the depth so
+    that a leaf holds about one item, or is as small as ``leaf_side``.  Items
+    are stored once, and finer levels roll up into coarser ones.
     """
+    items = cut_lineage(items)
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     box = items.agg(
-        F.min(mx).alias("a"), F.min(my).alias("b"), F.max(mx).alias("c"), F.max(my).alias("d")
+        F.min(mx).alias("a"), F.min(my).alias("b"), F.max(mx).alias("c"), F.max(my).alias("d"),
+        F.count(F.lit(1)).alias("items"),
     ).first()
     if box["a"] is None:
         raise ValueError("no targets to search")
     side = max(box["c"] - box["a"], box["d"] - box["b"]) * (1 + 1e-9) or 1.0
+    depth = math.ceil(math.log(math.sqrt(box["items"]), FAN)) + 1
     if leaf_side is not None:
-        depth = max(1, min(depth, math.ceil(math.log(side / leaf_side, FAN)) if side > leaf_side else 1))
+        depth = math.ceil(math.log(max(side / leaf_side, 1.0), FAN))
+    depth = max(1, min(depth, max_depth))
     leaf = side / FAN**depth
     keyed = items.select(
         "*",
@@ -212,11 +218,11 @@ def _back(points: DataFrame, found: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def nearest(
-    points: DataFrame, targets: DataFrame, tid: str, x: str = "x", y: str = "y", depth: int = 6,
+    points: DataFrame, targets: DataFrame, tid: str, x: str = "x", y: str = "y",
     distance: str = "nearest_m", target: str = "nearest_id",
 ) -> DataFrame:
     """Nearest target of every point (planar metres); the smaller id wins a tie."""
-    tree = build_pyramid(_as_items(targets, tid, x, y), depth)
+    tree = build_pyramid(_as_items(targets, tid, x, y))
     cells = _descend_nearest(_places(points, x, y), tree, False)
     leaf = tree.items.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), "x0", "y0", "id_lo")
     d = F.sqrt(F.pow(F.col("px") - F.col("x0"), 2) + F.pow(F.col("py") - F.col("y0"), 2))
@@ -230,11 +236,11 @@ def nearest(
 
 
 def nearest_other(
-    points: DataFrame, pid: str, x: str = "x", y: str = "y", depth: int = 6, distance: str = "nearest_other_m"
+    points: DataFrame, pid: str, x: str = "x", y: str = "y", distance: str = "nearest_other_m"
 ) -> DataFrame:
     """Distance of every point to the nearest other point of the same table."""
     items = _as_items(points, pid, x, y)
-    tree = build_pyramid(items, depth)
+    tree = build_pyramid(items)
     cells = _descend_nearest(_places(points, x, y), tree, True)
     leaf = tree.items.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), "x0", "y0", "n")
     same = (F.col("px") == F.col("x0")) & (F.col("py") == F.col("y0"))
@@ -250,7 +256,6 @@ def nearest_other(
 
 def count_within(
     points: DataFrame, targets: DataFrame, radius: float, x: str = "x", y: str = "y", name: str = "within",
-    depth: int = 8,
 ) -> DataFrame:
     """Number of targets within ``radius`` of every point.
 
@@ -262,7 +267,7 @@ def count_within(
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumns({"x1": F.col("x0"), "y1": F.col("y0")})
     )
-    tree = build_pyramid(items, depth, leaf_side=radius / 16)
+    tree = build_pyramid(items, leaf_side=radius / 16)
     open_cells = _start(_places(points, x, y))
     totals = None
     for i, cells in enumerate(tree.levels, 1):
@@ -444,7 +449,7 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
 
 def nearest_polygon_m(
     points: DataFrame, polygons: DataFrame, zone: str = "zone_id", x: str = "x", y: str = "y", cell: float = 2000.0,
-    depth: int = 6, name: str = "nearest_polygon_m",
+    name: str = "nearest_polygon_m",
 ) -> DataFrame:
     """Distance to the nearest polygon (planar rings), 0 on or inside one."""
     edges = polygons.select(F.explode(ring_edges("rings")).alias("e")).select("e.*")
@@ -459,7 +464,7 @@ def nearest_polygon_m(
         F.col("y2").alias("by"),
         F.lit(1).alias("n"),
     ).withColumnsRenamed({"x9": "x1", "y9": "y1"})
-    tree = build_pyramid(items, depth)
+    tree = build_pyramid(items)
     cells = _descend_nearest(_places(points, x, y), tree, False)
     leaf = tree.items.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), "ax", "ay", "bx", "by")
     border = (
