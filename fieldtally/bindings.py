@@ -11,12 +11,16 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fieldtally.functions.expressions import choose, global_key
-from fieldtally.plans import marts
+from fieldtally.functions.expressions import choose, global_key, to_local
+from fieldtally.plans import forecast, marts, priority
 from fieldtally.schemas import INPUT
+from fieldtally.session import cut_lineage
 from fieldtally.settings import KG_PER_LITRE
 
 CAPACITY_L = 50
+# the event stream covers January 2024
+EVENT_CALENDAR = forecast.Calendar("2024-01-08", "2024-01-15", "2024-01-20", "2024-01-30")
+ISSUE_DATE = "2024-01-25"
 
 
 def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -251,3 +255,92 @@ class World:
     @cached_property
     def city_day(self) -> DataFrame:
         return marts.city_daily(self.obs_city, self.truth_city, self.bin_day)
+
+    # event stream as readings of customer bins ------------------------------
+    @cached_property
+    def tod_bins(self) -> DataFrame:
+        """One bin per customer, with access and pilot flags derived from its key."""
+        zones = self.dim_zone.select("zone_id", "city_id", "zone_key")
+        key = F.col("c_custkey")
+        return (
+            self.table("customer")
+            .withColumn("zone_id", F.lpad(F.col("c_nationkey").cast("string"), 3, "0"))
+            .join(F.broadcast(zones), "zone_id")
+            .select(
+                key.alias("bin_id"),
+                "zone_id",
+                "zone_key",
+                "city_id",
+                global_key("city_id", key).alias("bin_key"),
+                choose([(key % 3 == 0, F.lit(240)), (key % 3 == 1, F.lit(660))], F.lit(1100)).alias("capacity_l"),
+                (key % 7 != 0).alias("network_accessible"),
+                ((key % 7 != 0) & (key % 2 == 0)).alias("in_routing_pilot"),
+            )
+        )
+
+    @cached_property
+    def tod(self) -> DataFrame:
+        """Events as readings in three slots before the issue hour (04, 06 and 07 local)."""
+        local = to_local("ts")
+        hour = F.hour(local)
+        slot = choose([(hour < 10, F.lit(4)), (hour < 17, F.lit(6))], F.lit(7))
+        k = F.get_json_object("props", "$.k").cast("int")
+        midnight = local.cast("date").cast("timestamp_ntz") - F.expr("INTERVAL '05:30' HOUR TO MINUTE")
+        kind = F.col("event_type")
+        return self.table("events").select(
+            F.col("event_id").alias("reading_id"),
+            F.col("user_id").alias("bin_id"),
+            (
+                midnight
+                + F.make_dt_interval(hours=slot, secs=((F.col("event_id") % 3600000) / F.lit(1000.0)).cast("decimal(18,6)"))
+            ).alias("timestamp_utc"),
+            local.cast("date").alias("service_date_local"),
+            F.when(kind != "error", F.least(F.lit(100.0), F.col("value"))).alias("fill_level_pct"),
+            choose([(kind == "error", F.lit("missing")), (kind == "signup", F.lit("stuck"))], F.lit("ok")).alias(
+                "sensor_status"
+            ),
+            choose(
+                [
+                    (kind != "purchase", F.lit("none")),
+                    (k % 25 == 0, F.lit("missed")),
+                    (k % 10 == 0, F.lit("partial")),
+                ],
+                F.lit("collected"),
+            ).alias("collection_status"),
+        )
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return forecast.feature_frame(self.tod, self.tod_bins, EVENT_CALENDAR)
+
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        return cut_lineage(self.features)
+
+    @cached_property
+    def simple_forecast(self):
+        """Evaluation of the baselines alone."""
+        return forecast.run(self.stored_features, EVENT_CALENDAR, ridge=False)
+
+    @cached_property
+    def ridge_forecast(self):
+        return forecast.run(self.stored_features, EVENT_CALENDAR, ridge=True)
+
+    @cached_property
+    def forecast_evaluation(self) -> DataFrame:
+        return self.simple_forecast[2]
+
+    @cached_property
+    def dispatch(self) -> DataFrame:
+        """Dispatch snapshot with access flags."""
+        _, _, _, selected, widths = self.simple_forecast
+        rows = forecast.dispatch_rows(self.stored_features, ISSUE_DATE, selected, widths)
+        return rows.join(self.tod_bins.select("bin_id", "network_accessible", "in_routing_pilot"), "bin_id")
+
+    @cached_property
+    def stored_dispatch(self) -> DataFrame:
+        return cut_lineage(self.dispatch)
+
+    @cached_property
+    def priority(self) -> DataFrame:
+        return priority.prioritize(self.stored_dispatch)

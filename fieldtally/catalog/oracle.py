@@ -183,3 +183,138 @@ cte(
                 80.15 + CAST(((c_custkey * 3 + 1) * 7919) % 2300 AS DOUBLE) / 10000.0 AS longitude,
                 12.90 + CAST(((c_custkey * 3 + 1) * 104729) % 3500 AS DOUBLE) / 10000.0 AS latitude FROM customer)""",
 )
+
+cte(
+    "tod_bin",
+    """SELECT c_custkey AS bin_id, z.zone_id, z.zone_key, z.city_id, z.city_id || ':' || c_custkey AS bin_key,
+       CASE c_custkey % 3 WHEN 0 THEN 240 WHEN 1 THEN 660 ELSE 1100 END AS capacity_l,
+       c_custkey % 7 <> 0 AS network_accessible, c_custkey % 7 <> 0 AND c_custkey % 2 = 0 AS in_routing_pilot
+       FROM customer JOIN zone_dim z ON z.zone_id = lpad(CAST(c_nationkey AS VARCHAR), 3, '0')""",
+)
+cte(
+    "tod_slot",
+    """SELECT event_id AS reading_id, user_id AS bin_id, d AS service_date_local, h AS local_hour,
+       CAST(d AS TIMESTAMP) - INTERVAL 330 MINUTE + to_hours(h) + to_milliseconds(event_id % 3600000) AS timestamp_utc,
+       CASE WHEN event_type <> 'error' THEN least(100.0, value) END AS fill_level_pct,
+       CASE event_type WHEN 'error' THEN 'missing' WHEN 'signup' THEN 'stuck' ELSE 'ok' END AS sensor_status,
+       CASE WHEN event_type <> 'purchase' THEN 'none' WHEN k % 25 = 0 THEN 'missed' WHEN k % 10 = 0 THEN 'partial'
+            ELSE 'collected' END AS collection_status
+       FROM (SELECT *, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS d, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+                    CASE WHEN hour(ts + INTERVAL 330 MINUTE) < 10 THEN 4 WHEN hour(ts + INTERVAL 330 MINUTE) < 17 THEN 6
+                         ELSE 7 END AS h FROM events)""",
+)
+cte(
+    "tod_day",
+    """SELECT bin_id, service_date_local AS issue_date,
+       arg_max(fill_level_pct, timestamp_utc) FILTER (WHERE sensor_status = 'ok') AS current_fill_pct,
+       max(timestamp_utc) FILTER (WHERE sensor_status = 'ok' AND fill_level_pct IS NOT NULL) AS last_sensor_utc,
+       max(fill_level_pct) FILTER (WHERE local_hour = 4 AND sensor_status = 'ok') AS fill04,
+       max(fill_level_pct) FILTER (WHERE local_hour = 6 AND sensor_status = 'ok') AS fill06,
+       max(timestamp_utc) FILTER (WHERE collection_status IN ('collected', 'partial')) AS service_utc
+       FROM tod_slot GROUP BY 1, 2""",
+)
+cte(
+    "tod_ewm",
+    """SELECT bin_id, ds[i] AS issue_date, CASE WHEN st.n >= 3 THEN st.w END AS ewm7_04 FROM (
+         SELECT bin_id, ds, i, list_reduce(xs[1:i],
+                lambda acc, x: {'w': CASE WHEN x.w IS NULL THEN acc.w WHEN acc.w IS NULL THEN x.w
+                                         ELSE (acc.w * acc.d * 0.75 + x.w * 0.25) / (acc.d * 0.75 + 0.25) END,
+                                'n': acc.n + x.n,
+                                'd': CASE WHEN x.w IS NOT NULL THEN 1.0 WHEN acc.w IS NULL THEN acc.d ELSE acc.d * 0.75 END},
+                {'w': CAST(NULL AS DOUBLE), 'n': 0, 'd': CAST(1.0 AS DOUBLE)}) AS st
+         FROM (SELECT bin_id, ds, xs, unnest(range(1, len(xs) + 1)) AS i FROM (
+                 SELECT bin_id, list(issue_date ORDER BY issue_date) AS ds,
+                        list({'w': fill04, 'n': CAST(fill04 IS NOT NULL AS INTEGER), 'd': CAST(1.0 AS DOUBLE)}
+                             ORDER BY issue_date) AS xs FROM tod_day GROUP BY 1)))""",
+)
+cte(
+    "feat",
+    """SELECT f.*, e.ewm7_04, b.city_id, b.bin_key, b.zone_id, b.zone_key, b.capacity_l,
+       CAST(issue_date AS TIMESTAMP) + INTERVAL 150 MINUTE AS issue_time_utc,
+       CAST(issue_date AS TIMESTAMP) + INTERVAL 1350 MINUTE AS target_time_utc, issue_date + 1 AS target_date,
+       epoch_us(CAST(issue_date AS TIMESTAMP) + INTERVAL 150 MINUTE) / 3.6e9 - epoch_us(last_service_utc) / 3.6e9
+         AS hours_since_collection,
+       epoch_us(CAST(issue_date AS TIMESTAMP) + INTERVAL 150 MINUTE) / 3.6e9 - epoch_us(last_sensor_utc) / 3.6e9
+         AS sensor_age_hours,
+       f.bin_id % 5 = 0 AS bin_holdout,
+       CASE WHEN issue_date + 1 <= DATE '2024-01-15' THEN 'train' WHEN issue_date + 1 <= DATE '2024-01-20' THEN 'validation'
+            ELSE 'test' END AS split
+       FROM (SELECT *, CASE WHEN count(overnight) OVER w7 >= 3 THEN avg(overnight) OVER w7 END AS history_growth_pct FROM (
+               SELECT *, lead(fill04) OVER seq AS target_fill_pct, lag(fill04, 6) OVER seq AS seasonal7_04,
+                      CASE WHEN count(fill04) OVER w7 >= 3 THEN avg(fill04) OVER w7 END AS ma7_04,
+                      CASE WHEN fill04 - lag(current_fill_pct) OVER seq IS NOT NULL
+                           THEN least(greatest(fill04 - lag(current_fill_pct) OVER seq, 0), 100) END AS overnight,
+                      CASE WHEN current_fill_pct - fill06 IS NOT NULL
+                           THEN least(greatest((current_fill_pct - fill06) / 2, 0), 50) END AS recent_growth_pct,
+                      last_value(service_utc IGNORE NULLS) OVER (PARTITION BY bin_id ORDER BY issue_date
+                        ROWS UNBOUNDED PRECEDING) AS last_service_utc
+               FROM tod_day WINDOW seq AS (PARTITION BY bin_id ORDER BY issue_date),
+                                   w7 AS (PARTITION BY bin_id ORDER BY issue_date ROWS 6 PRECEDING))
+             WINDOW w7 AS (PARTITION BY bin_id ORDER BY issue_date ROWS 6 PRECEDING)) f
+       JOIN tod_ewm e USING (bin_id, issue_date) JOIN tod_bin b USING (bin_id)
+       WHERE issue_date >= DATE '2024-01-08'""",
+)
+cte(
+    "pred",
+    """SELECT city_id, bin_id, target_time_utc, split, CASE WHEN bin_holdout THEN 'unseen_bins' ELSE 'known_bins' END AS grp,
+       target_fill_pct, model, pos, least(greatest(coalesce(v, ma7_04, current_fill_pct, 50), 0), 100) AS prediction_pct
+       FROM (SELECT *, unnest(['persistence', 'seasonal_naive7', 'moving_average7', 'exponential_smoothing7']) AS model,
+                    unnest([0, 1, 2, 3]) AS pos, unnest([current_fill_pct, seasonal7_04, ma7_04, ewm7_04]) AS v FROM feat
+             WHERE target_fill_pct IS NOT NULL AND target_date <= DATE '2024-01-30'
+               AND (split = 'test' OR (split = 'validation' AND NOT bin_holdout)))""",
+)
+cte(
+    "score",
+    """SELECT city_id, split, grp, model, min(pos) AS pos, count(*) AS n, avg(abs(prediction_pct - target_fill_pct)) AS mae_pct_points,
+       sqrt(avg(pow(prediction_pct - target_fill_pct, 2))) AS rmse_pct_points,
+       100 * sum(abs(prediction_pct - target_fill_pct)) / sum(target_fill_pct) AS wape_pct,
+       count(*) FILTER (WHERE prediction_pct >= 95 AND target_fill_pct >= 95)
+         / greatest(1, count(*) FILTER (WHERE target_fill_pct >= 95)) AS near_full_recall
+       FROM pred GROUP BY 1, 2, 3, 4""",
+)
+cte(
+    "choice",
+    """SELECT city_id, model AS selected_model, mae_pct_points AS best_simple_mae FROM (
+         SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY mae_pct_points, pos) AS r FROM score WHERE split = 'validation')
+       WHERE r = 1""",
+)
+cte(
+    "width",
+    """SELECT city_id, s[1 + CAST(ceil(0.8 * (len(s) - 1) - 1e-9) AS BIGINT)] AS w80,
+       s[1 + CAST(ceil(0.9 * (len(s) - 1) - 1e-9) AS BIGINT)] AS w90,
+       s[1 + CAST(ceil(0.95 * (len(s) - 1) - 1e-9) AS BIGINT)] AS w95
+       FROM (SELECT city_id, list_sort(list(abs(prediction_pct - target_fill_pct))) AS s
+             FROM pred JOIN choice USING (city_id) WHERE model = selected_model AND split = 'validation' GROUP BY 1)""",
+)
+cte(
+    "snapshot",
+    """SELECT f.*, selected_model AS model, p AS prediction_pct, least(p + w80, 100) AS upper80_pct,
+       least(p + w90, 100) AS upper90_pct, least(p + w95, 100) AS upper95_pct, b.network_accessible, b.in_routing_pilot
+       FROM (SELECT feat.*, selected_model, least(greatest(coalesce(
+               CASE selected_model WHEN 'persistence' THEN current_fill_pct WHEN 'seasonal_naive7' THEN seasonal7_04
+                    WHEN 'moving_average7' THEN ma7_04 ELSE ewm7_04 END, ma7_04, current_fill_pct, 50), 0), 100) AS p
+             FROM feat JOIN choice USING (city_id) WHERE issue_date = DATE '2024-01-25') f
+       JOIN width USING (city_id) JOIN tod_bin b USING (bin_id)""",
+)
+cte(
+    "ruled",
+    """SELECT *, CASE WHEN t1 THEN 1 WHEN t2 THEN 2 WHEN t3 THEN 3 WHEN t4 THEN 4 ELSE 5 END AS tier,
+       t1 OR t2 OR t3 OR t4 AS required,
+       CASE WHEN t1 OR t2 OR t3 OR t4 THEN concat_ws(';', CASE WHEN t1 THEN 'current_trigger' END,
+              CASE WHEN t2 THEN 'telemetry_trigger' END, CASE WHEN t3 THEN 'gap_trigger' END,
+              CASE WHEN t4 THEN 'forecast_trigger' END) ELSE 'below_rules' END AS reasons
+       FROM (SELECT *, coalesce(current_fill_pct >= 80, FALSE) AS t1,
+                    coalesce(sensor_age_hours > 6, TRUE) OR current_fill_pct IS NULL AS t2,
+                    coalesce(hours_since_collection >= 48, TRUE) AS t3, coalesce(risk_upper_pct >= 80, FALSE) AS t4
+             FROM (SELECT *, CASE WHEN current_fill_pct IS NOT NULL
+                                  THEN least(current_fill_pct + greatest(upper90_pct - current_fill_pct, 0), 100) END
+                             AS risk_upper_pct FROM snapshot))""",
+)
+cte(
+    "prio",
+    """SELECT *, CASE WHEN required AND NOT network_accessible THEN 'access_review'
+                      WHEN required AND in_routing_pilot THEN 'pilot_required'
+                      WHEN required THEN 'required_outside_pilot' ELSE 'monitor' END AS dispatch_status,
+       row_number() OVER (PARTITION BY city_id ORDER BY tier, risk_upper_pct DESC NULLS LAST,
+         current_fill_pct DESC NULLS LAST, hours_since_collection DESC NULLS LAST, bin_id) AS priority_rank FROM ruled""",
+)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fieldtally.catalog.q_questions import BIN_SUMMARY, CITY_FRAME
 from fieldtally.catalog.registry import query
 from fieldtally.plans import questions as q, statistics as st
+from fieldtally.session import cut_lineage
 
 CORR_COLUMNS = ["gross_capacity_pct_day", "overflow_days", "successful_collections", "mean_observed_fill_pct"]
 
@@ -26,13 +25,12 @@ RANKED = "SELECT *, " + ", ".join(
 
 @query("M1", f"WITH ranked AS ({RANKED} FROM ({BIN_SUMMARY})) {corr_sql('r_')}", "correlation")
 def _(w):
-    """Inputs are rounded so that equal means tie alike on both engines."""
-    return st.corr_matrix(q.q26(w.bin_day, w.dim_bin), CORR_COLUMNS, "spearman")
+    return st.corr_matrix(q.q26(w.bin_day, w.dim_bin), "bin_id", CORR_COLUMNS, "spearman")
 
 
 @query("M1_pearson", f"WITH ranked AS ({RANKED} FROM ({BIN_SUMMARY})) {corr_sql('')}", "correlation")
 def _(w):
-    return st.corr_matrix(q.q26(w.bin_day, w.dim_bin), CORR_COLUMNS, "pearson")
+    return st.corr_matrix(q.q26(w.bin_day, w.dim_bin), "bin_id", CORR_COLUMNS, "pearson")
 
 
 TESTS = {"weekend_generated_mass": "generated_kg_simulated", "weekend_overflow_slot_share": "overflow_slot_pct"}
@@ -47,7 +45,7 @@ PAIRS_SQL = " UNION ALL ".join(
 
 
 def pairs_of(w):
-    frame = q.q28(w.zone_day, w.truth)
+    frame = cut_lineage(q.q28(w.zone_day, w.truth))
     parts = [st.weekend_pairs(frame, c, test_id=test) for test, c in TESTS.items()]
     return parts[0].unionByName(parts[1])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtally.functions.expressions import col
 from fieldtally.operators.ordering import exact_quantiles, match_keys
+from fieldtally.session import cut_lineage
 
 
 def skew_adj(c) -> Column:
@@ -46,33 +47,50 @@ def tukey(df: DataFrame, keys: list[str], c: str) -> DataFrame:
 def describe_metrics(long: DataFrame, key: str = "metric", value: str = "value", discrete: tuple = ()) -> DataFrame:
     """Full summary row per metric of a long (metric, value) frame.
 
-    Moments in one aggregation, quantiles through the bucketed selection, the
-    mode from value counts, outliers against the fences: each distributes by
-    (metric, value), none gathers a metric's values in one task.
+    Values first collapse to counts, which are stored once; moments, quantiles,
+    mode and fences all read those counts, so no metric's values ever meet in
+    one task and the input is computed once.
     """
-    known = long.where(F.col(value).isNotNull())
-    moments = known.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.var_samp(value).alias("variance"),
-        F.stddev_samp(value).alias("std_dev"),
-        skew_adj(value).alias("skewness"),
+    counts = cut_lineage(
+        long.where(F.col(value).isNotNull())
+        .groupBy(key, F.col(value).cast("double").alias(value))
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    quants = exact_quantiles(
-        known, [key], value, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p05": 0.05, "p95": 0.95}
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    modes = mode_min(known.where(F.col(key).isin(*discrete)) if discrete else known.limit(0), [key], value, "mode_if_useful")
-    fences = quants.select(
-        F.col(key),
-        (F.col("q1") - 1.5 * F.col("iqr")).alias("__low"),
-        (F.col("q3") + 1.5 * F.col("iqr")).alias("__high"),
+    v, c = F.col(value), F.col("__n")
+    means = counts.groupBy(key).agg(F.sum("__n").alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"))
+    n, off = F.col("n"), v - F.col("mean")
+    m2, m3 = F.col("__m2"), F.col("__m3")
+    moments = (
+        counts.join(means, key)
+        .groupBy(key, "n", "mean")
+        .agg(F.sum(c * off * off).alias("__m2"), F.sum(c * off * off * off).alias("__m3"))
+        .select(
+            key,
+            "n",
+            "mean",
+            F.when(n > 1, m2 / F.nullif(n - 1, F.lit(0))).alias("variance"),
+            F.when(n > 1, F.sqrt(m2 / F.nullif(n - 1, F.lit(0)))).alias("std_dev"),
+            F.when(
+                (n >= 3) & (m2 > 0),
+                (m3 / n) / F.pow(F.nullif(m2, F.lit(0.0)) / n, 1.5)
+                * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)),
+            ).alias("skewness"),
+        )
+    )
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p05": 0.05, "p95": 0.95}
+    quants = exact_quantiles(counts, [key], value, probs, weight="__n").withColumn(
+        "iqr", F.col("q3") - F.col("q1")
     )
+    modes = (
+        counts.where(F.col(key).isin(*discrete))
+        .groupBy(key)
+        .agg(F.min_by(value, F.struct(-c, v)).alias("mode_if_useful"))
+    )
+    low, high = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
     outliers = (
-        known.join(fences, key)
+        counts.join(quants.select(key, "q1", "q3", "iqr"), key)
         .groupBy(key)
-        .agg(
-            F.count_if((F.col(value) < F.col("__low")) | (F.col(value) > F.col("__high"))).alias("tukey_outlier_count")
-        )
+        .agg(F.sum(F.when((v < low) | (v > high), c).otherwise(0)).alias("tukey_outlier_count"))
     )
     return moments.join(quants, key).join(outliers, key).join(modes, key, "left")
 

@@ -30,9 +30,12 @@ def exact_quantiles(
     probs: dict[str, float],
     how: str = "linear",
     buckets: int = 4096,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per key; ``how`` is ``linear`` or ``higher``.
 
+    ``weight`` names a count column when the input is already value counts.
+
     1. equal values collapse to (value, count) before the shuffle;
     2. a histogram of at most ``buckets`` rows per key locates the buckets that
        hold the wanted positions;
@@ -40,7 +43,8 @@ def exact_quantiles(
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    src = df.select(*keys, value.cast("double").alias("__v"))
+    count = F.lit(1) if weight is None else F.col(weight)
+    src = df.select(*keys, value.cast("double").alias("__v"), count.cast("bigint").alias("__w"))
     if not keys:
         keys_in = ["__all"]
         src = src.withColumn("__all", F.lit(0))
@@ -49,7 +53,7 @@ def exact_quantiles(
     base = (
         src.where(F.col("__v").isNotNull())
         .groupBy(*keys_in, "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .agg(F.sum("__w").alias("__c"))
     )
     span = base.groupBy(*keys_in).agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")

@@ -160,7 +160,7 @@ def _far(px, py) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def _children(candidates: DataFrame, cells: DataFrame, level: int) -> DataFrame:
+def _children(candidates: DataFrame, cells: DataFrame, level: int, how: str = "inner") -> DataFrame:
     kids = cells.select(
         F.floor(F.col("cx") / FAN).alias("gx"),
         F.floor(F.col("cy") / FAN).alias("gy"),
@@ -174,7 +174,7 @@ def _children(candidates: DataFrame, cells: DataFrame, level: int) -> DataFrame:
     )
     if level <= BROADCAST_LEVELS:
         kids = F.broadcast(kids)
-    return candidates.join(kids, ["gx", "gy"])
+    return candidates.join(kids, ["gx", "gy"], how)
 
 
 def _start(places: DataFrame) -> DataFrame:
@@ -268,21 +268,26 @@ def count_within(
         .withColumns({"x1": F.col("x0"), "y1": F.col("y0")})
     )
     tree = build_pyramid(items, leaf_side=radius / 16)
-    open_cells = _start(_places(points, x, y))
-    totals = None
+    # settled rows keep their count and get a key that matches no cell, spread by place
+    settled_key = -1 - F.pmod(F.xxhash64("px", "py"), F.lit(1_000_003))
+    walk = _start(_places(points, x, y)).withColumn("c", F.lit(0).cast("bigint"))
     for i, cells in enumerate(tree.levels, 1):
-        step = _children(open_cells, cells, i).withColumns(
+        step = _children(walk, cells, i, "left").withColumns(
             {"__lo": _near(F.col("px"), F.col("py")), "__hi": _far(F.col("px"), F.col("py"))}
         )
-        whole = step.where(F.col("__hi") <= radius).groupBy("px", "py").agg(F.sum("n").alias("c"))
-        totals = whole if totals is None else totals.unionByName(whole)
-        open_cells = step.where((F.col("__lo") <= radius) & (F.col("__hi") > radius)).select(
-            "px", "py", F.col("cx").alias("gx"), F.col("cy").alias("gy")
+        settled = F.col("cx").isNull()
+        whole = F.col("__hi") <= radius
+        walk = step.where(settled | (F.col("__lo") <= radius)).select(
+            "px",
+            "py",
+            F.when(settled | whole, settled_key).otherwise(F.col("cx")).alias("gx"),
+            F.when(settled | whole, F.lit(-1)).otherwise(F.col("cy")).cast("bigint").alias("gy"),
+            F.when(settled, F.col("c")).when(whole, F.col("n")).otherwise(0).alias("c"),
         )
     leaf = tree.items.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), "x0", "y0", "n")
     d = F.sqrt(F.pow(F.col("px") - F.col("x0"), 2) + F.pow(F.col("py") - F.col("y0"), 2))
-    edge = open_cells.join(leaf, ["gx", "gy"]).where(d <= radius).groupBy("px", "py").agg(F.sum("n").alias("c"))
-    found = totals.unionByName(edge).groupBy("px", "py").agg(F.sum("c").alias(name))
+    hit = F.when(F.col("n").isNull(), F.col("c")).when(d <= radius, F.col("n")).otherwise(0)
+    found = walk.join(leaf, ["gx", "gy"], "left").groupBy("px", "py").agg(F.sum(hit).alias(name))
     return _back(points, found, x, y).withColumn(name, F.coalesce(name, F.lit(0)))
 
 

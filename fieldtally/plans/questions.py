@@ -13,9 +13,11 @@ from fieldtally.functions.expressions import (
     safe_div,
     to_local,
 )
-from fieldtally.operators.ordering import exact_quantiles, match_keys, rank_average
+from fieldtally.operators.ordering import exact_quantiles
 from fieldtally.operators.windows import prior_stats, top_ranked, trailing_mean, trailing_sum
 from fieldtally.plans.marts import succeeded
+from fieldtally.plans.statistics import corr_matrix
+from fieldtally.session import cut_lineage
 from fieldtally.settings import (
     ANOMALY_HISTORY,
     ANOMALY_Z,
@@ -594,7 +596,8 @@ def q28(zone_day, truth):
 
 
 def q29(city_frame, bin_summary, route_day, events, diagnostics, obs, low=LOW_STOPS):
-    """The 21 run totals, each from the grain that owns it."""
+    """The 21 run totals, each from the grain that owns it; the day frame is stored once."""
+    city_frame = cut_lineage(city_frame)
     days = city_frame.agg(
         F.sum("scheduled_readings").alias("readings"),
         F.sum("generated_kg_simulated").alias("generated_kg_simulated"),
@@ -610,12 +613,15 @@ def q29(city_frame, bin_summary, route_day, events, diagnostics, obs, low=LOW_ST
     fills = obs.agg(F.count("fill_level_pct").alias("observed_fill_readings"))
     partial = events.agg(count_where(F.col("collection_status") == "partial").alias("partial_collections"))
     timing = q27_timing(diagnostics).drop("successful_attempts")
-    ranked = rank_average(bin_summary, [], "gross_capacity_pct_day", "__ra")
-    ranked = rank_average(ranked, [], "overflow_days", "__rb")
-    rho = ranked.agg(
-        F.corr("__ra", "__rb").alias("bin_gross_rate_overflow_spearman"),
-        F.corr("gross_capacity_pct_day", "overflow_days").alias("bin_gross_rate_overflow_pearson"),
-    )
+    pair = ["gross_capacity_pct_day", "overflow_days"]
+    stored = cut_lineage(bin_summary.select("bin_id", *pair))
+    rho = None
+    for method in ("spearman", "pearson"):
+        one_value = corr_matrix(stored, "bin_id", pair, method).select(
+            F.col("correlation").alias(f"bin_gross_rate_overflow_{method}"), F.lit(1).alias("__one")
+        )
+        rho = one_value if rho is None else rho.join(one_value, "__one")
+    rho = rho.drop("__one")
     routes = route_day.agg(
         count_where(F.col("successful_stops") < low).alias("route_low_stop_days_lt4"),
         n_rows().alias("route_active_days"),

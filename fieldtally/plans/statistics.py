@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fieldtally.functions.expressions import is_weekend, normal_two_sided_p, week_start
 from fieldtally.operators.aggregates import skew_adj
 from fieldtally.operators.ordering import rank_average
+from fieldtally.session import cut_lineage
 
 # Fixed value: two-sided 95 % normal quantile.
 Z95 = 1.95996398454
@@ -46,15 +47,19 @@ def diagnostics(daily: DataFrame, key: str, ts: str, metrics: list[str]) -> Data
     )
 
 
-def corr_matrix(df: DataFrame, columns: list[str], method: str = "spearman") -> DataFrame:
-    """Long correlation matrix; ranks come from the bucketed average rank."""
-    source, names = df, {c: c for c in columns}
+def corr_matrix(df: DataFrame, id_col: str, columns: list[str], method: str = "spearman") -> DataFrame:
+    """Long correlation matrix of one-row-per-id metrics.
+
+    For Spearman the columns are unpivoted and stored, ranked together in one
+    bucketed pass per metric, and pivoted back.
+    """
+    source = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns])
     if method == "spearman":
-        for c in columns:
-            source = rank_average(source, [], c, f"__rank_{c}")
-        names = {c: f"__rank_{c}" for c in columns}
+        long = cut_lineage(source.unpivot([id_col], columns, "metric", "value"))
+        ranked = rank_average(long, ["metric"], "value", "__rank")
+        source = ranked.groupBy(id_col).pivot("metric", columns).agg(F.max("__rank"))
     pairs = list(combinations(columns, 2))
-    row = source.agg(*[F.corr(names[a], names[b]).alias(f"{a}|{b}") for a, b in pairs])
+    row = source.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "correlation")
     parts = F.split("pair", r"\|")
     return long.select(parts[0].alias("left_metric"), parts[1].alias("right_metric"), "correlation")
@@ -166,7 +171,11 @@ def holm(tests: DataFrame, key: str = "test_id", p: str = "p_value_two_sided", a
 
 
 def test_summary(pairs: DataFrame, lags: int = 4, sensitivity: int = 8, key: str = "test_id") -> DataFrame:
-    """Main test, its sensitivity at longer lags, relative difference, Holm adjustment."""
+    """Main test, its sensitivity at longer lags, relative difference, Holm adjustment.
+
+    The weekly pairs are few (one row per test and week) and are stored once.
+    """
+    pairs = cut_lineage(pairs)
     means = pairs.groupBy(key).agg(
         F.avg("weekday_mean").alias("mean_weekday"), F.avg("weekend_mean").alias("mean_weekend")
     )
