@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fieldtally.functions.expressions import choose, global_key, to_local
-from fieldtally.plans import forecast, marts, priority
+from fieldtally.operators.spatial import haversine_m
+from fieldtally.plans import forecast, marts, priority, replay, routes, star
 from fieldtally.schemas import INPUT
 from fieldtally.session import cut_lineage
 from fieldtally.settings import KG_PER_LITRE
@@ -35,6 +36,21 @@ def latitude(key: str) -> Column:
     return F.lit(12.90) + ((F.col(key) * 104729) % 3500) / F.lit(10000.0)
 
 
+# which planning scenario an order's priority stands for
+SCENARIO_OF_PRIORITY = {
+    "1": "base_3_trucks",
+    "2": "trigger_70",
+    "3": "trigger_90",
+    "4": "demand_plus20",
+    "5": "fuel_minus20",
+}
+
+
+def bin_size(key: str) -> Column:
+    k = F.col(key) % 3
+    return choose([(k == 0, F.lit(240)), (k == 1, F.lit(660))], F.lit(1100))
+
+
 def planar(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {"x": (F.col("longitude") - 80.0) * 108000.0, "y": (F.col("latitude") - 12.0) * 110600.0}
@@ -272,7 +288,7 @@ class World:
                 "zone_key",
                 "city_id",
                 global_key("city_id", key).alias("bin_key"),
-                choose([(key % 3 == 0, F.lit(240)), (key % 3 == 1, F.lit(660))], F.lit(1100)).alias("capacity_l"),
+                bin_size("c_custkey").alias("capacity_l"),
                 (key % 7 != 0).alias("network_accessible"),
                 ((key % 7 != 0) & (key % 2 == 0)).alias("in_routing_pilot"),
             )
@@ -344,3 +360,166 @@ class World:
     @cached_property
     def priority(self) -> DataFrame:
         return priority.prioritize(self.stored_dispatch)
+
+    # orders as vehicle routes -----------------------------------------------
+    @cached_property
+    def order_city(self) -> DataFrame:
+        cities = self.dim_zone.select("zone_id", "city_id", "city_name")
+        owner = self.table("customer").select(
+            F.col("c_custkey").alias("o_custkey"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("zone_id")
+        )
+        number = F.substring("o_orderpriority", 1, 1)
+        names = [(F.lit(n) == number, F.lit(s)) for n, s in SCENARIO_OF_PRIORITY.items()]
+        return (
+            self.table("orders")
+            .join(owner.join(F.broadcast(cities), "zone_id"), "o_custkey")
+            .select(
+                F.col("o_orderkey").alias("vehicle"),
+                "city_id",
+                "city_name",
+                choose(names).alias("scenario"),
+                F.when(F.col("o_orderkey") % 2 == 0, "baseline").otherwise("optimized").alias("method"),
+            )
+        )
+
+    @cached_property
+    def route_stops(self) -> DataFrame:
+        """Each order is a route through the suppliers of its lines, depot first and last."""
+        seq = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+        lines = self.table("lineitem").select(
+            F.col("l_orderkey").alias("vehicle"),
+            F.row_number().over(seq).cast("bigint").alias("stop_sequence"),
+            (F.col("l_suppkey") + 1).alias("matrix_index"),
+            bin_size("l_suppkey").alias("planned_capacity_l"),
+        )
+        count = self.table("lineitem").groupBy(F.col("l_orderkey").alias("vehicle")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        ends = count.select(
+            "vehicle",
+            F.explode(F.array(F.lit(0).cast("bigint"), F.col("n") + 1)).alias("stop_sequence"),
+            F.lit(0).cast("bigint").alias("matrix_index"),
+            F.lit(0).alias("planned_capacity_l"),
+        )
+        return lines.unionByName(ends).join(self.order_city.drop("city_name"), "vehicle")
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """Distances of the legs that occur: road factor 1.3 at 20 km/h."""
+        place = self.table("supplier").select(
+            (F.col("s_suppkey") + 1).alias("k"), longitude("s_suppkey").alias("lon"), latitude("s_suppkey").alias("lat")
+        )
+        depot = self.spark.range(1).select(F.col("id").alias("k"), F.lit(80.2707).alias("lon"), F.lit(13.0827).alias("lat"))
+        place = place.unionByName(depot)
+        used = routes.legs(self.route_stops).select("i", "j").distinct()
+        d = haversine_m("lon1", "lat1", "lon2", "lat2") * 1.3
+        return (
+            used.join(place.toDF("i", "lon1", "lat1"), "i")
+            .join(place.toDF("j", "lon2", "lat2"), "j")
+            .select("i", "j", d.alias("distance_m"), (d / (20 / 3.6)).alias("travel_seconds"))
+        )
+
+    @cached_property
+    def route_metrics(self) -> DataFrame:
+        return routes.route_metrics(self.route_stops, self.matrix)
+
+    @cached_property
+    def stored_metrics(self) -> DataFrame:
+        return cut_lineage(self.route_metrics)
+
+    @cached_property
+    def scenario_frame(self) -> DataFrame:
+        """Scenario rows: required stops and volume of the optimised plan, and its fleet."""
+        fields = {s[0]: s for s in priority.SCENARIOS}
+        get = lambda i: choose([(F.col("scenario") == n, F.lit(s[i])) for n, s in fields.items()])
+        per = (
+            self.stored_metrics.where(F.col("method") == "optimized")
+            .groupBy("city_id", "scenario")
+            .agg(
+                F.sum("bins").alias("required_bins"),
+                F.sum("load_l").alias("full_capacity_l_required"),
+                F.count(F.lit(1)).alias("__n"),
+            )
+        )
+        fleet = F.when(F.col("scenario") == "fuel_minus20", F.floor(F.col("__n") / 10)).otherwise(F.col("__n"))
+        return per.select(
+            global_key("city_id", "scenario").alias("scenario_key"),
+            "city_id",
+            "scenario",
+            fleet.alias("vehicles_available"),
+            get(2).alias("trigger_pct"),
+            get(3).alias("demand_multiplier"),
+            get(4).alias("fuel_price_multiplier"),
+            "required_bins",
+            "full_capacity_l_required",
+        )
+
+    @cached_property
+    def route_scenarios(self) -> DataFrame:
+        rated = routes.capacity_certificate(self.scenario_frame)
+        ok = F.col("status") == "feasible"
+        compared = routes.compare_methods(self.stored_metrics, rated)
+        names = self.dim_city.select("city_id", "city_name")
+        scope = F.when(F.col("city_id") == "ASIA", "Historical common-price proxy").otherwise("Historical price proxy")
+        return compared.join(names, "city_id").withColumns(
+            {
+                "bins_serviced": F.when(ok, F.col("required_bins")).otherwise(0),
+                "baseline_complete": F.when(ok, F.lit(True)),
+                "price_scope": scope,
+            }
+        )
+
+    @cached_property
+    def fact_routes(self) -> DataFrame:
+        keyed = self.stored_metrics.join(self.dim_city.select("city_id", "city_name"), "city_id").withColumns(
+            {
+                "scenario_key": global_key("city_id", "scenario"),
+                "vehicle_key": global_key("city_id", F.lit("R"), "vehicle"),
+                "route_key": F.concat_ws(":", "city_id", "scenario", "method", F.col("vehicle").cast("string")),
+            }
+        )
+        return star.enrich_routes(keyed)
+
+    @cached_property
+    def replay_bins(self) -> DataFrame:
+        """Mean arrivals of the twelve slots and mean stock of each bin, in the bin's planned size."""
+        slot = (F.col("l_orderkey") + F.col("l_linenumber")) % 12
+        per_slot = self.table("lineitem").groupBy(F.col("l_suppkey").alias("k"), slot.alias("s")).agg(
+            (F.avg("l_quantity") * 4).alias("a"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("q"),
+            F.count(F.lit(1)).alias("c"),
+        )
+        return per_slot.groupBy("k").agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col("s").cast("int"), "a"))).alias("m"),
+            (F.sum("q") / F.sum("c") * 4).alias("initial_l"),
+        ).select(
+            (F.col("k") + 1).alias("bin_id"),
+            "initial_l",
+            bin_size("k").cast("double").alias("capacity_l"),
+            F.transform(
+                F.sequence(F.lit(0), F.lit(11)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
+            ).alias("arrivals"),
+        )
+
+    @cached_property
+    def replay_rows(self) -> DataFrame:
+        """Each plan serves a bin once, at its earliest arrival plus the service time."""
+        timed = routes.stop_times(self.route_stops, self.matrix)
+        first = (
+            timed.where(F.col("matrix_index") != 0)
+            .groupBy("scenario", "method", F.col("matrix_index").alias("bin_id"))
+            .agg((F.min("arrival_minutes") + 4.0).alias("minute"))
+        )
+        demand = F.when(F.col("scenario") == "demand_plus20", 1.2).otherwise(1.0)
+        return replay.replay_table(self.replay_bins, cut_lineage(first), ["scenario", "method"], demand)
+
+    @cached_property
+    def overflow_comparison(self) -> DataFrame:
+        """Replay spill per city and scenario, both methods."""
+        city = self.dim_bin.select((F.col("bin_id") + 1).alias("bin_id"), "city_id")
+        totals = (
+            self.replay_rows.join(city, "bin_id")
+            .groupBy("city_id", "scenario", "method")
+            .agg(F.sum("overflow_l").alias("overflow_l"))
+        )
+        wide = star.overflow_comparison(totals, ["city_id", "scenario"])
+        return wide.withColumn("scenario_key", global_key("city_id", "scenario"))

@@ -318,3 +318,136 @@ cte(
        row_number() OVER (PARTITION BY city_id ORDER BY tier, risk_upper_pct DESC NULLS LAST,
          current_fill_pct DESC NULLS LAST, hours_since_collection DESC NULLS LAST, bin_id) AS priority_rank FROM ruled""",
 )
+
+cte(
+    "order_city",
+    """SELECT o_orderkey AS vehicle, city_id, city_name,
+       CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'base_3_trucks' WHEN '2' THEN 'trigger_70' WHEN '3' THEN 'trigger_90'
+            WHEN '4' THEN 'demand_plus20' ELSE 'fuel_minus20' END AS scenario,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'optimized' END AS method
+       FROM orders JOIN customer ON c_custkey = o_custkey
+       JOIN zone_dim ON zone_id = lpad(CAST(c_nationkey AS VARCHAR), 3, '0')""",
+)
+cte(
+    "stop_row",
+    """SELECT vehicle, stop_sequence, matrix_index, planned_capacity_l, city_id, scenario, method FROM (
+         SELECT l_orderkey AS vehicle, row_number() OVER (PARTITION BY l_orderkey
+                  ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS stop_sequence, l_suppkey + 1 AS matrix_index,
+                CASE l_suppkey % 3 WHEN 0 THEN 240 WHEN 1 THEN 660 ELSE 1100 END AS planned_capacity_l FROM lineitem
+         UNION ALL SELECT l_orderkey, unnest([0, count(*) + 1]), 0, 0 FROM lineitem GROUP BY 1)
+       JOIN order_city USING (vehicle)""",
+)
+cte(
+    "leg_row",
+    """SELECT a.city_id, a.scenario, a.method, a.vehicle, a.stop_sequence, a.matrix_index AS i, b.matrix_index AS j
+       FROM stop_row a JOIN stop_row b ON a.vehicle = b.vehicle AND b.stop_sequence = a.stop_sequence + 1""",
+)
+cte(
+    "place_xy",
+    """SELECT s_suppkey + 1 AS k, 80.15 + CAST((s_suppkey * 7919) % 2300 AS DOUBLE) / 10000.0 AS lon,
+       12.90 + CAST((s_suppkey * 104729) % 3500 AS DOUBLE) / 10000.0 AS lat FROM supplier
+       UNION ALL SELECT 0, 80.2707, 13.0827""",
+)
+cte(
+    "hop_row",
+    """SELECT i, j, d AS distance_m, d / (20 / 3.6) AS travel_seconds FROM (
+         SELECT i, j, 1.3 * 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2)
+                + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) AS d
+         FROM (SELECT DISTINCT i, j FROM leg_row) JOIN place_xy p ON p.k = i JOIN place_xy q ON q.k = j)""",
+)
+cte(
+    "route_kpi",
+    """SELECT *, travel_seconds + bins * 240 + CASE WHEN bins > 0 THEN 900 ELSE 0 END AS duration_seconds,
+       load_l * 0.12 AS load_kg_assumed
+       FROM (SELECT city_id, scenario, method, vehicle, count(*) FILTER (WHERE matrix_index <> 0) AS bins,
+                    CAST(sum(planned_capacity_l) AS BIGINT) AS load_l FROM stop_row GROUP BY ALL)
+       JOIN (SELECT city_id, scenario, method, vehicle, sum(distance_m) AS distance_m, sum(travel_seconds) AS travel_seconds
+             FROM leg_row JOIN hop_row USING (i, j) GROUP BY ALL) USING (city_id, scenario, method, vehicle)""",
+)
+cte(
+    "plan_row",
+    """SELECT city_id || ':' || scenario AS scenario_key, *, CASE WHEN full_capacity_l_required > vehicles_available * 12000
+              THEN 'proven_infeasible_capacity' ELSE 'feasible' END AS status FROM (
+         SELECT city_id, scenario, CASE WHEN scenario = 'fuel_minus20' THEN count(*) // 10 ELSE count(*) END AS vehicles_available,
+                CASE scenario WHEN 'trigger_70' THEN 70.0 WHEN 'trigger_90' THEN 90.0 ELSE 80.0 END AS trigger_pct,
+                CASE scenario WHEN 'demand_plus20' THEN 1.2 ELSE 1.0 END AS demand_multiplier,
+                CASE scenario WHEN 'fuel_minus20' THEN 0.8 ELSE 1.0 END AS fuel_price_multiplier,
+                CAST(sum(bins) AS BIGINT) AS required_bins, CAST(sum(load_l) AS BIGINT) AS full_capacity_l_required
+         FROM route_kpi WHERE method = 'optimized' GROUP BY 1, 2)""",
+)
+cte(
+    "plan_cmp",
+    """SELECT *, baseline_km - optimized_km AS km_saved, 100 * (baseline_km - optimized_km) / baseline_km AS distance_reduction_pct,
+       baseline_travel_hours - optimized_travel_hours AS travel_hours_saved,
+       baseline_vehicle_hours - optimized_vehicle_hours AS vehicle_hours_saved,
+       (baseline_km - optimized_km) / 4.5 AS fuel_l_saved_assumed,
+       (baseline_km - optimized_km) / 4.5 * 92.39 * fuel_price_multiplier AS fuel_cost_inr_saved_historical_proxy,
+       (baseline_km - optimized_km) / 4.5 * 2.689 AS tailpipe_co2_kg_saved_proxy,
+       CASE WHEN status = 'feasible' THEN required_bins ELSE 0 END AS bins_serviced,
+       CASE WHEN status = 'feasible' THEN TRUE END AS baseline_complete,
+       CASE WHEN city_id = 'ASIA' THEN 'Historical common-price proxy' ELSE 'Historical price proxy' END AS price_scope
+       FROM (SELECT r.*, c.city_name,
+                    CASE WHEN status = 'feasible' THEN b.km END AS baseline_km, CASE WHEN status = 'feasible' THEN o.km END AS optimized_km,
+                    CASE WHEN status = 'feasible' THEN b.vh END AS baseline_vehicle_hours,
+                    CASE WHEN status = 'feasible' THEN o.vh END AS optimized_vehicle_hours,
+                    CASE WHEN status = 'feasible' THEN b.th END AS baseline_travel_hours,
+                    CASE WHEN status = 'feasible' THEN o.th END AS optimized_travel_hours
+             FROM plan_row r JOIN city_dim c USING (city_id)
+             LEFT JOIN (SELECT city_id, scenario, sum(distance_m) / 1000 AS km, sum(duration_seconds) / 3600 AS vh,
+                               sum(travel_seconds) / 3600 AS th FROM route_kpi WHERE method = 'baseline' GROUP BY 1, 2) b
+               USING (city_id, scenario)
+             LEFT JOIN (SELECT city_id, scenario, sum(distance_m) / 1000 AS km, sum(duration_seconds) / 3600 AS vh,
+                               sum(travel_seconds) / 3600 AS th FROM route_kpi WHERE method = 'optimized' GROUP BY 1, 2) o
+               USING (city_id, scenario))""",
+)
+cte(
+    "truck_row",
+    """SELECT r.*, c.city_name, r.city_id || ':' || scenario AS scenario_key, r.city_id || ':R:' || vehicle AS vehicle_key,
+       concat_ws(':', r.city_id, scenario, method, vehicle) AS route_key, 100.0 * load_l / 12000 AS volume_utilization_pct,
+       100.0 * load_kg_assumed / 5000 AS payload_utilization_pct FROM route_kpi r JOIN city_dim c USING (city_id)""",
+)
+cte(
+    "arrive_row",
+    """SELECT s.*, coalesce(sum(travel_seconds / 60 + CASE WHEN i <> 0 THEN 4 ELSE 0 END) OVER
+         (PARTITION BY s.vehicle ORDER BY s.stop_sequence), 0) AS arrival_minutes
+       FROM stop_row s LEFT JOIN (SELECT * FROM leg_row JOIN hop_row USING (i, j)) l
+       ON l.vehicle = s.vehicle AND l.stop_sequence + 1 = s.stop_sequence""",
+)
+cte(
+    "replayed",
+    """SELECT scenario, method, bin_id, initial_l, list_sum(arr) AS arrivals_l, z.inv AS terminal_l, z.spill AS overflow_l,
+       z.removed AS collected_l, CAST(minute IS NOT NULL AS INTEGER) AS collection_count, capacity_l FROM (
+         SELECT *, list_reduce(list_transform(range(1, len(cuts)), lambda i: {'a': cuts[i], 'b': cuts[i + 1],
+                     'add': arr[1 + CAST(floor(cuts[i] / 120) AS BIGINT)] * (cuts[i + 1] - cuts[i]) / 120,
+                     'keep': CASE WHEN cuts[i] = minute THEN 0.05 ELSE 1.0 END::DOUBLE, 'inv': 0.0::DOUBLE,
+                     'spill': 0.0::DOUBLE, 'removed': 0.0::DOUBLE}),
+                   lambda s, p: {'a': p.a, 'b': p.b, 'add': p.add, 'keep': p.keep,
+                     'inv': least(capacity_l, s.inv * p.keep + p.add),
+                     'spill': s.spill + greatest(0, s.inv * p.keep + p.add - capacity_l),
+                     'removed': s.removed + s.inv * (1 - p.keep)},
+                   {'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'add': 0.0::DOUBLE, 'keep': 1.0::DOUBLE, 'inv': initial_l,
+                    'spill': 0.0::DOUBLE, 'removed': 0.0::DOUBLE}) AS z
+         FROM (SELECT *, list_sort(list_distinct(CASE WHEN minute < 1440
+                        THEN list_append(list_transform(range(0, 13), lambda i: i * 120.0::DOUBLE), minute)
+                        ELSE list_transform(range(0, 13), lambda i: i * 120.0::DOUBLE) END)) AS cuts FROM (
+                 SELECT p.scenario, p.method, b.bin_id, initial_l, capacity_l, minute,
+                        list_transform(arrivals, lambda v: v * CASE p.scenario WHEN 'demand_plus20' THEN 1.2::DOUBLE ELSE 1.0 END) AS arr
+                 FROM (SELECT k + 1 AS bin_id, sum(q) / sum(c) * 4 AS initial_l,
+                              (CASE k % 3 WHEN 0 THEN 240 WHEN 1 THEN 660 ELSE 1100 END)::DOUBLE AS capacity_l,
+                              list_transform(range(0, 12), lambda i: coalesce(map_from_entries(list((s, a)))[i], 0)) AS arrivals
+                       FROM (SELECT l_suppkey AS k, (l_orderkey + l_linenumber) % 12 AS s, avg(l_quantity) * 4 AS a,
+                                    sum(l_quantity * (1 - l_discount)) AS q, count(*) AS c FROM lineitem GROUP BY 1, 2) GROUP BY k) b
+                 CROSS JOIN (SELECT DISTINCT scenario, method FROM stop_row) p
+                 LEFT JOIN (SELECT scenario, method, matrix_index AS bin_id, min(arrival_minutes) + 4 AS minute FROM arrive_row
+                            WHERE matrix_index <> 0 GROUP BY 1, 2, 3) f
+                 ON f.scenario = p.scenario AND f.method = p.method AND f.bin_id = b.bin_id)))""",
+)
+cte(
+    "spill_cmp",
+    """SELECT city_id, scenario, city_id || ':' || scenario AS scenario_key,
+       sum(overflow_l) FILTER (WHERE method = 'baseline') AS baseline_overflow_l,
+       sum(overflow_l) FILTER (WHERE method = 'optimized') AS optimized_overflow_l,
+       sum(overflow_l) FILTER (WHERE method = 'baseline') - sum(overflow_l) FILTER (WHERE method = 'optimized')
+         AS overflow_l_avoided_modelled
+       FROM replayed r JOIN bin_dim b ON b.bin_id + 1 = r.bin_id GROUP BY 1, 2""",
+)

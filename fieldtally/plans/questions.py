@@ -403,7 +403,7 @@ def q19(route_scenarios, city_id=None):
         safe_div("optimized_km", "bins_serviced").alias("optimized_km_per_served_bin"),
         "travel_hours_saved",
         "fuel_l_saved_assumed",
-        "fuel_cost_saved_proxy",
+        "fuel_cost_inr_saved_historical_proxy",
         "tailpipe_co2_kg_saved_proxy",
         "price_scope",
     )
@@ -495,7 +495,7 @@ def q24(route_scenarios, overflow_comparison, scenarios=("base_3_trucks", "trigg
         "distance_reduction_pct",
         "overflow_l_avoided_modelled",
         "fuel_l_saved_assumed",
-        "fuel_cost_saved_proxy",
+        "fuel_cost_inr_saved_historical_proxy",
         "price_scope",
     )
 

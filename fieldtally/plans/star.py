@@ -183,7 +183,7 @@ def fact_route_scenario(route_scenarios: DataFrame) -> DataFrame:
         "travel_hours_saved",
         "vehicle_hours_saved",
         "fuel_l_saved_assumed",
-        "fuel_cost_saved_proxy",
+        "fuel_cost_inr_saved_historical_proxy",
         "tailpipe_co2_kg_saved_proxy",
         "full_capacity_l_required",
     )
