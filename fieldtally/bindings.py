@@ -510,7 +510,69 @@ class World:
             .agg((F.min("arrival_minutes") + 4.0).alias("minute"))
         )
         demand = F.when(F.col("scenario") == "demand_plus20", 1.2).otherwise(1.0)
-        return replay.replay_table(self.replay_bins, cut_lineage(first), ["scenario", "method"], demand)
+        plans = [(s, m) for s in SCENARIO_OF_PRIORITY.values() for m in ("baseline", "optimized")]
+        return replay.replay_table(self.replay_bins, cut_lineage(first), plans, ["scenario", "method"], demand)
+
+    # orders as roads ----------------------------------------------------------
+    @cached_property
+    def road_nodes(self) -> DataFrame:
+        """One node per supplier; every 29th carries a gate, open to traffic for odd keys."""
+        k = F.col("s_suppkey")
+        gate = F.create_map(
+            F.lit("barrier"), F.lit("gate"), F.lit("motor_vehicle"), F.when(k % 2 == 1, "yes").otherwise("no")
+        )
+        return self.table("supplier").select(
+            k.alias("node_id"),
+            longitude("s_suppkey").alias("lon"),
+            latitude("s_suppkey").alias("lat"),
+            F.when(k % 29 == 0, gate).otherwise(F.create_map().cast("map<string,string>")).alias("tags"),
+        )
+
+    @cached_property
+    def road_ways(self) -> DataFrame:
+        """One way per order through the suppliers of its lines, tagged from the order."""
+        key = F.col("o_orderkey")
+        classes = {"1": "motorway", "2": "primary", "3": "secondary", "4": "residential", "5": "footway"}
+        number = F.substring("o_orderpriority", 1, 1)
+        tag = lambda name, value: F.struct(F.lit(name).alias("k"), value.alias("v"))
+        tags = F.array(
+            tag("highway", choose([(number == n, F.lit(c)) for n, c in classes.items()])),
+            tag("oneway", choose([(F.col("o_orderstatus") == "F", F.lit("yes")), (F.col("o_orderstatus") == "P", F.lit("-1"))])),
+            tag("maxspeed", F.when(key % 4 == 0, F.concat((key % 5 * 10 + 10).cast("string"), F.lit(" km/h")))),
+            tag("access", F.when(key % 17 == 0, F.lit("private"))),
+            tag("maxweight", F.when(key % 13 == 0, F.concat((key % 20).cast("string"), F.lit(" t")))),
+        )
+        present = F.map_from_entries(F.filter(tags, lambda t: t["v"].isNotNull()))
+        line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+        paths = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+            F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l_suppkey"]).alias("node_ids")
+        )
+        return self.table("orders").select(key, present.alias("tags")).join(paths, "o_orderkey").select(
+            key.alias("way_id"), "tags", "node_ids"
+        )
+
+    @cached_property
+    def road_relations(self) -> DataFrame:
+        """Turn restrictions from the largest parts: via a node, or naming ways only."""
+        key = F.col("p_partkey")
+        tags = F.create_map(
+            F.lit("type"), F.lit("restriction"), F.lit("restriction"), F.lit("no_left_turn"),
+            F.lit("except"), F.when(key % 3 == 0, "bus;hgv").otherwise("bus"),
+        )
+        member = lambda role, kind, ref: F.struct(
+            F.lit(role).alias("role"), F.lit(kind).alias("type"), ref.cast("bigint").alias("ref")
+        )
+        via = F.array(member("from", "w", key), member("via", "n", key % 97), member("to", "w", key + 1))
+        ways = F.array(member("from", "w", key), member("to", "w", key + 1))
+        return self.table("part").where(F.col("p_size") >= 48).select(
+            key.alias("rel_id"), tags.alias("tags"), F.when(key % 10 == 0, via).otherwise(ways).alias("members")
+        )
+
+    @cached_property
+    def road_edges(self) -> DataFrame:
+        from fieldtally.operators import graph
+
+        return graph.road_edges(self.road_ways, self.road_nodes, self.road_relations)
 
     @cached_property
     def overflow_comparison(self) -> DataFrame:

@@ -42,16 +42,18 @@ def replay(initial, capacity, arrivals, services, take: float = REMOVED_SHARE, s
     return F.aggregate(pieces, start, step)
 
 
-def replay_table(bins: DataFrame, services: DataFrame, keys: list[str], demand: Column | None = None) -> DataFrame:
-    """Replay each (keys, bin): ``bins`` has bin_id, initial_l, capacity_l, arrivals (array, one horizon).
-
-    ``services`` lists service minutes per (keys, bin); every bin is replayed
-    under every plan, served or not.
+def replay_table(
+    bins: DataFrame, services: DataFrame, plans: list[tuple], keys: list[str], demand: Column | None = None
+) -> DataFrame:
+    """Replay each bin under each plan: ``bins`` has bin_id, initial_l, capacity_l, arrivals (array, one horizon).
+
+    ``plans`` is the configured list of key values; plans without any service
+    are skipped.  ``services`` lists service minutes per (keys, bin); a bin is
+    replayed under every plan, served or not.
     """
-    plans = services.select(*keys).distinct()
-    population = bins.crossJoin(F.broadcast(plans)) if not set(keys) & set(bins.columns) else bins.join(
-        plans, sorted(set(keys) & set(bins.columns))
-    )
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, plan)]) for plan in plans])
+    population = bins.withColumn("__p", F.explode(listed)).select("*", "__p.*").drop("__p")
+    population = population.join(services.select(*keys).distinct(), keys, "left_semi")
     times = services.groupBy(*keys, "bin_id").agg(F.array_sort(F.collect_list("minute")).alias("services"))
     rows = population.join(times, [*keys, "bin_id"], "left").withColumn(
         "services", F.coalesce("services", F.array().cast("array<double>"))
