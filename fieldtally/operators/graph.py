@@ -148,64 +148,77 @@ def road_edges(ways: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataF
 # components ---------------------------------------------------------------
 
 
-def _spread(seed: DataFrame, edges: DataFrame, same: bool) -> DataFrame:
+def _spread(seed: DataFrame, edges: DataFrame) -> DataFrame:
     """Propagate the largest ``c`` along edges until stable.  ``seed``: (node, c).
 
-    With ``same`` a value only travels between nodes of equal ``color``, carried
-    on the edges as cu and cv.
+    One checkpoint per round holds every node's value and whether it is fresh;
+    only fresh nodes send on.
     """
-    state = cut_lineage(seed)
-    front = state
+    state = cut_lineage(seed.withColumn("fresh", F.lit(True)))
     while True:
-        hop = edges.where(F.col("cu") == F.col("cv")) if same else edges
-        sent = (
-            front.join(hop, front["node"] == hop["u"])
-            .groupBy(F.col("v").alias("node"))
-            .agg(F.max("c").alias("__c"))
-        )
-        gained = sent.join(state.withColumnRenamed("c", "__old"), "node", "left").where(
-            F.col("__old").isNull() | (F.col("__c") > F.col("__old"))
-        )
-        front = cut_lineage(gained.select("node", F.col("__c").alias("c")))
-        if front.isEmpty():
-            return state
+        front = state.where("fresh").select(F.col("node").alias("u"), "c")
+        sent = front.join(edges, "u").groupBy(F.col("v").alias("node")).agg(F.max("c").alias("__c"))
+        better = F.coalesce(F.col("__c") > F.col("c"), F.col("__c").isNotNull())
         state = cut_lineage(
-            state.unionByName(front).groupBy("node").agg(F.max("c").alias("c"))
+            state.drop("fresh")
+            .join(sent, "node", "full_outer")
+            .select("node", F.when(better, F.col("__c")).otherwise(F.col("c")).alias("c"), better.alias("fresh"))
         )
+        if state.where("fresh").isEmpty():
+            return state.drop("fresh")
+
 
+def _trim(graph: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between nodes that have both an edge in and an edge out, the nodes that lack one)."""
+    both = graph.select(F.col("u").alias("node")).intersect(graph.select(F.col("v").alias("node")))
+    keep = cut_lineage(both)
+    inner = graph.join(keep.toDF("u"), "u", "left_semi").join(keep.toDF("v"), "v", "left_semi")
+    return cut_lineage(inner), nodes.join(keep, "node", "left_anti")
 
-def strong_components(edges: DataFrame) -> DataFrame:
+
+def strong_components(edges: DataFrame, largest_only: bool = False) -> DataFrame:
     """(node, component) of a directed graph, by colouring.
 
-    Each round colours every node with the largest id that reaches it; the
-    nodes of a colour that reach its root backwards form one component.  All
-    colours finish in parallel; finished nodes leave the graph.
+    Each round sets aside nodes without an edge in or out (components of their
+    own), colours every other node with the largest id that reaches it, and
+    takes the nodes of a colour that reach its root backwards as one component.
+    All colours finish in parallel; finished nodes leave the graph.  With
+    ``largest_only`` the rounds end once no larger component can remain.
     """
     graph = cut_lineage(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct())
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     left = cut_lineage(ends)
     done = None
     while True:
-        colored = _spread(left.select("node", F.col("node").alias("c")), graph, False).withColumnRenamed("c", "color")
+        graph, lone = _trim(graph, left)
+        colored = _spread(left.join(lone, "node", "left_anti").select("node", F.col("node").alias("c")), graph)
+        colored = colored.withColumnRenamed("c", "color")
         a, b = colored.toDF("u", "cu"), colored.toDF("v", "cv")
-        back = cut_lineage(graph.join(a, "u").join(b, "v").select(F.col("v").alias("u"), F.col("u").alias("v"), "cu", "cv"))
+        back = cut_lineage(
+            graph.join(a, "u").join(b, "v").where(F.col("cu") == F.col("cv")).select(
+                F.col("v").alias("u"), F.col("u").alias("v")
+            )
+        )
         roots = colored.where(F.col("node") == F.col("color")).select("node", F.col("color").alias("c"))
-        found = _spread(roots, back, True).join(colored, "node").where(F.col("c") == F.col("color"))
-        found = found.select("node", F.col("color").alias("component"))
+        found = _spread(roots, back).select("node", F.col("c").alias("component"))
+        found = found.unionByName(lone.select("node", F.col("node").alias("component")))
         done = cut_lineage(found if done is None else done.unionByName(found))
         left = cut_lineage(left.join(done, "node", "left_anti"))
-        if left.isEmpty():
+        rest = left.count()
+        if rest == 0:
             return done
+        if largest_only:
+            top = done.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+            if top > rest:
+                return done
         graph = cut_lineage(
-            graph.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(
-                left.withColumnRenamed("node", "v"), "v", "left_semi"
-            )
+            graph.join(left.toDF("u"), "u", "left_semi").join(left.toDF("v"), "v", "left_semi")
         )
 
 
 def largest_scc(edges: DataFrame) -> DataFrame:
     """Nodes of the largest strongly connected component (smallest id set wins a tie)."""
-    parts = strong_components(edges)
+    parts = strong_components(edges, largest_only=True)
     best = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return parts.join(best, "component").select("node")
 
@@ -221,6 +234,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
     distances the smaller predecessor wins, so times are reproducible.
     """
     hop = cut_lineage(edges.select("u", "v", "length_m", "travel_seconds"))
+    columns = ["source", "node", "distance_m", "travel_s", "pred"]
     state = cut_lineage(
         sources.select(
             F.col("node").alias("source"),
@@ -228,38 +242,32 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
             F.lit(0.0).alias("distance_m"),
             F.lit(0.0).alias("travel_s"),
             F.lit(None).cast("bigint").alias("pred"),
+            F.lit(True).alias("fresh"),
         )
     )
-    front = state
     for _ in range(max_rounds):
+        front = state.where("fresh").select("source", F.col("node").alias("u"), "distance_m", "travel_s")
         offer = F.struct(
             (F.col("distance_m") + F.col("length_m")).alias("d"),
             F.col("u").alias("p"),
             (F.col("travel_s") + F.col("travel_seconds")).alias("t"),
         )
-        offers = (
-            front.join(hop, front["node"] == hop["u"])
-            .groupBy("source", F.col("v").alias("node"))
-            .agg(F.min(offer).alias("o"))
-        )
-        known = state.select("source", "node", F.col("distance_m").alias("__d"), F.col("pred").alias("__p"))
-        closer = F.col("__d").isNull() | (F.col("o.d") < F.col("__d")) | (
-            (F.col("o.d") == F.col("__d")) & (F.col("o.p") < F.col("__p"))
+        offers = front.join(hop, "u").groupBy("source", F.col("v").alias("node")).agg(F.min(offer).alias("o"))
+        d, p = F.col("distance_m"), F.col("pred")
+        closer = F.col("o").isNotNull() & (
+            d.isNull()
+            | (F.col("o.d") < d)
+            | ((F.col("o.d") == d) & F.coalesce(F.col("o.p") < p, F.lit(False)))
         )
-        front = cut_lineage(
-            offers.join(known, ["source", "node"], "left")
-            .where(closer)
-            .select(
-                "source",
-                "node",
-                F.col("o.d").alias("distance_m"),
-                F.col("o.t").alias("travel_s"),
-                F.col("o.p").alias("pred"),
-            )
+        take = lambda field, old: F.when(closer, F.col(f"o.{field}")).otherwise(F.col(old)).alias(old)
+        state = cut_lineage(
+            state.drop("fresh")
+            .join(offers, ["source", "node"], "full_outer")
+            .select("source", "node", take("d", "distance_m"), take("t", "travel_s"), take("p", "pred"), closer.alias("fresh"))
         )
-        if front.isEmpty():
+        if state.where("fresh").isEmpty():
             break
-        state = cut_lineage(state.join(front, ["source", "node"], "left_anti").unionByName(front))
+    state = state.select(*columns)
     if targets is None:
         return state
     return state.join(targets.select("node"), "node", "left_semi").select(*state.columns)
