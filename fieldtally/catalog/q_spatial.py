@@ -197,3 +197,21 @@ def _(w):
 def _(w):
     days = w.bin_day.groupBy("bin_id").agg(F.count_if(F.col("overflow_l_simulated") > 0).alias("n"))
     return days.groupBy(sp.hotspot_class("n").alias("hotspot")).agg(F.count(F.lit(1)).alias("bins"))
+
+
+@query(
+    "C12",
+    """SELECT zone_id, count(*) AS pois, avg(d) AS mean_nearest_m FROM (
+         SELECT poi_id, min(sqrt(pow(b.x - p.x, 2) + pow(b.y - p.y, 2))) AS d, min(p.longitude) AS longitude, min(p.latitude) AS latitude
+         FROM poi_xy p, bin_xy b GROUP BY 1)
+       JOIN zone_dim ON longitude BETWEEN min_lon AND max_lon AND latitude BETWEEN min_lat AND max_lat GROUP BY 1""",
+    "mean_nearest_m",
+    digits=3,
+)
+def _(w):
+    """Spatial joins together: containing zone and nearest bin of every point of interest."""
+    near = sp.nearest(w.pois_xy, w.bins_xy, "bin_id")
+    placed = sp.assign_zone(near, w.zone_rings).where(F.col("match_count") > 0)
+    return placed.groupBy(F.col("assigned_zone_id").alias("zone_id")).agg(
+        F.count(F.lit(1)).alias("pois"), F.avg("nearest_m").alias("mean_nearest_m")
+    )

@@ -17,8 +17,15 @@ def skew_adj(c) -> Column:
     return F.when(n >= 3, g)
 
 
-def skew_population(c) -> Column:
-    return F.skewness(col(c))
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over complete pairs; NULL for a constant series.
+
+    The built-in function divides by the spread and raises in ANSI mode when
+    there is none.
+    """
+    a, b = col(a), col(b)
+    spread_a, spread_b = F.var_pop(F.when(b.isNotNull(), a)), F.var_pop(F.when(a.isNotNull(), b))
+    return F.when((spread_a > 0) & (spread_b > 0), F.corr(a, b))
 
 
 def mode_min(df: DataFrame, keys: list[str], c: str, name: str = "mode") -> DataFrame:

@@ -50,7 +50,7 @@ def cross_city_equal_share(df: DataFrame, city_a: str, city_b: str, on: list[str
     b = counts.where(F.col("city_id") == city_b).drop("city_id")
     totals = (
         a.groupBy(*on).agg(F.sum("n").alias("na")).join(b.groupBy(*on).agg(F.sum("n").alias("nb")), on)
-    ).agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"))
+    ).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("pairs"))
     equal = a.join(b.withColumnRenamed("n", "m"), [*on, measure]).agg(
         F.sum(F.col("n") * F.col("m")).alias("equal_pairs")
     )

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldtally.functions.expressions import is_weekend, normal_two_sided_p, week_start
-from fieldtally.operators.aggregates import skew_adj
+from fieldtally.operators.aggregates import safe_corr, skew_adj
 from fieldtally.operators.ordering import rank_average
 from fieldtally.session import cut_lineage
 
@@ -21,7 +21,7 @@ def autocorr1(df: DataFrame, keys: list[str], ts: str, c: str) -> DataFrame:
     return (
         df.select(*keys, F.col(c).alias("__x"), F.lag(c).over(w).alias("__p"))
         .groupBy(*keys)
-        .agg(F.corr("__x", "__p").alias("autocorr1"))
+        .agg(safe_corr("__x", "__p").alias("autocorr1"))
     )
 
 
@@ -42,7 +42,7 @@ def diagnostics(daily: DataFrame, key: str, ts: str, metrics: list[str]) -> Data
             F.percentile("value", F.lit(0.25)).alias("q25"),
             F.percentile("value", F.lit(0.75)).alias("q75"),
             skew_adj("value").alias("skewness"),
-            F.corr("value", "__p").alias("lag1_autocorrelation"),
+            safe_corr("value", "__p").alias("lag1_autocorrelation"),
         )
     )
 
@@ -59,7 +59,7 @@ def corr_matrix(df: DataFrame, id_col: str, columns: list[str], method: str = "s
         ranked = rank_average(long, ["metric"], "value", "__rank")
         source = ranked.groupBy(id_col).pivot("metric", columns).agg(F.max("__rank"))
     pairs = list(combinations(columns, 2))
-    row = source.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = source.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "correlation")
     parts = F.split("pair", r"\|")
     return long.select(parts[0].alias("left_metric"), parts[1].alias("right_metric"), "correlation")
@@ -119,7 +119,7 @@ def hac_mean_test(pairs: DataFrame, lags: int, key: str = "test_id", order: str
         F.avg(value).alias("mean_difference"),
         F.median(value).alias("median_difference"),
         F.stddev_samp(value).alias("sd_weekly_difference"),
-        F.corr(value, "__p").alias("lag1_autocorrelation"),
+        safe_corr(value, "__p").alias("lag1_autocorrelation"),
         F.count_if(x > 0).alias("positive_weeks"),
         F.sum(F.col("__c") * F.col("__c")).alias("__g0"),
         *products,
