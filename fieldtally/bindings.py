@@ -19,6 +19,8 @@ from fieldtally.session import cut_lineage
 from fieldtally.settings import KG_PER_LITRE
 
 CAPACITY_L = 50
+# the five columns that identify a reading; its text id is built from the same ones
+READING_KEY = ("bin_id", "service_date_local", "order_id", "line_id", "part_id")
 # the event stream covers January 2024
 EVENT_CALENDAR = forecast.Calendar("2024-01-08", "2024-01-15", "2024-01-20", "2024-01-30")
 ISSUE_DATE = "2024-01-25"
@@ -201,6 +203,9 @@ class World:
             removed.alias("removed_l_true"),
             F.lit(CAPACITY_L).alias("capacity_l"),
             F.lit("synthetic").alias("data_origin"),
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("line_id"),
+            F.col("l_partkey").alias("part_id"),
         )
 
     @cached_property
@@ -222,6 +227,9 @@ class World:
             "removed_l_true",
             "capacity_l",
             "data_origin",
+            "order_id",
+            "line_id",
+            "part_id",
         )
 
     def _with_bin(self, df: DataFrame, *columns: str) -> DataFrame:
@@ -242,19 +250,21 @@ class World:
     # marts ----------------------------------------------------------------
     @cached_property
     def events(self) -> DataFrame:
-        return marts.collection_events(self.interim_zoned, self.truth)
+        return marts.collection_events(self.interim_zoned, self.truth, READING_KEY)
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        return marts.collection_diagnostics(
-            self.interim_zoned, self.truth, ("city_id", "city_name", "bin_key", "zone_key")
-        )
+        extra = ("city_id", "city_name", "bin_key", "zone_key")
+        return marts.collection_diagnostics(self.interim_zoned, self.truth, extra, READING_KEY)
+
+    @cached_property
+    def bin_day_rollup(self) -> DataFrame:
+        keep = ("zone_id", "city_id", "city_name", "bin_key", "zone_key")
+        return marts.bin_daily(self.obs, self.truth, self.dim_bin, keep, READING_KEY, rollup=True)
 
     @cached_property
     def bin_day(self) -> DataFrame:
-        return marts.bin_daily(
-            self.obs, self.truth, self.dim_bin, ("zone_id", "city_id", "city_name", "bin_key", "zone_key")
-        )
+        return self.bin_day_rollup.drop(*marts.ROLLUP_COLUMNS)
 
     @cached_property
     def zone_day(self) -> DataFrame:
@@ -270,7 +280,7 @@ class World:
 
     @cached_property
     def city_day(self) -> DataFrame:
-        return marts.city_daily(self.obs_city, self.truth_city, self.bin_day)
+        return marts.city_daily_rollup(self.bin_day_rollup)
 
     # event stream as readings of customer bins ------------------------------
     @cached_property
@@ -384,7 +394,11 @@ class World:
 
     @cached_property
     def route_stops(self) -> DataFrame:
-        """Each order is a route through the suppliers of its lines, depot first and last."""
+        """Each order is a route through the suppliers of its lines, depot first and last.
+
+        The stop table is stored once, as legs, matrix, metrics and arrival
+        times all read it.
+        """
         seq = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("vehicle"),
@@ -401,7 +415,8 @@ class World:
             F.lit(0).cast("bigint").alias("matrix_index"),
             F.lit(0).alias("planned_capacity_l"),
         )
-        return lines.unionByName(ends).join(self.order_city.drop("city_name"), "vehicle")
+        stops = lines.unionByName(ends).join(self.order_city.drop("city_name"), "vehicle")
+        return cut_lineage(stops)
 
     @cached_property
     def matrix(self) -> DataFrame:

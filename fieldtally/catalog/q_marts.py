@@ -9,7 +9,7 @@ from fieldtally.catalog.q_sources import CALENDAR_SQL
 from fieldtally.catalog.registry import query
 from fieldtally.functions.expressions import global_key
 from fieldtally.operators.joins import distinct_union
-from fieldtally.plans import star
+from fieldtally.plans import marts, star
 from fieldtally.sources.sinks import calendar_of
 
 
@@ -56,6 +56,14 @@ def _(w):
     return w.city_day.drop("data_origin")
 
 
+@query("K6_joined", "SELECT city_id, service_date_local, fill_sum_pct, overflow_slots, scheduled_readings FROM cityday", "fill_sum_pct")
+def _(w):
+    """The city mart from three separately reduced facts."""
+    return marts.city_daily(w.obs_city, w.truth_city, w.bin_day).select(
+        "city_id", "service_date_local", "fill_sum_pct", "overflow_slots", "scheduled_readings"
+    )
+
+
 @query(
     "K7",
     "SELECT * FROM attempt",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from fieldtally.bindings import World
@@ -14,11 +14,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Round half away from zero in double arithmetic (no decimal objects per row)."""
+    scaled = c.cast("double") * F.lit(10.0**digits)
+    near = F.rint(scaled)
+    tie = F.abs(scaled - near) == 0.5
+    return F.when(tie, scaled + F.signum(scaled) * 0.5).otherwise(near) / F.lit(10.0**digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded so that two engines' summation orders agree."""
     return df.select(
         *[
-            F.round(F.col(f.name).cast("double"), digits).alias(f.name)
+            fixed(F.col(f.name), digits).alias(f.name)
             if isinstance(f.dataType, (DoubleType, FloatType))
             else F.col(f.name)
             for f in df.schema.fields

@@ -21,11 +21,11 @@ def safe_corr(a, b) -> Column:
     """Pearson correlation over complete pairs; NULL for a constant series.
 
     The built-in function divides by the spread and raises in ANSI mode when
-    there is none.
+    there is none, so the quotient is formed here with a guard.
     """
     a, b = col(a), col(b)
-    spread_a, spread_b = F.var_pop(F.when(b.isNotNull(), a)), F.var_pop(F.when(a.isNotNull(), b))
-    return F.when((spread_a > 0) & (spread_b > 0), F.corr(a, b))
+    spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a))) * F.sqrt(F.var_pop(F.when(a.isNotNull(), b)))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
 
 
 def mode_min(df: DataFrame, keys: list[str], c: str, name: str = "mode") -> DataFrame:

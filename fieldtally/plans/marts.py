@@ -23,47 +23,50 @@ def succeeded(status: str = "collection_status"):
     return F.col(status).isin(*SUCCESS)
 
 
-def collection_events(interim: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row per service attempt; the status filter runs below the join."""
-    attempts = interim.where(F.col("collection_status").isin(*ATTEMPTED)).select(
-        F.col("reading_id"),
-        F.col("bin_id"),
-        F.col("zone_id"),
-        F.col("service_date_local").cast("date").alias("service_date_local"),
-        F.col("timestamp_utc").alias("attempted_at_utc"),
-        F.col("collection_status"),
+def fact_pair(facts: DataFrame, latent: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """1:1 join of two facts.  Facts grow with the data, so neither is ever broadcast."""
+    return facts.join(latent.hint("merge"), list(key))
+
+
+def _attempts(interim: DataFrame, key: tuple[str, ...], extra: tuple[str, ...]) -> DataFrame:
+    named = ["reading_id", "bin_id", "zone_id", "service_date_local", "collection_status", *extra]
+    return interim.where(F.col("collection_status").isin(*ATTEMPTED)).select(
+        *named, *[k for k in key if k not in named], F.col("timestamp_utc").alias("attempted_at_utc")
     )
+
+
+def collection_events(interim: DataFrame, truth: DataFrame, key: tuple[str, ...] = ("reading_id",)) -> DataFrame:
+    """One row per service attempt; the status filter runs below the join."""
+    attempts = _attempts(interim, key, ())
     mass = truth.select(
-        "reading_id",
+        *key,
         (F.col("removed_l_true") * KG_PER_LITRE).alias("collected_kg"),
         (F.col("inventory_l_true") * KG_PER_LITRE).alias("residual_kg"),
     )
-    return attempts.join(mass, "reading_id").select(
+    return fact_pair(attempts, mass, key).select(
         F.col("reading_id").alias("collection_id"),
-        *[c for c in attempts.columns if c != "reading_id"],
+        "bin_id",
+        "zone_id",
+        F.col("service_date_local").cast("date").alias("service_date_local"),
+        "attempted_at_utc",
+        "collection_status",
         "collected_kg",
         "residual_kg",
         synthetic(),
     )
 
 
-def collection_diagnostics(interim: DataFrame, truth: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def collection_diagnostics(
+    interim: DataFrame, truth: DataFrame, extra: tuple[str, ...] = (), key: tuple[str, ...] = ("reading_id",)
+) -> DataFrame:
     """Attempts with the latent fill before service, in one join with truth.
 
-    Attempt and truth share the reading id, so the attempt mart and the
+    Attempt and truth share the reading key, so the attempt mart and the
     diagnostic columns come out of the same shuffle.
     """
-    attempts = interim.where(F.col("collection_status").isin(*ATTEMPTED)).select(
-        "reading_id",
-        "bin_id",
-        "zone_id",
-        F.col("service_date_local").cast("date").alias("service_date_local"),
-        F.col("timestamp_utc").alias("attempted_at_utc"),
-        "collection_status",
-        *extra,
-    )
+    attempts = _attempts(interim, key, extra)
     latent = truth.select(
-        "reading_id",
+        *key,
         (F.col("removed_l_true") * KG_PER_LITRE).alias("collected_kg"),
         (F.col("inventory_l_true") * KG_PER_LITRE).alias("residual_kg"),
         (
@@ -73,32 +76,54 @@ def collection_diagnostics(interim: DataFrame, truth: DataFrame, extra: tuple[st
         ).alias("pre_service_fill_pct"),
         (F.col("overflow_l_true") > 0).alias("overflow_at_attempt"),
     )
-    return (
-        attempts.join(latent, "reading_id")
-        .withColumnRenamed("reading_id", "collection_id")
-        .withColumn("data_origin", F.lit("synthetic"))
+    return fact_pair(attempts, latent, key).select(
+        F.col("reading_id").alias("collection_id"),
+        "bin_id",
+        "zone_id",
+        F.col("service_date_local").cast("date").alias("service_date_local"),
+        "attempted_at_utc",
+        "collection_status",
+        *extra,
+        "collected_kg",
+        "residual_kg",
+        "pre_service_fill_pct",
+        "overflow_at_attempt",
+        synthetic(),
     )
 
 
-def bin_daily(obs: DataFrame, truth: DataFrame, dim_bin: DataFrame, keep: tuple[str, ...] = ("zone_id",)) -> DataFrame:
+# sums the city mart needs on top of the published bin-day columns
+ROLLUP_COLUMNS = ("fill_sum_pct", "overflow_slots")
+
+
+def bin_daily(
+    obs: DataFrame,
+    truth: DataFrame,
+    dim_bin: DataFrame,
+    keep: tuple[str, ...] = ("zone_id",),
+    key: tuple[str, ...] = ("reading_id",),
+    rollup: bool = False,
+) -> DataFrame:
     """Bin-day mart.
 
     The 1:1 reading join carries only the measured columns; rows collapse to
     bin-days before the dimension is attached, so the dimension join moves
-    bin-days and not readings.
+    bin-days and not readings.  ``rollup`` adds the sums from which the city
+    mart follows without another pass over readings.
     """
     facts = obs.select(
-        "reading_id",
-        "bin_id",
-        F.col("service_date_local").cast("date").alias("service_date_local"),
+        *key,
+        *[c for c in ("bin_id", "service_date_local") if c not in key],
         "fill_level_pct",
         "sensor_status",
         "collection_status",
     )
-    latent = truth.select("reading_id", "arrivals_l_true", "overflow_l_true", "removed_l_true")
+    latent = truth.select(*key, "arrivals_l_true", "overflow_l_true", "removed_l_true")
+    day = F.col("service_date_local").cast("date").alias("service_date_local")
+    extra = [F.sum("fill_level_pct").alias("fill_sum_pct"), count_where(F.col("overflow_l_true") > 0).alias("overflow_slots")]
     daily = (
-        facts.join(latent, "reading_id")
-        .groupBy("bin_id", "service_date_local")
+        fact_pair(facts, latent, key)
+        .groupBy("bin_id", day)
         .agg(
             F.count(F.lit(1)).alias("scheduled_readings"),
             F.count("fill_level_pct").alias("received_readings"),
@@ -110,6 +135,7 @@ def bin_daily(obs: DataFrame, truth: DataFrame, dim_bin: DataFrame, keep: tuple[
             (F.sum("removed_l_true") * KG_PER_LITRE).alias("collected_kg_simulated"),
             count_where(succeeded()).alias("successful_collections"),
             count_where(F.col("collection_status") == "missed").alias("missed_collections"),
+            *(extra if rollup else []),
         )
     )
     return daily.join(dim_bin.select("bin_id", *keep), "bin_id").withColumn(
@@ -177,6 +203,40 @@ def vehicle_daily(route_day: DataFrame, kmpl: float = KM_PER_LITRE_FUEL) -> Data
     ).withColumn("data_origin", F.lit("synthetic"))
 
 
+def _city_columns(joined: DataFrame) -> DataFrame:
+    return joined.select(
+        "city_id",
+        "city_name",
+        "service_date_local",
+        "bins",
+        "generated_l",
+        "overflow_l",
+        "successful_collections",
+        "missed_collections",
+        "collected_kg",
+        "scheduled_readings",
+        "received_readings",
+        "fill_sum_pct",
+        safe_div("fill_sum_pct", "received_readings").alias("mean_fill_pct"),
+        "overflow_slots",
+        (F.lit(100.0) * F.col("overflow_slots") / F.col("scheduled_readings")).alias("overflow_slot_pct"),
+        (F.col("generated_l") / F.col("bins")).alias("generated_l_per_bin_day"),
+        (F.lit(1.0) * F.col("successful_collections") / F.col("bins")).alias("collections_per_bin_day"),
+        synthetic(),
+    )
+
+
+def _city_sums() -> list:
+    return [
+        F.count(F.lit(1)).alias("bins"),
+        F.sum("arrivals_l_simulated").alias("generated_l"),
+        F.sum("overflow_l_simulated").alias("overflow_l"),
+        F.sum("successful_collections").alias("successful_collections"),
+        F.sum("missed_collections").alias("missed_collections"),
+        F.sum("collected_kg_simulated").alias("collected_kg"),
+    ]
+
+
 def city_daily(obs: DataFrame, truth: DataFrame, bin_day: DataFrame) -> DataFrame:
     """City-day mart: each fact is reduced to city-days first, then joined."""
     keys = ["city_id", "service_date_local"]
@@ -186,27 +246,13 @@ def city_daily(obs: DataFrame, truth: DataFrame, bin_day: DataFrame) -> DataFram
         F.sum("fill_level_pct").alias("fill_sum_pct"),
     )
     spilled = truth.groupBy(*keys).agg(count_where(F.col("overflow_l_true") > 0).alias("overflow_slots"))
-    daily = bin_day.groupBy("city_id", "city_name", "service_date_local").agg(
-        F.count(F.lit(1)).alias("bins"),
-        F.sum("arrivals_l_simulated").alias("generated_l"),
-        F.sum("overflow_l_simulated").alias("overflow_l"),
-        F.sum("successful_collections").alias("successful_collections"),
-        F.sum("missed_collections").alias("missed_collections"),
-        F.sum("collected_kg_simulated").alias("collected_kg"),
-    )
-    return (
-        daily.join(seen, keys)
-        .join(spilled, keys)
-        .select(
-            *daily.columns,
-            "scheduled_readings",
-            "received_readings",
-            "fill_sum_pct",
-            safe_div("fill_sum_pct", "received_readings").alias("mean_fill_pct"),
-            "overflow_slots",
-            (F.lit(100.0) * F.col("overflow_slots") / F.col("scheduled_readings")).alias("overflow_slot_pct"),
-            (F.col("generated_l") / F.col("bins")).alias("generated_l_per_bin_day"),
-            (F.lit(1.0) * F.col("successful_collections") / F.col("bins")).alias("collections_per_bin_day"),
-            synthetic(),
-        )
+    daily = bin_day.groupBy("city_id", "city_name", "service_date_local").agg(*_city_sums())
+    return _city_columns(daily.join(seen, keys).join(spilled, keys))
+
+
+def city_daily_rollup(bin_day: DataFrame) -> DataFrame:
+    """The same mart from a bin-day mart built with ``rollup``: one pass over readings feeds all marts."""
+    sums = [F.sum(c).alias(c) for c in ("scheduled_readings", "received_readings", *ROLLUP_COLUMNS)]
+    return _city_columns(
+        bin_day.groupBy("city_id", "city_name", "service_date_local").agg(*_city_sums(), *sums)
     )

@@ -270,17 +270,36 @@ def q12(obs, truth, bin_day, zone_day, events):
     return row.drop("__one")
 
 
+def timing_counts(diagnostics: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempts reduced to counts of (keys, status, pre-service fill, overflow), stored once.
+
+    Counts, shares and exact medians of attempt timing all follow from this
+    table, so the attempt join runs a single time.
+    """
+    return cut_lineage(
+        diagnostics.groupBy(*keys, "collection_status", "pre_service_fill_pct", "overflow_at_attempt").agg(
+            n_rows().alias("n")
+        )
+    )
+
+
+def n_where(cond: Column) -> Column:
+    """Weighted count over a table of counts."""
+    return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+
 def q13(diagnostics, k=25):
     """Median at attempt grain goes through the skew-safe quantile, for kept bins only."""
+    counts = timing_counts(diagnostics, ["bin_id", "zone_id"])
     flagged = (
-        diagnostics.groupBy("bin_id", "zone_id")
-        .agg(n_rows().alias("attempts"), count_where(is_early()).alias("early_successes_lt35_pct"))
+        counts.groupBy("bin_id", "zone_id")
+        .agg(F.sum("n").alias("attempts"), n_where(is_early()).alias("early_successes_lt35_pct"))
         .where(F.col("early_successes_lt35_pct") > 0)
     )
     top = top_ranked(flagged, [F.desc("early_successes_lt35_pct")], ["bin_id"], k, "early_rank")
-    kept = diagnostics.join(F.broadcast(top.select("bin_id")), "bin_id", "left_semi")
+    kept = counts.join(F.broadcast(top.select("bin_id")), "bin_id", "left_semi")
     medians = exact_quantiles(
-        kept, ["bin_id"], "pre_service_fill_pct", {"median_pre_service_fill_pct_true": 0.5}
+        kept, ["bin_id"], "pre_service_fill_pct", {"median_pre_service_fill_pct_true": 0.5}, weight="n"
     )
     return top.join(medians, "bin_id")
 
@@ -566,14 +585,15 @@ def q27_status(events):
 
 
 def q27_timing(diagnostics):
-    counts = diagnostics.agg(
-        n_rows().alias("attempts"),
-        count_where(succeeded()).alias("successful_attempts"),
-        count_where(is_early()).alias("early_successes_lt35_pct"),
-        count_where(is_late()).alias("near_full_or_overflow_attempts"),
+    table = timing_counts(diagnostics, [])
+    counts = table.agg(
+        F.sum("n").alias("attempts"),
+        n_where(succeeded()).alias("successful_attempts"),
+        n_where(is_early()).alias("early_successes_lt35_pct"),
+        n_where(is_late()).alias("near_full_or_overflow_attempts"),
     ).withColumn("__one", F.lit(1))
     median = exact_quantiles(
-        diagnostics, [], "pre_service_fill_pct", {"median_pre_service_fill_pct_true": 0.5}
+        table, [], "pre_service_fill_pct", {"median_pre_service_fill_pct_true": 0.5}, weight="n"
     ).withColumn("__one", F.lit(1))
     return counts.join(median, "__one").drop("__one")
 
