@@ -23,13 +23,24 @@ def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def split_points(value: str, parts: int) -> Column:
+    """Sketched quantiles of a column (a bounded, mergeable state per group)."""
+    return F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 10000)
+
+
+def part_of(value: str, edges: str) -> Column:
+    """Number of split points below the value: never decreases along the values."""
+    v = F.col(value).cast("double")
+    return F.size(F.filter(edges, lambda e: e < v)).cast("bigint")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
     value: str | Column,
     probs: dict[str, float],
     how: str = "linear",
-    buckets: int = 4096,
+    buckets: int = 256,
     weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per key; ``how`` is ``linear`` or ``higher``.
@@ -37,9 +48,12 @@ def exact_quantiles(
     ``weight`` names a count column when the input is already value counts.
 
     1. equal values collapse to (value, count) before the shuffle;
-    2. a histogram of at most ``buckets`` rows per key locates the buckets that
-       hold the wanted positions;
-    3. only the values of those buckets are ordered.
+    2. sketched split points cut each key's distinct values into ``buckets``
+       about equal parts, whatever their distribution, and the counts per part
+       locate the wanted positions;
+    3. only the values of the parts so found are ordered.
+
+    The split points decide how work spreads, never the result.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
@@ -56,17 +70,10 @@ def exact_quantiles(
         .agg(F.sum("__w").alias("__c"))
     )
     span = base.groupBy(*keys_in).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")
-    )
-    width = F.col("__hi") - F.col("__lo")
-    bucket = F.when(
-        width > 0,
-        F.least(
-            F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(buckets)), F.lit(buckets - 1)
-        ),
-    ).otherwise(F.lit(0).cast("bigint"))
+        split_points("__v", buckets).alias("__edges"), F.sum("__c").alias("__n")
+    )
     binned = match_keys(base, span, keys_in).select(
-        *keys_in, "__v", "__c", "__n", bucket.alias("__b")
+        *keys_in, "__v", "__c", "__n", part_of("__v", "__edges").alias("__b")
     )
     hist = binned.groupBy(*keys_in, "__b").agg(
         F.sum("__c").alias("__bc"), F.max("__n").alias("__n")
@@ -160,21 +167,16 @@ def split_position(
     return placed.withColumn(name, F.col("__off") + F.col("__p")).drop("__off", "__p", *ks)
 
 
-def rank_average(df: DataFrame, part: list[str], value: str, name: str, buckets: int = 4096):
-    """Average-tie rank of ``value`` (NULL gets no rank), value-bucketed."""
+def rank_average(df: DataFrame, part: list[str], value: str, name: str, buckets: int = 256):
+    """Average-tie rank of ``value`` (NULL gets no rank), over about equal parts of the values."""
     known = df.where(F.col(value).isNotNull())
     dummy = part or ["__all"]
     if not part:
         known = known.withColumn("__all", F.lit(0))
-    span = known.groupBy(*dummy).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    width = F.col("__hi") - F.col("__lo")
-    joined = match_keys(known, span, dummy)
-    bucket = F.when(
-        width > 0,
-        F.least(F.floor((F.col(value) - F.col("__lo")) / width * F.lit(buckets)), F.lit(buckets - 1)),
-    ).otherwise(F.lit(0).cast("bigint"))
-    ranked = split_position(joined, dummy, [bucket], [F.col(value)], name, "average")
-    return ranked.drop("__lo", "__hi", *([] if part else ["__all"]))
+    span = known.groupBy(*dummy).agg(split_points(value, buckets).alias("__edges"))
+    joined = match_keys(known, span, dummy).withColumn("__b", part_of(value, "__edges")).drop("__edges")
+    ranked = split_position(joined, dummy, [F.col("__b")], [F.col(value)], name, "average")
+    return ranked.drop("__b", *([] if part else ["__all"]))
 
 
 def lag_split(

@@ -70,9 +70,12 @@ def write_manifest(results: dict[str, DataFrame], path: str) -> DataFrame:
 
 
 def write_clustered(df: DataFrame, path: str, date: str, key: str) -> None:
-    """Partition by date, sort by key inside files, so min/max statistics prune on the key."""
+    """Partition by date, sort by key inside files, so min/max statistics prune on the key.
+
+    Rows of a date meet in few tasks, and AQE splits a date that is too large for one.
+    """
     (
-        df.repartition(F.col(date))
+        df.hint("rebalance", F.col(date))
         .sortWithinPartitions(date, key)
         .write.partitionBy(date)
         .mode("overwrite")
