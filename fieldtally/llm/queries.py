@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import quality
+from fieldtally.llm import mixing, quality
 from fieldtally.llm.catalog import query, table
 
 
@@ -12,3 +12,41 @@ def op8(spark, sf_dir):
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')) AS draw
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+         [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM s),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k,
+         coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
+         sum(source_size) OVER ()::DOUBLE AS total
+  FROM w),
+v AS (SELECT coalesce(min(k) FILTER (WHERE cap / weight > (total - used) / open_weight), 1000000000) AS first_open FROM o),
+lev AS (SELECT first_open, coalesce((SELECT (total - used) / open_weight FROM o WHERE k = first_open), 0) AS level FROM v),
+t AS (SELECT source, source_size, CASE WHEN k < first_open THEN cap ELSE weight * level END AS target FROM o, lev),
+r AS (SELECT source, source_size, target,
+             CASE WHEN source_size > 0 THEN least(round(target)::BIGINT, 3 * source_size) // source_size ELSE 0 END AS reps,
+             CASE WHEN source_size > 0 THEN least(round(target)::BIGINT, 3 * source_size) % source_size ELSE 0 END AS rest
+      FROM t),
+c AS (SELECT d.*, r.source_size, r.target, r.reps, r.rest,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+       (size * reps + least(size, greatest(0, rest - before)))::BIGINT AS taken
+FROM c
+"""
+
+
+@query("op2_source_mixing", OP2_SQL)
+def op2(spark, sf_dir):
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
