@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import mixing, quality
+from pyspark.sql import functions as F
+
+from fieldtally.llm import mixing, quality, secret_scan
 from fieldtally.llm.catalog import query, table
 
 
@@ -50,3 +52,19 @@ FROM c
 def op2(spark, sf_dir):
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_secret_scans")
+def op3(spark, sf_dir):
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[number(k) for k in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
