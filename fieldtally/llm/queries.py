@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import mixing, quality, secret_scan
+from fieldtally.llm import mixing, packing, quality, secret_scan, token_files
 from fieldtally.llm.catalog import query, table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op8_quality_rules")
 def op8(spark, sf_dir):
     judged = quality.judge_quality(table(spark, sf_dir, "documents"))
@@ -68,3 +75,15 @@ def op3(spark, sf_dir):
         F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
         secret_scan.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    path = tokenizer_path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, with_ids=False)
+
+
+@query("op9_token_files")
+def op9(spark, sf_dir):
+    folder = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, folder, with_ids=False)
