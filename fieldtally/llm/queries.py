@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import mixing, packing, quality, secret_scan, token_files
+from fieldtally.llm import mixing, packing, quality, secret_scan, token_files, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -87,3 +87,27 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, folder, with_ids=False)
+
+
+URL_RULES = (
+    url_filter.Rule.parse("allow", "org/"),
+    url_filter.Rule.parse("block", "example.org/es/"),
+    url_filter.Rule.parse("block", "example.org/en/1"),
+    url_filter.Rule.parse("allow", "com/fr/"),
+    url_filter.Rule.parse("block", "com/de/"),
+)
+
+
+@query("op10_url_filters")
+def op10(spark, sf_dir):
+    """A page shows the document whose id is the number in its path; that document's label is the page's."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    document = F.expr("try_cast(nullif(regexp_extract(__path, '/([0-9]+)', 1), '') AS BIGINT)")
+    shown = pages.withColumn("__path", url_filter.url_path(F.col("url"))).select(
+        F.col("page_id").alias("page_key"), document.alias("doc_id")
+    )
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    labels = table(spark, sf_dir, "labels").select("doc_id", good)
+    labelled = shown.where("doc_id IS NOT NULL").join(labels, "doc_id").select("page_key", "good")
+    judged = url_filter.judge_urls(pages, labelled, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
