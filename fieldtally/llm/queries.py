@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import mixing, packing, quality, secret_scan, token_files, url_filter
+from fieldtally.llm import mixing, packing, quality, secret_scan, token_files, toxicity, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -111,3 +111,17 @@ def op10(spark, sf_dir):
     labelled = shown.where("doc_id IS NOT NULL").join(labels, "doc_id").select("page_key", "good")
     judged = url_filter.judge_urls(pages, labelled, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
