@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import mixing, packing, quality, secret_scan, token_files, toxicity, url_filter
+from fieldtally.llm import mixing, nearest, packing, quality, secret_scan, token_files, toxicity, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -125,3 +125,8 @@ def op5(spark, sf_dir):
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+@query("op1_nearest_neighbours")
+def op1(spark, sf_dir):
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
