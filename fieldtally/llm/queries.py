@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import mixing, nearest, packing, quality, secret_scan, token_files, toxicity, url_filter
+from fieldtally.llm import jaccard, mixing, nearest, packing, quality, secret_scan, token_files, toxicity, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -130,3 +130,31 @@ def op5(spark, sf_dir):
 @query("op1_nearest_neighbours")
 def op1(spark, sf_dir):
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS s
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, s FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT doc_id AS root, doc_id FROM n UNION SELECT c.root, u.b FROM c JOIN u ON u.a = c.doc_id AND u.b > c.root),
+m AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op4_ngram_jaccard", OP4_SQL)
+def op4(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
