@@ -208,24 +208,61 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, smoothin
     return model
 
 
+def _pattern(rules: Sequence[Rule]) -> Column:
+    """The votes in base 3."""
+    return sum(((rule.vote() + F.lit(1)) * F.lit(3**k) for k, rule in enumerate(rules)), F.lit(0))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
+def _posteriors(voted: DataFrame, rules: Sequence[Rule], weight: str | None = None) -> DataFrame:
+    """``pattern, quality`` of every pattern that occurs: at most 3 ** rules rows."""
+    count = F.col(weight) if weight else F.lit(1)
+    patterns = voted.groupBy("pattern").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(count)).alias("count")).collect()
+    sizes = {r["pattern"]: r["count"] for r in patterns}
+    codes = np.array(sorted(sizes), np.int64)
+    votes = (codes[:, None] // 3 ** np.arange(len(rules)) % 3 - 1).reshape(len(codes), len(rules))
+    model = fit_votes(votes, np.array([sizes[c] for c in codes.tolist()], float))
+    known = [(int(c), float(p)) for c, p in zip(codes, model.posterior(votes), strict=True)]
+    return voted.sparkSession.createDataFrame(known, "pattern int, quality double")
+
+
 def judge_quality(
     docs: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.5, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Counts, ``pattern`` (votes in base 3), ``quality`` (posterior of good) and ``kept`` per row."""
-    spark = docs.sparkSession
     counted = quality_counts(docs, key, text)
-    code = sum(((rule.vote() + F.lit(1)) * F.lit(3**k) for k, rule in enumerate(rules)), F.lit(0))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    voted = cut_lineage(counted.withColumn("pattern", code).withColumn("base_failed", failed))
-    patterns = (  # at most 3 ** len(rules) rows
-        voted.groupBy("pattern").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("count")).collect()
-    )
-    codes = np.array(sorted(r["pattern"] for r in patterns), np.int64)
-    sizes = {r["pattern"]: r["count"] for r in patterns}
-    votes = (codes[:, None] // 3 ** np.arange(len(rules)) % 3 - 1).astype(np.int64).reshape(len(codes), len(rules))
-    model = fit_votes(votes, np.array([sizes[c] for c in codes], float))
-    known = [(int(c), float(p)) for c, p in zip(codes, model.posterior(votes), strict=True)]
-    table = spark.createDataFrame(known, "pattern int, quality double")
-    return voted.join(F.broadcast(table), "pattern").withColumn(
+    voted = cut_lineage(counted.withColumn("pattern", _pattern(rules)).withColumn("base_failed", _base_failed()))
+    return voted.join(F.broadcast(_posteriors(voted, rules)), "pattern").withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= threshold)
     )
+
+
+def good_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.5) -> DataFrame:
+    """The rows that are kept, in their own columns.
+
+    Two passes over the texts and no shuffle of them: the first learns the model, the second
+    counts again beside the rows and drops those that fail.
+    """
+    counted = quality_counts(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    voted = counted.select(_pattern(rules).alias("pattern"), _base_failed().alias("base_failed"))
+    posteriors = _posteriors(cut_lineage(voted.groupBy("pattern", "base_failed").count()), rules, "count")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("__text"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets):
+                found = count_slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["__row", *COUNTS]
+                )
+
+    schema = packed.select("__row").schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    beside = map_arrow(packed, step, schema).withColumn("pattern", _pattern(rules))
+    kept = beside.where(~_base_failed()).join(F.broadcast(posteriors), "pattern").where(F.col("quality") >= threshold)
+    return kept.select("__row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import jaccard, mixing, nearest, packing, quality, secret_scan, token_files, toxicity, url_filter
+from fieldtally.llm import jaccard, mixing, nearest, packing, quality, repeats, secret_scan, token_files, toxicity, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -158,3 +158,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 @query("op4_ngram_jaccard", OP4_SQL)
 def op4(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("spans")

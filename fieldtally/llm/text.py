@@ -73,7 +73,7 @@ class Hasher:
         if n <= 0:
             return np.empty(0, _U64)
         value = (self.sums[width:] - self.sums[:n]) * self.back[:n]
-        return mix(value + _U64(width) * _U64(0x9E3779B97F4A7C15))
+        return mix(value + _U64(width * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -150,12 +150,18 @@ class WordEncoder(_Encoder):
         self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str] | None:
-        if not self.allowed.issuperset(text) or any(a in text for a in self.added):
+        # separators that only one side takes for white space; other rare characters show in the pieces
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or any(a in text for a in self.added):
             return None
         return text.lower().split()
 
     def learn(self, pieces: Iterable[str]) -> None:
-        pieces = list(pieces)
+        pieces, strange = list(pieces), set()
+        for p in pieces:
+            if not (p.isascii() and p.isprintable()) and not self.allowed.issuperset(p):
+                strange.add(p)
+        self.known.update(dict.fromkeys(strange))  # None: such texts go whole
+        pieces = [p for p in pieces if p not in strange] if strange else pieces
         found = [self.rule(p) for p in pieces]
         if len(self.words) > CACHE_PIECES:
             self.words.clear()
