@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, map_arrow, mix, slices, utf8
+from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, count_by_part, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage
 
 WIDTH = 5
@@ -153,20 +153,13 @@ def count_sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if p not in counts:
-                    counts[p] = np.zeros(per_part, np.int64)
-                cells = np.frombuffer(blob.as_buffer(), "<u2")
-                counts[p] += np.bincount(cells, minlength=per_part)
-        for p, count in counts.items():
+        for p, count in count_by_part(batches, per_part, "<u2"):
             level = np.ceil(np.log2(count + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "levels"]
             )
 
-    sent = map_arrow(texts, step, "part int, cells binary").repartition(SKETCH_PARTS, "part")
+    sent = map_arrow(texts, step, "part int, cells binary").repartition("part").sortWithinPartitions("part")
     levels = np.zeros(1 << bits, np.uint8)
     for row in map_arrow(sent, add, "part int, levels binary").collect():  # 2 ** bits bytes in all
         levels[row["part"] * per_part : (row["part"] + 1) * per_part] = np.frombuffer(row["levels"], np.uint8)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.text import Hasher, map_arrow, mix, slices, utf8
+from fieldtally.llm.text import Hasher, count_by_part, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage, scratch_path
 
 WIDTH = 100
@@ -163,18 +163,12 @@ def anchor_sketch(texts: DataFrame, bits: int, hot: int = HOT) -> Sketch:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["part", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if p not in counts:
-                    counts[p] = np.zeros(per_part, np.int32)
-                np.add.at(counts[p], np.frombuffer(blob.as_buffer(), "<u4"), 1)
-        for p, count in counts.items():
+        for p, count in count_by_part(batches, per_part, "<u4"):
             maps = [np.packbits(count >= 2).tobytes(), np.packbits(count > hot).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], ["part", "twice", "hot"])
 
     twice, often = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
-    sent = map_arrow(texts, step, "part int, cells binary").repartition(CELL_PARTS, "part")
+    sent = map_arrow(texts, step, "part int, cells binary").repartition("part").sortWithinPartitions("part")
     for row in map_arrow(sent, add, "part int, twice binary, hot binary").toLocalIterator():
         at = slice(row["part"] * per_part // 8, (row["part"] + 1) * per_part // 8)
         twice[at], often[at] = np.frombuffer(row["twice"], np.uint8), np.frombuffer(row["hot"], np.uint8)

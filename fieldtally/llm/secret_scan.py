@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.llm.text import LOWER, map_arrow, slices, utf8
 
@@ -269,11 +270,11 @@ def redact(docs: DataFrame, replacement: str = REPLACEMENT) -> DataFrame:
                 fixed: list[str | None] = [None] * (b - a)
                 for row, got in spans.items():
                     fixed[row] = clean(part[at[row] : at[row + 1]], got)
-                names = [n for n in batch.schema.names]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fixed, pa.string())], [*names, "__fixed"])
+                columns = [*rows.columns, pa.array(fixed, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "__fixed"])
 
     tagged = docs.withColumnRenamed("text", "__text")
-    schema = tagged.schema.add("__fixed", "string")
+    schema = T.StructType([*tagged.schema.fields, T.StructField("__fixed", T.StringType())])
     done = map_arrow(tagged, step, schema)
     out = []
     for c in docs.columns:

@@ -138,6 +138,21 @@ class Words:
         return mix(total[at]), at
 
 
+def count_by_part(batches: Iterator[pa.RecordBatch], cells: int, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Occurrences of each cell of each part, from rows (part, cell numbers) sorted by part."""
+    current, count = None, np.empty(0, np.int64)
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != current:
+                if current is not None:
+                    yield current, count
+                current, count = part, np.zeros(cells, np.int64)
+            at, times = np.unique(np.frombuffer(blob.as_buffer(), kind), return_counts=True)
+            count[at] += times
+    if current is not None:
+        yield current, count
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds the bytes of an Arrow batch, so that long texts do not add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
