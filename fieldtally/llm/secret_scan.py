@@ -192,10 +192,16 @@ def find_secrets(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _long_runs(flags: np.ndarray, least: int) -> np.ndarray:
-    """Starts of runs of at least so many flagged bytes."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-    starts, ends = edges[::2], edges[1::2]
+def _long_runs(flags: np.ndarray, least: int, offsets: np.ndarray) -> np.ndarray:
+    """Starts of runs of at least so many flagged bytes; runs end with their row."""
+    begin, finish = flags.copy(), flags.copy()
+    begin[1:] &= ~flags[:-1]
+    finish[:-1] &= ~flags[1:]
+    edge = offsets[1:-1]
+    edge = edge[(edge > 0) & (edge < len(flags))]
+    begin[edge] |= flags[edge]
+    finish[edge - 1] |= flags[edge - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
     return starts[ends - starts >= least]
 
 
@@ -209,11 +215,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             while at >= 0:
                 places.append(at)
                 at = text.find(word, at + 1)
-    long_runs = _long_runs(_BLOB_BYTE[data], BLOB_LENGTH)
+    long_runs = _long_runs(_BLOB_BYTE[data], BLOB_LENGTH, offsets)
     rows = len(offsets) - 1
     runs, some = np.zeros(rows, bool), np.zeros(rows, bool)
     runs[np.searchsorted(offsets, long_runs, "right") - 1] = True
-    every = np.concatenate([np.array(places, np.int64), _long_runs(_HEX_BYTE[data], HEX_LENGTH), long_runs])
+    every = np.concatenate([np.array(places, np.int64), _long_runs(_HEX_BYTE[data], HEX_LENGTH, offsets), long_runs])
     some[np.searchsorted(offsets, every, "right") - 1] = True
     return some, runs
 
