@@ -16,7 +16,7 @@ all sets and the mean number of repeats of a shingle.
 
 Equal sets are one node.  A list of many near copies would hold the square of its length in
 pairs; as the result is groups, lists are first compared along stars (every member with one
-pivot of its size class), twice with different pivots, and then only pairs of lists' members that
+pivot of its size class, and with another), and then only pairs of lists' members that
 are still in different groups are compared.  Every pair of different sets that link is so either
 compared or already in one group: groups are exact.
 
@@ -33,9 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.llm.sketch import CELLS, bit, bits_for, cell_rows, gather
 from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, count_by_part, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage
 
@@ -45,6 +46,7 @@ SKETCH_BITS = 24  # cells of the count sketch: a bounded 16 MB, one byte each
 SKETCH_PARTS = 256  # of 2 ** 16 cells each, so a cell inside a part takes two bytes
 COMPARE_COST = 20.0  # comparing two sets, in keys written
 MAX_SUBSET_SIZE = 64  # sizes tried as boundary
+LAST = 1 << 62
 
 
 def least_common(size: np.ndarray | int, percent: int = PERCENT):
@@ -181,48 +183,61 @@ def boundary(sizes: np.ndarray, sets: np.ndarray, repeats: float, percent: int =
     return at
 
 
-def candidate_keys(texts: DataFrame, order: Order, small: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``key, node, size, place``: the inverted lists and subset keys of every distinct set.
+def _keys(
+    values: np.ndarray, first: np.ndarray, rows: np.ndarray, order: Order, small: int, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted-list and subset keys of some rows: key, row, and place of the (first) shingle in the order."""
+    size = np.diff(first)
+    values = values[np.lexsort((order.keys(values), np.repeat(np.arange(len(size)), size)))]
+    lead = size - least_common(size, percent)
+    listed = rows[(size[rows] > small) | (100 * size[rows] >= percent * (small + 1))]
+    count = lead[listed] + 1
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    keys, owners, places = [values[np.repeat(first[listed], count) + place]], [np.repeat(listed, count)], [place]
+    for s in np.unique(size[rows[size[rows] <= small]]).tolist():
+        if least_common(s, percent) < 2:
+            continue  # so small that linked sets are equal
+        own = rows[size[rows] == s]
+        ahead = s - least_common(s, percent) + 2
+        one, two = np.triu_indices(ahead, 1)
+        table = values[first[own][:, None] + np.arange(ahead)]
+        keys.append(mix(table[:, one] * WINDOW_VALUES[0] + table[:, two] * WINDOW_VALUES[1]).ravel())
+        owners.append(np.repeat(own, len(one)))
+        places.append(np.tile(one, len(own)))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+
+
+def candidate_keys(
+    texts: DataFrame, order: Order, small: int, expected: float, width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
+    """``key, node, size, place`` of the distinct sets' keys, less keys that surely occur once.
 
-    ``place`` is the position in the order of the shingle (of a subset's first one).
+    ``expected`` is the number of keys, about; it sets the size of the sketch that drops them.
     """
-    spark: SparkSession = texts.sparkSession
-    shared = spark.sparkContext.broadcast(order)  # bounded: 2 ** bits bytes
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(order)  # bounded: 2 ** bits bytes
+    bits = bits_for(expected)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, _, _, values, first, node in _each_slice(batches, width):
+            keys, _, _ = _keys(values, first, _fresh(node, first, seen), shared.value, small, percent)
+            yield cell_rows(keys, bits)
+
+    again = context.broadcast(gather(map_arrow(texts, cells, CELLS), bits, LAST))  # bounded as well
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = shared.value, set()
+        seen: set[int] = set()
         for _, _, _, values, first, node in _each_slice(batches, width):
-            rows = _fresh(node, first, seen)
-            rank = np.lexsort((order.keys(values), np.repeat(np.arange(len(node)), np.diff(first))))
-            values = values[rank]
-            size = np.diff(first)
-            lead = size - least_common(size, percent)
-            keys, nodes, sizes, places = [], [], [], []
-            listed = rows[(size[rows] > small) | (100 * size[rows] >= percent * (small + 1))]
-            count = lead[listed] + 1
-            start = np.repeat(first[listed], count)
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            keys.append(values[start + place])
-            nodes.append(np.repeat(node[listed], count))
-            sizes.append(np.repeat(size[listed], count))
-            places.append(place)
-            for s in np.unique(size[rows[size[rows] <= small]]).tolist():
-                if least_common(s, percent) < 2:
-                    continue
-                own = rows[size[rows] == s]
-                first_of, second_of = np.triu_indices(s - least_common(s, percent) + 2, 1)
-                table = values[first[own][:, None] + np.arange(s - least_common(s, percent) + 2)]
-                pair = mix(table[:, first_of] * WINDOW_VALUES[0] + table[:, second_of] * WINDOW_VALUES[1])
-                keys.append(pair.ravel())
-                nodes.append(np.repeat(node[own], pair.shape[1]))
-                sizes.append(np.full(pair.size, s))
-                places.append(np.tile(first_of, len(own)))
+            keys, owner, place = _keys(values, first, _fresh(node, first, seen), shared.value, small, percent)
+            use = again.value.again(keys)
+            keys, owner, place = keys[use], owner[use], place[use]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.concatenate(nodes)),
-                    pa.array(np.concatenate(sizes).astype(np.int32)),
-                    pa.array(np.concatenate(places).astype(np.int32)),
+                    pa.array(keys.view(np.int64)),
+                    pa.array(node[owner]),
+                    pa.array(np.diff(first)[owner].astype(np.int32)),
+                    pa.array(place.astype(np.int32)),
                 ],
                 ["key", "node", "size", "place"],
             )
@@ -260,7 +275,7 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame
         for _, _, _, values, first, node in _each_slice(batches, width):
             rows = _fresh(node, first, seen)
             at = (mix(node[rows].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            rows = rows[(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            rows = rows[bit(shared.value, at)]
             blobs = [values[first[r] : first[r + 1]].tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
@@ -336,28 +351,29 @@ def similar_groups(
     small = boundary(
         histogram["size"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), max(total / distinct - 1, 0.0), percent
     )
-    keys = candidate_keys(texts, order, small, width, percent)
+    lead = histogram["size"] - least_common(histogram["size"].to_numpy(np.int64), percent)
+    expected = float(((lead + 1) * np.where(histogram["size"] <= small, lead + 2, 1) * histogram["count"]).sum())
+    keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25))).cast("int")
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
-    lists = cut_lineage(keys.join(shared, "key").distinct().withColumn("band", band))
-    sets = cut_lineage(sets_of(texts, lists.select("node").distinct(), width))
+    lists = cut_lineage(keys.join(shared, "key").withColumn("band", band))
 
     # rows of one doc_id are one document
     twice = rows.where("doc_id IS NOT NULL AND node <> 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     twice = twice.where("a <> z").join(rows.where("node <> 0").select("doc_id", F.col("node").alias("b")), "doc_id")
     links = cut_lineage(twice.where("a <> b").select("a", "b").distinct())
 
-    for pivot in (F.min, F.max):
-        comp = groups(links)
-        open_lists = _still_open(lists, comp)
-        pivots = open_lists.groupBy("key", "band").agg(pivot(F.struct("node", "size", "place", "comp")).alias("p"))
-        star = (
-            open_lists.join(pivots, ["key", "band"])
-            .where("node <> p.node AND comp <> p.comp AND " + _possible("size", "place", "p.size", "p.place", percent))
-            .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            .distinct()
-        )
-        links = cut_lineage(links.union(linked(star, sets, percent)))
+    comp = groups(links)
+    open_lists = _still_open(lists, comp)
+    member = F.struct("node", "size", "place", "comp")
+    pivots = open_lists.groupBy("key", "band").agg(F.array(F.min(member), F.max(member)).alias("ps"))
+    star = (
+        open_lists.join(pivots, ["key", "band"])
+        .withColumn("p", F.explode("ps"))
+        .where("node <> p.node AND comp <> p.comp AND " + _possible("size", "place", "p.size", "p.place", percent))
+        .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+    )
+    links = cut_lineage(links.union(_checked(star, texts, width, percent)))
     comp = groups(links)
     last = _still_open(lists, comp)
     parties = last.select("key", "comp").distinct()
@@ -368,9 +384,8 @@ def similar_groups(
         .join(right, ["key", "other"])
         .where(_possible("size", "place", "s2", "p2", percent))
         .select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b"))
-        .distinct()
     )
-    comp = groups(cut_lineage(links.union(linked(pairs, sets, percent))))
+    comp = groups(cut_lineage(links.union(_checked(pairs, texts, width, percent))))
     least_doc = rows.where("node <> 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
     grouped = least_doc.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = grouped.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -379,6 +394,13 @@ def similar_groups(
     return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", "node", own.alias("component_id"))
 
 
+def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among candidate pairs; only the sets that some pair needs are made again from the texts."""
+    pairs = cut_lineage(pairs.distinct())
+    nodes = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    return linked(pairs, cut_lineage(sets_of(texts, nodes, width)), percent)
+
+
 def _still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
     """Lists with members of more than one group, with the group of each member."""
     marked = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -29,14 +29,14 @@ import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.text import Hasher, count_by_part, map_arrow, mix, slices, utf8
+from fieldtally.llm.sketch import CELLS, Sketch, bit, bits_for, cell_rows, gather
+from fieldtally.llm.text import Hasher, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage, scratch_path
 
 WIDTH = 100
@@ -44,8 +44,6 @@ GRAM = 32
 SPAN = WIDTH - GRAM  # windows start up to so many bytes before their anchor
 ROOM = 2 * SPAN + GRAM  # columns of a context
 MODULUS = 16
-CELL_BITS = 28  # sketch cells: two bitmaps of 32 MB at most, whatever the input
-CELL_PARTS = 256
 HOT = 50_000  # occurrences of an anchor beyond which its windows are compared one by one
 BLOCK_ROWS = 60_000
 FILTER_BITS = 26
@@ -124,55 +122,15 @@ def _fresh_slices(batches: Iterator[pa.RecordBatch]):
                 yield part, np.concatenate([[0], np.cumsum(size)]), order[rows], np.array(ties, np.int64)
 
 
-@dataclass(frozen=True)
-class Sketch:
-    """Bitmaps over cells: counted at least twice, and counted more than ``HOT`` times."""
-
-    twice: np.ndarray
-    hot: np.ndarray
-    bits: int
-
-    def _cells(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = np.uint64(64 - self.bits)
-        return (mix(value) >> shift).astype(np.int64), (mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> shift).astype(np.int64)
-
-    @staticmethod
-    def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-    def again(self, value: np.ndarray) -> np.ndarray:
-        one, two = self._cells(value)
-        return self._bit(self.twice, one) & self._bit(self.twice, two)
-
-    def very_often(self, value: np.ndarray) -> np.ndarray:
-        one, two = self._cells(value)
-        return self._bit(self.hot, one) & self._bit(self.hot, two)
-
-
 def anchor_sketch(texts: DataFrame, bits: int, hot: int = HOT) -> Sketch:
-    per_part = (1 << bits) // CELL_PARTS
-    blank = Sketch(np.empty(0, np.uint8), np.empty(0, np.uint8), bits)
+    """Which anchors occur again, and which more often than ``hot``."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, _, _ in _fresh_slices(batches):
             _, _, _, value = anchors(part, offsets)
-            cells = np.sort(np.concatenate(blank._cells(value)))
-            cut = np.searchsorted(cells, np.arange(CELL_PARTS + 1) * per_part)
-            own = [p for p in range(CELL_PARTS) if cut[p + 1] > cut[p]]
-            blobs = [(cells[cut[p] : cut[p + 1]] - p * per_part).astype("<u4").tobytes() for p in own]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["part", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, count in count_by_part(batches, per_part, "<u4"):
-            maps = [np.packbits(count >= 2).tobytes(), np.packbits(count > hot).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], ["part", "twice", "hot"])
+            yield cell_rows(value, bits)
 
-    twice, often = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
-    sent = map_arrow(texts, step, "part int, cells binary").repartition("part").sortWithinPartitions("part")
-    for row in map_arrow(sent, add, "part int, twice binary, hot binary").toLocalIterator():
-        at = slice(row["part"] * per_part // 8, (row["part"] + 1) * per_part // 8)
-        twice[at], often[at] = np.frombuffer(row["twice"], np.uint8), np.frombuffer(row["hot"], np.uint8)
-    return Sketch(twice, often, bits)
+    return gather(map_arrow(texts, step, CELLS), bits, hot)
 
 
 def _ragged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -391,8 +349,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     rows = cut_lineage(map_arrow(texts, hashes, "ord long, n_bytes long, sha binary, tie long"))
     volume = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = int(np.clip(np.ceil(np.log2(max(volume, 1))) - 2, 16, CELL_BITS))  # about two cells a key
-    sketch = anchor_sketch(texts, bits)
+    sketch = anchor_sketch(texts, bits_for(2 * volume / (SPAN + 1)))  # windows have about so many anchors
     folder = scratch_path(spark, "anchor-contexts")
     contexts(texts, sketch).write.parquet(folder)
     spans = anchor_spans(spark.read.parquet(folder))
@@ -436,7 +393,7 @@ def _cleaned(texts: DataFrame, spans: DataFrame) -> DataFrame:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = (mix(batch.column(1).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            use = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            use = bit(shared.value, at)
             kept = batch.filter(pa.array(use))
             ties = [_tie(raw.as_buffer()) for raw in kept.column(0)]
             yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(ties, pa.int64()), kept.column(0)], ["ord", "tie", "raw"])
