@@ -28,10 +28,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +100,17 @@ def _tie(raw: bytes) -> int:
     return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big", signed=True)
 
 
-def _fresh_slices(batches: Iterator[pa.RecordBatch]):
-    """Slices of texts of at least a window, less those that this task met with a smaller doc_id."""
-    seen: dict[int, int] = {}
+Sources = list[tuple[DataFrame, Broadcast | None]]
+
+
+def _each(sources: Sources, step: Callable[[Iterator], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The step over the slices of all sources, each less the texts that its sketch marks as copied."""
+    parts = [map_arrow(frame, lambda batches, skip=skip: step(_fresh_slices(batches, skip)), schema) for frame, skip in sources]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _fresh_slices(batches: Iterator[pa.RecordBatch], skip: Broadcast | None):
+    """Slices of texts of at least a window: bytes, row offsets, orders and text hashes."""
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         order = batch.column(1).to_numpy()
@@ -109,11 +118,11 @@ def _fresh_slices(batches: Iterator[pa.RecordBatch]):
             rows, ties = [], []
             for r in range(a, b):
                 if offsets[r + 1] - offsets[r] >= WIDTH:
-                    tie = _tie(data[offsets[r] : offsets[r + 1]].tobytes())
-                    if seen.get(tie, LAST + 1) > order[r]:
-                        seen[tie] = int(order[r])
-                        rows.append(r)
-                        ties.append(tie)
+                    rows.append(r)
+                    ties.append(_tie(data[offsets[r] : offsets[r + 1]].tobytes()))
+            if rows and skip is not None:
+                own = ~skip.value.again(np.array(ties, np.int64).view(np.uint64))
+                rows, ties = np.array(rows)[own].tolist(), np.array(ties)[own].tolist()
             if rows:
                 part = data[offsets[a] : offsets[b]]
                 if len(rows) < b - a:
@@ -122,15 +131,15 @@ def _fresh_slices(batches: Iterator[pa.RecordBatch]):
                 yield part, np.concatenate([[0], np.cumsum(size)]), order[rows], np.array(ties, np.int64)
 
 
-def anchor_sketch(texts: DataFrame, bits: int, hot: int = HOT) -> Sketch:
+def anchor_sketch(sources: Sources, bits: int, hot: int = HOT) -> Sketch:
     """Which anchors occur again, and which more often than ``hot``."""
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, offsets, _, _ in _fresh_slices(batches):
+    def step(parts: Iterator) -> Iterator[pa.RecordBatch]:
+        for part, offsets, _, _ in parts:
             _, _, _, value = anchors(part, offsets)
             yield cell_rows(value, bits)
 
-    return gather(map_arrow(texts, step, CELLS), bits, hot)
+    return gather(_each(sources, step, CELLS), bits, hot)
 
 
 def _ragged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -141,16 +150,16 @@ def _ragged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data[at])])
 
 
-def contexts(texts: DataFrame, sketch: Sketch) -> DataFrame:
+def contexts(sources: Sources, sketch: Sketch) -> DataFrame:
     """``anchor, ord, tie, place, before, bytes`` of anchors that may occur again.
 
     ``bytes`` are those that the anchor's windows cover, ``before`` of them before the anchor,
     which begins at ``place`` of its text.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    shared = sources[0][0].sparkSession.sparkContext.broadcast(sketch)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, offsets, order, ties in _fresh_slices(batches):
+    def step(parts: Iterator) -> Iterator[pa.RecordBatch]:
+        for part, offsets, order, ties in parts:
             first, last, at, value = anchors(part, offsets)
             use = np.flatnonzero(shared.value.again(value) & ~shared.value.very_often(value))
             first, last, at, value = first[use], last[use], at[use], value[use]
@@ -167,7 +176,7 @@ def contexts(texts: DataFrame, sketch: Sketch) -> DataFrame:
                 ["anchor", "ord", "tie", "place", "before", "bytes"],
             )
 
-    return map_arrow(texts, step, "anchor long, ord long, tie long, place int, before int, bytes binary")
+    return _each(sources, step, "anchor long, ord long, tie long, place int, before int, bytes binary")
 
 
 def _words(matrix: np.ndarray, start: int, end: int) -> np.ndarray:
@@ -239,7 +248,7 @@ _SPAN_SCHEMA = "ord long, tie long, start int, end int"
 
 
 def _block_spans(table: pa.Table) -> pa.RecordBatch:
-    """Spans of repeats of one block of whole anchors; a place met in several tasks counts once."""
+    """Spans of repeats of one block of whole anchors; rows given twice count once."""
     keys = [table[c].to_numpy() for c in ("place", "tie", "ord", "anchor")]
     order = np.lexsort(keys)
     once = np.ones(len(order), bool)
@@ -293,12 +302,12 @@ def anchor_spans(found: DataFrame) -> DataFrame:
     return map_arrow(found.repartition("anchor").sortWithinPartitions("anchor"), step, _SPAN_SCHEMA)
 
 
-def hot_spans(texts: DataFrame, sketch: Sketch) -> DataFrame:
+def hot_spans(sources: Sources, sketch: Sketch) -> DataFrame:
     """Repeats among windows of anchors with very many occurrences, by the first of equal windows."""
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    shared = sources[0][0].sparkSession.sparkContext.broadcast(sketch)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, offsets, order, ties in _fresh_slices(batches):
+    def step(parts: Iterator) -> Iterator[pa.RecordBatch]:
+        for part, offsets, order, ties in parts:
             first, last, _, value = anchors(part, offsets)
             use = np.flatnonzero(shared.value.again(value) & shared.value.very_often(value))
             count = last[use] - first[use] + 1
@@ -311,7 +320,7 @@ def hot_spans(texts: DataFrame, sketch: Sketch) -> DataFrame:
                     ["window", "ord", "tie", "start"],
                 )
 
-    windows = map_arrow(texts, step, "window binary, ord long, tie long, start int")
+    windows = _each(sources, step, "window binary, ord long, tie long, start int")
     least = windows.groupBy("window").agg(F.min(F.struct("ord", "tie", "start")).alias("first"))
     later = windows.join(least, "window").where(F.struct("ord", "tie", "start") != F.col("first"))
     return later.select("ord", "tie", "start", (F.col("start") + WIDTH).cast("int").alias("end"))
@@ -349,12 +358,11 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     rows = cut_lineage(map_arrow(texts, hashes, "ord long, n_bytes long, sha binary, tie long"))
     volume = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    sketch = anchor_sketch(texts, bits_for(2 * volume / (SPAN + 1)))  # windows have about so many anchors
-    folder = scratch_path(spark, "anchor-contexts")
-    contexts(texts, sketch).write.parquet(folder)
-    spans = anchor_spans(spark.read.parquet(folder))
+    sources = _without_copies(texts, rows)
+    sketch = anchor_sketch(sources, bits_for(2 * volume / (SPAN + 1)))  # windows have about so many anchors
+    spans = anchor_spans(contexts(sources, sketch))
     if sketch.hot.any():
-        spans = spans.union(hot_spans(texts, sketch))
+        spans = spans.union(hot_spans(sources, sketch))
     spans = spans.groupBy("ord", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by a text's length
     spans = cut_lineage(spans)
     firsts = rows.groupBy("sha").agg(F.min("ord").alias("first"))
@@ -376,6 +384,32 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
 
 
+def _without_copies(texts: DataFrame, rows: DataFrame) -> Sources:
+    """Texts that occur once as a whole, and the first of each text that may occur again."""
+    spark = texts.sparkSession
+    bits = bits_for(rows.count())
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield cell_rows(batch.column(0).to_numpy().view(np.uint64), bits)
+
+    skip = spark.sparkContext.broadcast(gather(map_arrow(rows.select("tie"), cells, CELLS), bits, LAST))
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sha = [hashlib.sha256(raw.as_buffer()).digest() for raw in batch.column(0)]
+            ties = np.array([int.from_bytes(s[:8], "big") for s in sha], np.uint64)
+            use = pa.array(skip.value.again(ties))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(use), batch.column(1).filter(use), pa.array(sha, pa.binary()).filter(use)], ["raw", "ord", "sha"]
+            )
+
+    several = map_arrow(texts, copied, "raw binary, ord long, sha binary")
+    folder = scratch_path(spark, "copied-texts")
+    several.groupBy("sha").agg(F.first("raw").alias("raw"), F.min("ord").alias("ord")).select("raw", "ord").write.parquet(folder)
+    return [(texts, skip), (spark.read.parquet(folder), None)]
+
+
 def _cleaned(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """``ord, tie, n_removed, n_spans, kept, spans`` of the texts with spans."""
 

@@ -99,7 +99,7 @@ def plain_repeats(rows):
 @pytest.mark.parametrize("hot", [repeats.HOT, 10])
 def test_repeats(spark, rng, hot, monkeypatch):
     sketch = repeats.anchor_sketch
-    monkeypatch.setattr(repeats, "anchor_sketch", lambda texts, bits: sketch(texts, bits, hot))
+    monkeypatch.setattr(repeats, "anchor_sketch", lambda sources, bits: sketch(sources, bits, hot))
     base = "".join(rng.choice("abcdeé ") for _ in range(2500))
 
     def cut(most):
