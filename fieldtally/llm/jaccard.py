@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.sketch import CELLS, bit, bits_for, cell_rows, gather
-from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, count_by_part, map_arrow, mix, slices, utf8
+from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, bounded_rows, count_by_part, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage
 
 WIDTH = 5
@@ -163,7 +163,7 @@ def count_sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS)
 
     sent = map_arrow(texts, step, "part int, cells binary").repartition("part").sortWithinPartitions("part")
     levels = np.zeros(1 << bits, np.uint8)
-    for row in map_arrow(sent, add, "part int, levels binary").collect():  # 2 ** bits bytes in all
+    for row in bounded_rows(map_arrow(sent, add, "part int, levels binary")):  # 2 ** bits bytes in all
         levels[row["part"] * per_part : (row["part"] + 1) * per_part] = np.frombuffer(row["levels"], np.uint8)
     return Order(levels, bits)
 
@@ -260,7 +260,7 @@ def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["bits"])
 
     packed = np.zeros((1 << bits) // 8, np.uint8)
-    for row in map_arrow(nodes.select("node").repartition(8, "node"), step, "bits binary").toLocalIterator():
+    for row in bounded_rows(map_arrow(nodes.select("node").repartition(8, "node"), step, "bits binary")):
         packed |= np.frombuffer(row["bits"], np.uint8)
     return packed
 
@@ -341,18 +341,18 @@ def similar_groups(
     texts = docs.select(F.col(text).cast("string").alias("text"))
     rows = cut_lineage(document_sets(docs, width, key, text))
     histogram = (  # one row per set size
-        rows.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("size")).groupBy("size").count().orderBy("size").toPandas()
+        rows.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("size")).groupBy("size").count()
     )
+    found = sorted((r["size"], r["count"]) for r in bounded_rows(histogram))
+    sizes, counts = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
     order = count_sketch(texts, width)
-    total = float((histogram["size"] * histogram["count"]).sum())
+    total = float((sizes * counts).sum())
     cells = len(order.levels)
     empty = max(float((order.levels == 0).sum()), 1.0)
     distinct = max(cells * np.log(cells / empty), 1.0)  # linear counting
-    small = boundary(
-        histogram["size"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), max(total / distinct - 1, 0.0), percent
-    )
-    lead = histogram["size"] - least_common(histogram["size"].to_numpy(np.int64), percent)
-    expected = float(((lead + 1) * np.where(histogram["size"] <= small, lead + 2, 1) * histogram["count"]).sum())
+    small = boundary(sizes, counts, max(total / distinct - 1, 0.0), percent)
+    lead = sizes - least_common(sizes, percent)
+    expected = float(((lead + 1) * np.where(sizes <= small, lead + 2, 1) * counts).sum())
     keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25))).cast("int")
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.text import Hasher, Words, map_arrow, mix, slices, utf8
+from fieldtally.llm.text import Hasher, Words, bounded_rows, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage
 
 WINDOW = 8
@@ -220,8 +220,8 @@ def _base_failed() -> Column:
 def _posteriors(voted: DataFrame, rules: Sequence[Rule], weight: str | None = None) -> DataFrame:
     """``pattern, quality`` of every pattern that occurs: at most 3 ** rules rows."""
     count = F.col(weight) if weight else F.lit(1)
-    patterns = voted.groupBy("pattern").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(count)).alias("count")).collect()
-    sizes = {r["pattern"]: r["count"] for r in patterns}
+    patterns = voted.groupBy("pattern").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(count)).alias("count"))
+    sizes = {r["pattern"]: r["count"] for r in bounded_rows(patterns)}
     codes = np.array(sorted(sizes), np.int64)
     votes = (codes[:, None] // 3 ** np.arange(len(rules)) % 3 - 1).reshape(len(codes), len(rules))
     model = fit_votes(votes, np.array([sizes[c] for c in codes.tolist()], float))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.sketch import CELLS, Sketch, bit, bits_for, cell_rows, gather
-from fieldtally.llm.text import Hasher, map_arrow, mix, slices, utf8
+from fieldtally.llm.text import Hasher, bounded_rows, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage, scratch_path
 
 WIDTH = 100
@@ -420,7 +420,7 @@ def _cleaned(texts: DataFrame, spans: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in map_arrow(spans.select("ord").repartition(8, "ord"), flag, "bits binary").toLocalIterator():
+    for row in bounded_rows(map_arrow(spans.select("ord").repartition(8, "ord"), flag, "bits binary")):
         packed |= np.frombuffer(row["bits"], np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(packed)  # 8 MB
 

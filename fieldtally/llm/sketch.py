@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldtally.llm.text import count_by_part, map_arrow, mix
+from fieldtally.llm.text import bounded_rows, count_by_part, map_arrow, mix
 
 CELL_BITS = 28
 CELL_PARTS = 256
@@ -73,7 +73,7 @@ def gather(rows: DataFrame, bits: int, hot: int) -> Sketch:
 
     twice, often = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
     sent = rows.repartition("part").sortWithinPartitions("part")
-    for row in map_arrow(sent, add, "part int, twice binary, hot binary").toLocalIterator():
+    for row in bounded_rows(map_arrow(sent, add, "part int, twice binary, hot binary")):
         at = slice(row["part"] * per_part // 8, (row["part"] + 1) * per_part // 8)
         twice[at], often[at] = np.frombuffer(row["twice"], np.uint8), np.frombuffer(row["hot"], np.uint8)
     return Sketch(twice, often, bits)

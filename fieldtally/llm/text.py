@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 SLICE_BYTES = 1 << 21
 _U64 = np.uint64
@@ -153,6 +153,11 @@ def count_by_part(batches: Iterator[pa.RecordBatch], cells: int, kind: str) -> I
         yield current, count
 
 
+def bounded_rows(df: DataFrame) -> Iterator[Row]:
+    """Rows of a small table of known bound for the driver: made in parallel, read from one partition."""
+    return df.repartition(1).toLocalIterator()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds the bytes of an Arrow batch, so that long texts do not add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.text import LOWER, Hasher, Words, map_arrow, mix, slices, utf8
+from fieldtally.llm.text import LOWER, Hasher, Words, bounded_rows, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage
 
 TRAIN_DOCS = 16_000
@@ -214,7 +214,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOC
     sample = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
     counting, curve = sample.where(~apart), sample.where(apart)
-    sizes = {r["toxic"]: r["count"] for r in counting.groupBy("toxic").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in bounded_rows(counting.groupBy("toxic").count())}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     model = ToxicityModel()
     if not n_toxic or not n_clean:
@@ -229,14 +229,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOC
         .where((F.col("z") >= LEAST_Z) & (F.col("odds") > 2 * STEP))
         .orderBy(F.desc("z"), "kind", "feature")
         .limit(TABLE_FEATURES)
-        .toPandas()
     )
+    rows = [(r["kind"], r["feature"], r["odds"]) for r in bounded_rows(table)]
     for kind in range(1 + len(BEGINNINGS)):
-        own = table[table["kind"] == kind]
-        value = own["feature"].to_numpy(np.int64).view(np.uint64)
+        own = [(f, o) for k, f, o in rows if k == kind]
+        value = np.array([f for f, _ in own], np.int64).view(np.uint64)
         order = np.argsort(value)
         model.features[kind] = value[order]
-        model.weights[kind] = np.minimum(own["odds"].to_numpy(float)[order], CAP)
+        model.weights[kind] = np.minimum(np.array([o for _, o in own])[order], CAP)
     return _calibrated(model, curve)
 
 
@@ -252,7 +252,7 @@ def _calibrated(model: ToxicityModel, sample: DataFrame) -> ToxicityModel:
                     ["toxic", "n", "scores"],
                 )
 
-    rows = map_arrow(sample.select("text", "toxic"), step, "toxic int, n long, scores array<double>").collect()
+    rows = list(bounded_rows(map_arrow(sample.select("text", "toxic"), step, "toxic int, n long, scores array<double>")))
     clean = [r for r in rows if not r["toxic"]]
     words = sum(r["n"] for r in clean) + 1
     tops = np.array(sorted(s for r in clean for s in r["scores"]))
