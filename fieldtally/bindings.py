@@ -248,6 +248,13 @@ class World:
         return self._with_bin(self.truth, "city_id", "bin_key")
 
     # marts ----------------------------------------------------------------
+    def build_marts(self) -> World:
+        """Stores the bin-day rollup and the attempts once; all other marts, questions and checks
+        asked of this object afterwards read what is stored."""
+        self.__dict__["bin_day_rollup"] = cut_lineage(self.bin_day_rollup)
+        self.__dict__["events"] = cut_lineage(self.events)
+        return self
+
     @cached_property
     def events(self) -> DataFrame:
         return marts.collection_events(self.interim_zoned, self.truth, READING_KEY)

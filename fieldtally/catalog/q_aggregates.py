@@ -8,7 +8,7 @@ from fieldtally.catalog.q_questions import BIN_SUMMARY, CITY_FRAME
 from fieldtally.catalog.registry import query
 from fieldtally.functions.expressions import ratio_of_sums
 from fieldtally.operators import aggregates as ag, sampling
-from fieldtally.operators.ordering import exact_quantiles
+from fieldtally.operators.ordering import exact_quantiles, split_position
 from fieldtally.plans import questions as q
 
 
@@ -345,15 +345,15 @@ def _(w):
 @query(
     "F1",
     """SELECT bin_id, service_date_local, arrivals_l_simulated, row_number() OVER (
-                ORDER BY arrivals_l_simulated DESC, bin_id, service_date_local) AS place FROM binday
-       ORDER BY arrivals_l_simulated DESC, bin_id, service_date_local LIMIT 1000""",
+                ORDER BY arrivals_l_simulated DESC, bin_id, service_date_local) AS place FROM binday""",
     "arrivals_l_simulated",
 )
 def _(w):
-    from fieldtally.operators.windows import top_ranked
-
+    """The whole order: places inside bands of litres and bins, plus what earlier bands hold."""
     order = [F.desc("arrivals_l_simulated"), F.col("bin_id"), F.col("service_date_local")]
-    return top_ranked(w.bin_day.select("bin_id", "service_date_local", "arrivals_l_simulated"), order, [], 1000, "place")
+    rows = w.bin_day.select("bin_id", "service_date_local", "arrivals_l_simulated").withColumn("__all", F.lit(0))
+    band = -F.floor(F.col("arrivals_l_simulated"))
+    return split_position(rows, ["__all"], [band], order, "place").withColumn("place", F.col("place").cast("bigint")).drop("__all")
 
 
 @query(
@@ -392,3 +392,26 @@ def _(w):
     people = w.table("customer").select(F.col("c_nationkey").alias("stratum"), F.col("c_custkey").alias("id"))
     chosen, _ = sampling.stratified_sample(people, "stratum", "id", 5, seed=7, top_up=False)
     return chosen.select("stratum", "id")
+
+
+F4_DRAWS = """WITH d AS (SELECT s_nationkey AS stratum, s_suppkey AS id, md5('7|' || s_suppkey) AS draw FROM supplier),
+       r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, id) AS r FROM d),
+       missing AS (SELECT stratum, count(*) AS available, 5 - count(*) AS shortfall FROM d GROUP BY stratum HAVING count(*) < 5)"""
+
+
+@query(
+    "F4_top_up",
+    f"""{F4_DRAWS}
+       SELECT stratum, id FROM r WHERE r <= 5
+       UNION ALL (SELECT stratum, id FROM r WHERE r > 5
+                  QUALIFY row_number() OVER (ORDER BY draw, id) <= (SELECT coalesce(sum(shortfall), 0) FROM missing))""",
+)
+def _(w):
+    makers = w.table("supplier").select(F.col("s_nationkey").alias("stratum"), F.col("s_suppkey").alias("id"))
+    return sampling.stratified_sample(makers, "stratum", "id", 5, seed=7)[0].select("stratum", "id")
+
+
+@query("F4_shortfall", f"{F4_DRAWS} SELECT stratum, available, shortfall FROM missing")
+def _(w):
+    makers = w.table("supplier").select(F.col("s_nationkey").alias("stratum"), F.col("s_suppkey").alias("id"))
+    return sampling.stratified_sample(makers, "stratum", "id", 5, seed=7)[1]

@@ -220,6 +220,7 @@ def _(w):
     "truth_arrivals_l bin_mart_arrivals_l zone_mart_arrivals_l",
 )
 def _(w):
+    w.build_marts()
     return q.q12(w.obs, w.truth, w.bin_day, w.zone_day, w.events)
 
 

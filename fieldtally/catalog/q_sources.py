@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from fieldtally.catalog.registry import query
 from fieldtally.plans import questions as q
-from fieldtally.session import scratch_path
+from fieldtally.session import cut_lineage, scratch_path
 from fieldtally.sources import files, sinks
 
 STORED = (
@@ -357,14 +359,21 @@ def _(w):
 
 @query(
     "A18",
-    """SELECT city_id, city_name, count(*) AS days, sum(generated_l) AS generated_l FROM cityday
-       WHERE city_id = 'ASIA' GROUP BY 1, 2""",
+    """SELECT 'all' AS asked, city_id, city_name, count(*) AS days, sum(generated_l) AS generated_l FROM cityday GROUP BY ALL
+       UNION ALL SELECT city_id, city_id, city_name, count(*), sum(generated_l) FROM cityday GROUP BY ALL""",
     "generated_l",
 )
 def _(w):
-    return q.only_city(w.city_day, "ASIA").groupBy("city_id", "city_name").agg(
-        F.count(F.lit(1)).alias("days"), F.sum("generated_l").alias("generated_l")
-    )
+    """The parameter unset (every city), then set to each city in turn."""
+    days = cut_lineage(w.city_day)
+    asked = [None, *[r["city_id"] for r in w.dim_city.select("city_id").orderBy("city_id").toLocalIterator()]]  # one row per city
+    parts = [
+        q.only_city(days, city).groupBy(F.lit(city or "all").alias("asked"), "city_id", "city_name").agg(
+            F.count(F.lit(1)).alias("days"), F.sum("generated_l").alias("generated_l")
+        )
+        for city in asked
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 DICTIONARY_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -395,6 +404,7 @@ def _(w):
        UNION ALL SELECT 'dim_zone', count(*) FROM zone_dim""",
 )
 def _(w):
+    w.build_marts()
     return sinks.row_counts(
         {
             "fact_bin_readings": w.obs,
@@ -417,3 +427,17 @@ def _(w):
 )
 def _(w):
     return sinks.month_scan(w.table("events"), 2024, 1, "ts", "value")
+
+
+@query(
+    "A21_csv",
+    """SELECT count(*) AS rows, count(value) AS observed, sum(value) AS sum_measure FROM events
+       WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'""",
+    "sum_measure",
+)
+def _(w):
+    """The month scan over CSV, written from the table first: two columns are read, the month is filtered."""
+    folder = scratch_path(w.spark, "month-csv")
+    w.table("events").write.option("header", True).csv(folder)
+    rows = w.spark.read.schema(w.table("events").schema).option("header", True).csv(folder)
+    return sinks.month_scan(rows, 2024, 1, "ts", "value")

@@ -267,6 +267,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
         )
         if state.where("fresh").isEmpty():
             break
+    else:
+        raise RuntimeError(f"paths are not settled after {max_rounds} rounds")
     state = state.select(*columns)
     if targets is None:
         return state

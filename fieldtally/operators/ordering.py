@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldtally.session import cut_lineage
+
 
 def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys; keeps the left copies."""
@@ -69,6 +71,7 @@ def exact_quantiles(
         .groupBy(*keys_in, "__v")
         .agg(F.sum("__w").alias("__c"))
     )
+    base = cut_lineage(base)  # value counts, read by every step below
     span = base.groupBy(*keys_in).agg(
         split_points("__v", buckets).alias("__edges"), F.sum("__c").alias("__n")
     )
@@ -168,15 +171,27 @@ def split_position(
 
 
 def rank_average(df: DataFrame, part: list[str], value: str, name: str, buckets: int = 256):
-    """Average-tie rank of ``value`` (NULL gets no rank), over about equal parts of the values."""
+    """Average-tie rank of ``value`` (NULL gets no rank).
+
+    Ranks belong to values, so value counts are ordered, over about equal parts of the values,
+    and rows look theirs up: however many rows tie, no task orders them.
+    """
     known = df.where(F.col(value).isNotNull())
     dummy = part or ["__all"]
     if not part:
         known = known.withColumn("__all", F.lit(0))
     span = known.groupBy(*dummy).agg(split_points(value, buckets).alias("__edges"))
-    joined = match_keys(known, span, dummy).withColumn("__b", part_of(value, "__edges")).drop("__edges")
-    ranked = split_position(joined, dummy, [F.col("__b")], [F.col(value)], name, "average")
-    return ranked.drop("__b", *([] if part else ["__all"]))
+    counts = known.groupBy(*dummy, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut_lineage(match_keys(counts, span, dummy).withColumn("__b", part_of(value, "__edges")).drop("__edges"))
+    parts = counts.groupBy(*dummy, "__b").agg(F.sum("__n").alias("__t"))
+    earlier = Window.partitionBy(*dummy).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*dummy, "__b", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__off"))
+    below = Window.partitionBy(*dummy, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("__lo", F.coalesce(F.sum("__n").over(below), F.lit(0)))
+    ranks = match_keys(inside, offsets, [*dummy, "__b"]).select(
+        *dummy, value, (F.col("__off") + F.col("__lo") + (F.col("__n") + 1) / 2.0).alias(name)
+    )
+    return match_keys(known, ranks, [*dummy, value]).drop(*([] if part else ["__all"]))
 
 
 def lag_split(

@@ -68,14 +68,17 @@ def prioritize(
         ),
     )
     # Bands must agree with the order: risk first, and only where a band holds a
-    # single risk value (clipped at 100, or NULL) may the next column split it.
+    # single risk value (clipped at 100, or NULL) may the next column split it, and so on
+    # down to ranges of ids for bins without any number.
     last = F.lit(1).cast("bigint")
     risk, fill, hours = (F.col(c) for c in ("risk_upper_pct", "current_fill_pct", "hours_since_collection"))
+    alone = F.coalesce((risk.isNull() & fill.isNull()) | ((risk == 100) & ((fill == 100) | fill.isNull())), F.lit(False))
     bands = [
         F.col("tier"),
         F.coalesce(-F.floor(risk * 1000), last),
-        F.when(risk == 100, F.coalesce(-F.floor(fill * 100), last)).otherwise(0),
-        F.when(risk.isNull(), F.coalesce(-F.floor(hours), last)).otherwise(0),
+        F.when(risk.isNull() | (risk == 100), F.coalesce(-F.floor(fill * 100), last)).otherwise(0),
+        F.when(alone, F.coalesce(-F.floor(hours * 60), last)).otherwise(0),
+        F.when(alone & hours.isNull(), F.floor(F.col("bin_id") / 1000)).otherwise(0),
     ]
     ranked = split_position(
         d,

@@ -244,15 +244,24 @@ GRAINS = {
     "fact_forecast_score": ["city_id", "split", "evaluation_group", "model"],
     "fact_counterfactual": ["scenario_key"],
 }
-LINKED_CHILDREN = {
-    ("dim_city", "city_id"): ("dim_bin", "dim_zone", "dim_scenario", "fact_city_day", "fact_forecast_score"),
-    ("dim_date", "service_date"): ("fact_city_day", "fact_bin_day", "fact_zone_day", "fact_collection_attempt"),
-    ("dim_bin", "bin_key"): ("fact_bin_day", "fact_collection_attempt", "fact_dispatch_snapshot"),
-    ("dim_zone", "zone_key"): ("fact_zone_day",),
-    ("dim_scenario", "scenario_key"): ("fact_route_scenario", "fact_truck_route", "fact_counterfactual"),
-}
+# The links of the model as parent, its key, child, the child's column.
 LINKS = [
-    (parent, key, child, key) for (parent, key), children in LINKED_CHILDREN.items() for child in children
+    ("dim_city", "city_id", "dim_bin", "city_id"),
+    ("dim_city", "city_id", "dim_zone", "city_id"),
+    ("dim_city", "city_id", "dim_scenario", "city_id"),
+    ("dim_city", "city_id", "fact_city_day", "city_id"),
+    ("dim_city", "city_id", "fact_forecast_score", "city_id"),
+    ("dim_date", "service_date", "fact_city_day", "service_date"),
+    ("dim_date", "service_date", "fact_bin_day", "service_date"),
+    ("dim_date", "service_date", "fact_zone_day", "service_date"),
+    ("dim_date", "service_date", "fact_collection_attempt", "service_date"),
+    ("dim_bin", "bin_key", "fact_bin_day", "bin_key"),
+    ("dim_bin", "bin_key", "fact_collection_attempt", "bin_key"),
+    ("dim_bin", "bin_key", "fact_dispatch_snapshot", "bin_key"),
+    ("dim_zone", "zone_key", "fact_zone_day", "zone_key"),
+    ("dim_scenario", "scenario_key", "fact_route_scenario", "scenario_key"),
+    ("dim_scenario", "scenario_key", "fact_truck_route", "scenario_key"),
+    ("dim_scenario", "scenario_key", "fact_counterfactual", "scenario_key"),
 ]
 
 
