@@ -23,8 +23,10 @@ def ingest_new_files(
 ) -> StreamingQuery:
     """Append every new CSV file of ``folder`` to the partitioned targets, then stop.
 
-    File names already processed are remembered in ``checkpoint``, so a restart
-    neither skips nor repeats a file.  ``check`` may raise to refuse a batch.
+    File names already processed are remembered in ``checkpoint``, so a restart after a whole
+    batch neither skips nor repeats a file.  Targets are appended one after another: a crash
+    between them replays the batch, and a target already written then holds it twice (remove
+    such rows by key).  ``check`` may raise to refuse a batch.
     """
     stream = spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST").csv(folder)
 
