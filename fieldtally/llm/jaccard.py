@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join and its connected groups: size-aware, heavy-light.
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes.  Shingles have one global
-order, rare ones first (a sketch of occurrence counts decides, then the hash); any order gives
-the same result, a good one gives short lists.  A pair with Jaccard >= t shares at least
+order, rare ones first (a sketch of occurrence counts decides, then the hash); shingles whose
+lists turn out long are moved to its end, and the lists are made again.  Any order gives the
+same result, a good one gives short lists.  A pair with Jaccard >= t shares at least
 ``ceil(t * size)`` shingles of either set, so among the first ``size - ceil(t * size) + c`` of
 each set there are c common ones.
 
@@ -47,6 +48,9 @@ SKETCH_PARTS = 256  # of 2 ** 16 cells each, so a cell inside a part takes two b
 COMPARE_COST = 20.0  # comparing two sets, in keys written
 MAX_SUBSET_SIZE = 64  # sizes tried as boundary
 LAST = 1 << 62
+LONG_LIST = 8  # members beyond which a list's shingle goes to the end of the order
+LONG_BITS = 26  # bits of the filter that remembers such shingles: 8 MB
+REFINEMENTS = 2
 
 
 def least_common(size: np.ndarray | int, percent: int = PERCENT):
@@ -94,13 +98,18 @@ def _each_slice(batches: Iterator[pa.RecordBatch], width: int, column: int = 0):
 
 @dataclass(frozen=True)
 class Order:
-    """Occurrence levels of sketch cells; rare cells come first."""
+    """Occurrence levels of sketch cells, rare ones first; shingles known from long lists come last."""
 
     levels: np.ndarray
     bits: int
+    long_lists: np.ndarray | None = None
 
     def keys(self, values: np.ndarray) -> np.ndarray:
-        return self.levels[(values >> np.uint64(64 - self.bits)).astype(np.int64)]
+        level = self.levels[(values >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int16)
+        if self.long_lists is not None:
+            at = (mix(values) >> np.uint64(64 - LONG_BITS)).astype(np.int64)
+            level += 64 * bit(self.long_lists, at).astype(np.int16)
+        return level
 
 
 def document_sets(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,6 +363,12 @@ def similar_groups(
     lead = sizes - least_common(sizes, percent)
     expected = float(((lead + 1) * np.where(sizes <= small, lead + 2, 1) * counts).sum())
     keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
+    for _ in range(REFINEMENTS):
+        # what the sketch took for rare but is not; a few shingles more each round, as prefixes refill
+        many = keys.groupBy("key").count().where(F.col("count") > LONG_LIST).select(F.col("key").alias("node"))
+        found = _filter(many, LONG_BITS)
+        order = Order(order.levels, order.bits, found if order.long_lists is None else found | order.long_lists)
+        keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25))).cast("int")
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     lists = cut_lineage(keys.join(shared, "key").withColumn("band", band))

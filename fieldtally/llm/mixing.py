@@ -159,15 +159,16 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     columns are counted as one row first, so texts are shuffled once at most.
     """
     columns = docs.columns
-    marked = docs.select("*", F.xxhash64(*columns).alias("__print"))
-    mixed = mix_documents(marked, keep=["__print"], **options)
+    prints = ["__p1", "__p2"]  # never null, so one shuffle of the texts serves both steps below
+    marked = docs.select("*", F.xxhash64(*columns).alias("__p1"), F.hash(*columns).alias("__p2"))
+    mixed = mix_documents(marked, keep=prints, **options)
     rest = F.col("taken") - F.col("size") * F.col("repeats")
     whole = F.col("repeats") + F.when((rest == F.col("size")) & (rest > 0), 1).otherwise(0)
-    share = mixed.groupBy("doc_id", "__print").agg(
+    share = mixed.groupBy(*prints).agg(
         F.sum(whole).alias("__whole"), F.sum(F.when(rest < F.col("size"), rest).otherwise(0)).alias("__words")
     )
-    distinct = marked.groupBy("doc_id", "__print").agg(F.first(F.struct(*columns)).alias("__row"))
-    both = match_keys(distinct, share.where("__whole > 0 OR __words > 0"), ["doc_id", "__print"])
+    distinct = marked.groupBy(*prints).agg(F.first(F.struct(*columns)).alias("__row"))
+    both = distinct.join(share.where("__whole > 0 OR __words > 0"), prints)
     text = F.col("__row.text")
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), "")
