@@ -15,11 +15,11 @@ each set there are c common ones.
 The boundary minimises the estimated cost of keys written plus sets compared, from the sizes of
 all sets and the mean number of repeats of a shingle.
 
-Equal sets are one node.  A list of many near copies would hold the square of its length in
-pairs; as the result is groups, lists are first compared along stars (every member with one
-pivot of its size class, and with another), and then only pairs of lists' members that
-are still in different groups are compared.  Every pair of different sets that link is so either
-compared or already in one group: groups are exact.
+Equal sets are one node.  Members of lists are gathered into clusters around pivots (see
+``linked``), so near copies that share many lists are sent and compared once, not once a list.
+A cluster is compared block by block, and a task reports only links that span the groups it
+found: every pair of different sets that link is compared, and none of a group's pairs is
+listed.  Groups are exact.
 
 Defined cases: null or word-less texts have an empty set and link with nothing; shorter texts
 count as one shingle; rows with equal doc_id are one document in the groups (its rows' sets are
@@ -50,7 +50,9 @@ MAX_SUBSET_SIZE = 64  # sizes tried as boundary
 LAST = 1 << 62
 LONG_LIST = 8  # members beyond which a list's shingle goes to the end of the order
 LONG_BITS = 26  # bits of the filter that remembers such shingles: 8 MB
-REFINEMENTS = 2
+REFINEMENTS = 1
+BLOCK = 1000  # sets compared at once: two blocks, their overlaps and a panel of shingles are held
+PANEL = 2048
 
 
 def least_common(size: np.ndarray | int, percent: int = PERCENT):
@@ -292,25 +294,98 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by exact intersection."""
+def forest(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that span the groups among some sets; with ``sides``, only pairs across the two sides.
+
+    Overlaps come from the inverted lists of the shingles that several sets have, as products of
+    the rows of a membership matrix, a block of rows at a time.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    value, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    often = np.bincount(column, minlength=len(value)) > 1
+    use = often[column]
+    place = (np.cumsum(often) - 1)[column[use]]
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    overlap = np.zeros((n, n), np.float32)
+    for start in range(0, int(often.sum()), PANEL):
+        inside = (place >= start) & (place < start + PANEL)
+        member = np.zeros((n, PANEL), np.float32)
+        member[row[use][inside], place[inside] - start] = 1
+        overlap += member @ member.T
+    close = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
+    if sides is not None:
+        close &= sides[:, None] != sides[None, :]
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True):
+        x, y = root(i), root(j)
+        if x != y:
+            parent[y] = x
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def linked(lists: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` that span all groups among sets that share a list.
+
+    A list's members of about one size belong to the cluster of their pivot, the member whose
+    place in the list is lowest: among near copies the one with fewest changes of its own, so
+    many lists name the same pivot and a set is sent once for all of them.  Members stand in
+    their size class and the next, so any two that may link meet in one.  A cluster of more
+    than ``BLOCK`` sets is cut into blocks, and every pair of blocks is a tile of its own.
+    """
+    near = lists.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    pivots = (
+        near.groupBy("key", "band")
+        .agg(F.min(F.struct("place", "node")).alias("p"), F.min("node").alias("least"), F.max("node").alias("most"))
+        .where("least <> most")
+    )
+    members = near.join(pivots, ["key", "band"]).select(F.col("p.node").alias("pivot"), "node").distinct()
+    members = cut_lineage(members)
+    sets = sets_of(texts, cut_lineage(members.select("node").distinct()), width)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
+    tiles = (
+        members.join(members.groupBy("pivot").count(), "pivot")
+        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    )
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                place = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[place] == p).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return map_arrow(with_b.select("a", "b", "x", "y"), step, "a long, b long")
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            out = []
+            for pivot, i, j, own, node, blob in zip(*columns, batch.column(5), strict=True):
+                if (pivot, i, j) != tile:
+                    out += _tile_links(tile, held, percent)
+                    tile, held = (pivot, i, j), []
+                held.append((own, node, np.frombuffer(blob.as_buffer(), "<u8")))
+            yield _links(out)
+        yield _links(_tile_links(tile, held, percent))
+
+    sent = tiles.join(sets, "node").select("pivot", "i", "j", "own", "node", "shingles")
+    dealt = sent.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return map_arrow(dealt, step, "a long, b long")
+
+
+def _tile_links(tile: tuple | None, held: list, percent: int) -> list[tuple[int, int]]:
+    if len(held) < 2:
+        return []
+    own, nodes = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+    return forest(nodes, [h[2] for h in held], own if tile[1] != tile[2] else None, percent)
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -334,15 +409,6 @@ def groups(links: DataFrame) -> DataFrame:
             return state
 
 
-def _possible(sa: str, ia: str, sb: str, ib: str, percent: int) -> str:
-    """A shingle at places ia and ib still allows enough common ones, and the sizes fit."""
-    need = f"ceil({percent} * ({sa} + {sb}) / {100 + percent}.0)"
-    return (
-        f"100 * least({sa}, {sb}) >= {percent} * greatest({sa}, {sb}) AND "
-        f"least({ia}, {ib}) + 1 + least({sa} - {ia} - 1, {sb} - {ib} - 1) >= {need}"
-    )
-
-
 def similar_groups(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -378,29 +444,7 @@ def similar_groups(
     twice = twice.where("a <> z").join(rows.where("node <> 0").select("doc_id", F.col("node").alias("b")), "doc_id")
     links = cut_lineage(twice.where("a <> b").select("a", "b").distinct())
 
-    comp = groups(links)
-    open_lists = _still_open(lists, comp)
-    member = F.struct("node", "size", "place", "comp")
-    pivots = open_lists.groupBy("key", "band").agg(F.array(F.min(member), F.max(member)).alias("ps"))
-    star = (
-        open_lists.join(pivots, ["key", "band"])
-        .withColumn("p", F.explode("ps"))
-        .where("node <> p.node AND comp <> p.comp AND " + _possible("size", "place", "p.size", "p.place", percent))
-        .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-    )
-    links = cut_lineage(links.union(_checked(star, texts, width, percent)))
-    comp = groups(links)
-    last = _still_open(lists, comp)
-    parties = last.select("key", "comp").distinct()
-    meetings = parties.join(parties.withColumnRenamed("comp", "other"), "key").where("comp < other")
-    right = last.select("key", F.col("comp").alias("other"), F.col("node").alias("n2"), F.col("size").alias("s2"), F.col("place").alias("p2"))
-    pairs = (
-        meetings.join(last, ["key", "comp"])
-        .join(right, ["key", "other"])
-        .where(_possible("size", "place", "s2", "p2", percent))
-        .select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b"))
-    )
-    comp = groups(cut_lineage(links.union(_checked(pairs, texts, width, percent))))
+    comp = groups(cut_lineage(links.union(linked(lists, texts, width, percent)).distinct()))
     least_doc = rows.where("node <> 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
     grouped = least_doc.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = grouped.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -409,20 +453,6 @@ def similar_groups(
     return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", "node", own.alias("component_id"))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among candidate pairs; only the sets that some pair needs are made again from the texts."""
-    pairs = cut_lineage(pairs.distinct())
-    nodes = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    return linked(pairs, cut_lineage(sets_of(texts, nodes, width)), percent)
-
-
-def _still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """Lists with members of more than one group, with the group of each member."""
-    marked = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    return cut_lineage(marked.join(several, "key"))
-
-
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The documents with one row per group: that of the smallest doc_id.
 
