@@ -45,8 +45,8 @@ GRAM = 32
 SPAN = WIDTH - GRAM  # windows start up to so many bytes before their anchor
 ROOM = 2 * SPAN + GRAM  # columns of a context
 MODULUS = 16
-HOT = 50_000  # occurrences of an anchor beyond which its windows are compared one by one
-BLOCK_ROWS = 60_000
+HOT = 20_000  # occurrences of an anchor beyond which its windows are compared one by one
+BLOCK_ROWS = 20_000
 FILTER_BITS = 26
 LAST = (1 << 63) - 1
 
@@ -193,7 +193,7 @@ def _dense(keys: list[np.ndarray]) -> np.ndarray:
     fresh = np.zeros(len(order), bool)
     for k in keys:
         fresh[1:] |= k[order][1:] != k[order][:-1]
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.cumsum(fresh)
     return rank
 
@@ -207,7 +207,9 @@ def cover_ranks(matrix: np.ndarray) -> dict[int, dict[int, np.ndarray]]:
     for size in (32, 64):
         half = ranks[size // 2]
         ranks[size] = {
-            c: np.unique(half[c] * n + half[c + size // 2], return_inverse=True)[1].reshape(-1) for c in columns if c + size <= width
+            c: np.unique(half[c].astype(np.int64) * n + half[c + size // 2], return_inverse=True)[1].reshape(-1).astype(np.int32)
+            for c in columns
+            if c + size <= width
         }
     return ranks
 
@@ -233,7 +235,7 @@ def repeated_windows(matrix: np.ndarray, low: np.ndarray, high: np.ndarray) -> n
         part = matrix[rows]
         keys = [
             _words(part, column, head),
-            ranks[64][head][rows] * n + ranks[32][tail][rows],
+            ranks[64][head][rows].astype(np.int64) * n + ranks[32][tail][rows],
             _words(part, tail + 32, column + WIDTH),
         ]
         order = np.lexsort(keys[::-1])  # stable: earlier rows first among equals

@@ -58,6 +58,8 @@ class Sketch:
         return bit(self.twice, one) & bit(self.twice, two)
 
     def very_often(self, value: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(value), bool)
         one, two = _cells(value, self.bits)
         return bit(self.hot, one) & bit(self.hot, two)
 
@@ -76,4 +78,4 @@ def gather(rows: DataFrame, bits: int, hot: int) -> Sketch:
     for row in bounded_rows(map_arrow(sent, add, "part int, twice binary, hot binary")):
         at = slice(row["part"] * per_part // 8, (row["part"] + 1) * per_part // 8)
         twice[at], often[at] = np.frombuffer(row["twice"], np.uint8), np.frombuffer(row["hot"], np.uint8)
-    return Sketch(twice, often, bits)
+    return Sketch(twice, often if often.any() else np.empty(0, np.uint8), bits)  # nothing is hot: nothing to send
