@@ -2,10 +2,12 @@
 
 Three plain kinds come straight from patterns: ``assign`` (a value assigned to a telling name),
 ``access`` (access key ids) and ``hex`` (long hexadecimal runs).  Further kinds are reported
-only after their bytes parse: base64 or hexadecimal runs are decoded and must hold a private
-key, that is a DER sequence whose nested lengths close exactly and whose members are those of a
+only after their bytes parse: base64 or hexadecimal digits are decoded from every place where a key
+can begin, over line ends, blanks, joined string literals and the escapes that JSON and source code
+write for line ends (``BREAK``), and must hold a private key, that is a DER sequence whose nested lengths close exactly and whose members are those of a
 PKCS#1, PKCS#8, encrypted PKCS#8 or EC key (``der``), or the binary OpenSSH container with
-consistent lengths (``openssh``); armoured blocks must hold one of these (``pem``); signed
+consistent lengths (``openssh``); armoured blocks must hold one of these (``pem``, which stands for
+a broken run inside it too); signed
 tokens must have a JSON header that names an algorithm and a JSON object as claims (``jwt``).
 
 Spans are in code points, end exclusive.  Candidate rows are found on raw bytes by whole-batch
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -42,17 +45,34 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
-BLOB_LENGTH = 40
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_BLOB = re.compile(r"[0-9A-Fa-f]{80,}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
+# What may stand between two digits of a key: blanks, escapes (doubled ones too), ends of joined literals.
+BREAK = r"""(?:[ \t\r\n\f\v]|\\+[nrt]|\\+(?=[\s/"'])|["'`][ \t\r\n]*[+.,]?[ \t\r\n]*["'`])*"""
+DIGIT = {"base64": "[A-Za-z0-9+/_-]", "hex": "[0-9A-Fa-f]"}
+PIECE = {form: re.compile(f"({digit}+){BREAK}") for form, digit in DIGIT.items()}
+ESCAPE = re.compile(r"\\+[nr]")
+LITERAL = re.compile(r"""["'`]\s*[+.,]?\s*["'`]|[\s\\"'`]""")
+PADDING = re.compile("={0,2}")
+ARMOUR = re.compile(r"""-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----([A-Za-z0-9+/=\s:,.\\"'`-]*?)-----END \1PRIVATE KEY-----""")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 OPENSSH_MAGIC = b"openssh-key-v1\x00"
 
+
+def _begins(digits: list[str], more: str, least: int) -> str:
+    """Pattern of a first digit that is followed by the others and by at least so many more."""
+    return f"{digits[0]}(?={BREAK}{BREAK.join(digits[1:])}(?:{BREAK}{more}){{{least}}})"
+
+
+STARTS = {
+    ("base64", "der"): _begins(["M", "[A-P]"], DIGIT["base64"], 16),
+    ("base64", "openssh"): _begins([*base64.b64encode(OPENSSH_MAGIC).decode()], DIGIT["base64"], 16),
+    ("hex", "der"): _begins(["3", "0"], DIGIT["hex"], 24),
+    ("hex", "openssh"): _begins([f"[{x}{x.upper()}]" for x in OPENSSH_MAGIC.hex()], DIGIT["hex"], 24),
+}
+START = {place: re.compile(pattern) for place, pattern in STARTS.items()}
+ANY_START = re.compile("|".join(STARTS.values()).encode())
+
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*b"0123456789abcdef"]] = True
-_BLOB_BYTE = np.zeros(256, bool)
-_BLOB_BYTE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -137,24 +157,63 @@ def _decoded(text: str) -> bytes:
         return b""
 
 
-def _blob_keys(blob: str, offset: int) -> Iterator[tuple[str, int, int]]:
-    """Keys inside a base64 run: any place where a sequence or the container's magic can begin."""
-    done = 0
-    for m in re.finditer(r"M[A-P]|b3BlbnNz", blob):
-        if m.start() < done:
-            continue
-        if m.group() == "b3BlbnNz":
-            kind, size = "openssh", openssh_key_length(_decoded(blob[m.start() :]))
-        else:
-            head = _tlv(_decoded(blob[m.start() : m.start() + 12]), 0, 1 << 32)
-            if head is None or head[2] * 4 > (len(blob) - m.start()) * 3:
+def _digits(text: str, at: int, form: str, least: int) -> tuple[str, list[tuple[int, int]]]:
+    """Digits from a place on, breaks left out, until there are enough, and (digits before, place) of each piece."""
+    pieces, places, n = [], [], 0
+    while n < least:
+        m = PIECE[form].match(text, at)
+        if m is None:
+            break
+        places.append((n, at))
+        pieces.append(m.group(1))
+        n, at = n + len(pieces[-1]), m.end()
+    return "".join(pieces), places
+
+
+def _raw(digits: str, form: str) -> bytes:
+    return _decoded(digits) if form == "base64" else bytes.fromhex(digits[: len(digits) // 2 * 2])
+
+
+def _der_head(data: bytes) -> int:
+    """Bytes that a key announces, 0 where its first member cannot be a key's."""
+    outer = _tlv(data, 0, 1 << 40) if len(data) >= 13 else None
+    inner = outer and outer[0] == 0x30 and _tlv(data, outer[1], outer[2])
+    if not inner:
+        return 0
+    version = inner[0] == 0x02 and inner[2] - inner[1] == 1 and data[inner[1]] in (0, 1)
+    return outer[2] if version or (inner[0] == 0x30 and data[inner[1]] == 0x06) else 0
+
+
+def _encoded_keys(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Keys in base64 or hexadecimal digits from every place where one can begin, and whether breaks are inside."""
+    for (form, kind), start in START.items():
+        done = 0
+        size_of = lambda n: -(-n * 4 // 3) if form == "base64" else 2 * n  # noqa: B023, E731
+        for m in start.finditer(text):
+            at = m.start()
+            if at < done:
                 continue
-            kind, size = "der", der_key_length(_decoded(blob[m.start() : m.start() + -(-head[2] * 4 // 3)]))
-        if size:
-            done = m.start() + -(-size * 4 // 3)
-            while done < len(blob) and blob[done] == "=":
-                done += 1
-            yield kind, offset + m.start(), offset + done
+            head = _raw(_digits(text, at, form, size_of(21))[0][: size_of(21)], form)
+            if kind == "der":
+                size = _der_head(head)
+                if not size or size_of(size) > len(text) - at:
+                    continue
+                digits, places = _digits(text, at, form, size_of(size))
+                size = der_key_length(_raw(digits[: size_of(size)], form))
+            else:
+                first = int.from_bytes(head[len(OPENSSH_MAGIC) : len(OPENSSH_MAGIC) + 4], "big")
+                if size_of(first) > len(text) - at:
+                    continue
+                digits, places = _digits(text, at, form, len(text))
+                size = openssh_key_length(_raw(digits, form))
+            if size:
+                n = size_of(size)
+                before, place = places[bisect.bisect_left(places, (n, 0)) - 1]
+                done = place + n - before
+                broken = done - at > n
+                if form == "base64":
+                    done = PADDING.match(text, done).end()
+                yield kind, at, done, broken
 
 
 def _json_object(part: str) -> dict:
@@ -170,21 +229,18 @@ def find_secrets(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LENGTH]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LENGTH]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    keys: list[tuple[str, int, int, bool]] = []
     if runs:
-        for m in BLOB.finditer(text):
-            found += _blob_keys(m.group(), m.start())
-        for m in HEX_BLOB.finditer(text):
-            raw = bytes.fromhex(m.group()[: len(m.group()) // 2 * 2])
-            for kind, size in (("der", der_key_length(raw)), ("openssh", openssh_key_length(raw))):
-                if size:
-                    found.append((kind, m.start(), m.start() + 2 * size))
+        keys = list(_encoded_keys(text))
     if "-----BEGIN" in text:
         for m in ARMOUR.finditer(text):
-            lines = [x for x in m.group(2).split("\n") if ":" not in x]  # headers of old armour
-            raw = _decoded("".join("".join(lines).split()))
+            lines = [x for x in ESCAPE.sub("\n", m.group(2)).split("\n") if ":" not in x]  # headers of old armour
+            raw = _decoded(LITERAL.sub("", "".join(lines)))
             locked = "ENCRYPTED" in m.group(2) and len(raw) >= 64
             if der_key_length(raw) or openssh_key_length(raw) or locked:
                 found.append(("pem", m.start(), m.end()))
+                keys = [k for k in keys if not (k[3] and m.start() <= k[1] and k[2] <= m.end())]
+    found += [k[:3] for k in keys]
     if "eyJ" in text:
         for m in JWT.finditer(text):
             if isinstance(_json_object(m.group(1)).get("alg"), str) and _decoded(m.group(2))[:1] == b"{" and _json_object(m.group(2)):
@@ -206,7 +262,7 @@ def _long_runs(flags: np.ndarray, least: int, offsets: np.ndarray) -> np.ndarray
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that can hold any secret, and those with long encoded runs."""
+    """Rows that can hold any secret, and those where an encoded key can begin."""
     raw, low = data.tobytes(), LOWER[data].tobytes()
     places = []
     for text, words in ((low, (b"passw", b"secret", b"token", b"api")), (raw, (b"AKIA", b"-----BEGIN", b"eyJ"))):
@@ -215,11 +271,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             while at >= 0:
                 places.append(at)
                 at = text.find(word, at + 1)
-    long_runs = _long_runs(_BLOB_BYTE[data], BLOB_LENGTH, offsets)
+    begins = np.array([m.start() for m in ANY_START.finditer(raw)], np.int64)
     rows = len(offsets) - 1
     runs, some = np.zeros(rows, bool), np.zeros(rows, bool)
-    runs[np.searchsorted(offsets, long_runs, "right") - 1] = True
-    every = np.concatenate([np.array(places, np.int64), _long_runs(_HEX_BYTE[data], HEX_LENGTH, offsets), long_runs])
+    runs[np.searchsorted(offsets, begins, "right") - 1] = True
+    every = np.concatenate([np.array(places, np.int64), _long_runs(_HEX_BYTE[data], HEX_LENGTH, offsets), begins])
     some[np.searchsorted(offsets, every, "right") - 1] = True
     return some, runs
 
