@@ -10,6 +10,7 @@ from fieldtally.functions.expressions import ratio_of_sums
 from fieldtally.operators.aggregates import to_long
 from fieldtally.plans import kpi, quality as ql, star
 from fieldtally.session import cut_lineage
+from fieldtally.settings import FUEL_PRICE, KG_PER_LITRE, KM_PER_LITRE_FUEL, TRUCK_VOLUME_L
 
 
 def with_city(w, fact):
@@ -210,3 +211,185 @@ def _(w):
     names = ["generated_l", "overflow_l", "overflow_slot_pct", "fill_pct"]
     checks = ql.reconcile_kpis(to_long(direct, ["city_id"], names), to_long(model, ["city_id"], names), ["city_id"])
     return ql.reconciliation_summary(checks, F.concat_ws(":", "city_id", "metric"))
+
+
+# metric -> absolute tolerance, besides 1e-7 of the value
+RECONCILED = {
+    "bins": 0.0,
+    "collected_kg": 0.01,
+    "daily_collected_kg": 0.01,
+    "fill_pct": 1e-7,
+    "overflow_slot_pct": 1e-7,
+    "generated_l_per_bin_day": 1e-6,
+    "overflow_days": 0.0,
+    "completed_collections": 0.0,
+    "early_success_pct": 1e-7,
+    "late_risk_attempt_pct": 1e-7,
+    "required_bins": 0.0,
+    "high_priority_bins": 0.0,
+    "forecast_trigger_bins": 0.0,
+    "baseline_km": 1e-6,
+    "optimized_km": 1e-6,
+    "saved_km": 1e-6,
+    "distance_reduction_pct": 1e-6,
+    "pilot_bins_serviced": 0.0,
+    "optimized_truck_km": 1e-6,
+    "reserved_truck_capacity_pct": 1e-7,
+    "fuel_saved_l": 1e-6,
+    "fuel_cost_saved_proxy": 1e-6,
+    "travel_minutes_saved": 1e-6,
+    "modelled_spill_avoided_l": 1e-6,
+    "forecast_known_test_mae_pp": 1e-6,
+    "forecast_near_full_recall_pct": 1e-6,
+}
+BASE = "base_3_trucks"
+
+
+def share(part, whole):
+    return F.lit(100.0) * part / F.nullif(whole, F.lit(0))
+
+
+def _per_city(w, frames):
+    """All metrics of all cities in long form; a city without rows of a kind has NULL there."""
+    wide = w.dim_city.select("city_id")
+    for df in frames:
+        wide = wide.join(df, "city_id", "left")
+    return to_long(wide, ["city_id"], list(RECONCILED))
+
+
+def direct_kpis(w):
+    """The 26 metrics from readings, route rows, replayed bins, dispatch rows and predictions, without star or measures."""
+    done = F.col("collection_status").isin("collected", "partial")
+    tried = F.col("collection_status") != "none"
+    before = F.lit(100.0) * (F.col("inventory_l_true") + F.col("removed_l_true")) / F.col("capacity_l")
+    bin_days = w.interim_zoned.groupBy("city_id", "bin_id", "service_date_local").agg(
+        F.sum("arrivals_l_true").alias("made"),
+        F.sum("overflow_l_true").alias("spilt"),
+        F.sum(F.when(tried, F.col("removed_l_true"))).alias("tried_l"),
+        F.sum("removed_l_true").alias("taken_l"),
+        F.sum("fill_level_pct").alias("fill"),
+        F.count("fill_level_pct").alias("received"),
+        F.count(F.lit(1)).alias("slots"),
+        F.count_if(F.col("overflow_l_true") > 0).alias("over"),
+        F.count_if(tried).alias("tries"),
+        F.count_if(done).alias("completed"),
+        F.count_if(done & (before < 35)).alias("early"),
+        F.count_if(tried & ((before >= 95) | (F.col("overflow_l_true") > 0))).alias("late"),
+    )
+    readings = bin_days.groupBy("city_id").agg(
+        (F.sum("tried_l") * KG_PER_LITRE).alias("collected_kg"),
+        (F.sum("taken_l") * KG_PER_LITRE).alias("daily_collected_kg"),
+        ratio_of_sums("fill", "received").alias("fill_pct"),
+        ratio_of_sums("over", "slots", 100.0).alias("overflow_slot_pct"),
+        F.avg("made").alias("generated_l_per_bin_day"),
+        F.count_if(F.col("spilt") > 0).alias("overflow_days"),
+        F.sum("completed").alias("completed_collections"),
+        ratio_of_sums("early", "completed", 100.0).alias("early_success_pct"),
+        ratio_of_sums("late", "tries", 100.0).alias("late_risk_attempt_pct"),
+    )
+    zones = w.dim_zone.select(F.col("zone_id").cast("int").alias("s_nationkey"), "city_id")
+    bins = w.table("supplier").join(zones, "s_nationkey").groupBy("city_id").agg(F.count(F.lit(1)).alias("bins"))
+    dispatch = w.priority.groupBy("city_id").agg(
+        F.sum(F.col("required").cast("int")).alias("required_bins"),
+        F.sum((F.col("required") & (F.col("tier") == 1)).cast("int")).alias("high_priority_bins"),
+        F.sum(F.col("forecast_trigger").cast("int")).alias("forecast_trigger_bins"),
+    )
+    of = lambda m, c: F.sum(F.when(F.col("method") == m, F.col(c)))
+    plans = w.stored_metrics.where(F.col("scenario") == BASE).groupBy("city_id").agg(
+        (of("baseline", "distance_m") / 1000).alias("b"),
+        (of("optimized", "distance_m") / 1000).alias("o"),
+        ((of("baseline", "travel_seconds") - of("optimized", "travel_seconds")) / 60).alias("minutes"),
+        of("optimized", "bins").alias("stops"),
+        of("optimized", "load_l").alias("load"),
+        (F.count_if(F.col("method") == "optimized") * F.lit(TRUCK_VOLUME_L)).alias("room"),
+    )
+    ok = F.col("load") <= F.col("room")
+    saved = F.col("b") - F.col("o")
+    both = lambda c: F.when(ok & saved.isNotNull(), c)
+    routes = plans.select(
+        "city_id",
+        F.when(ok, F.col("b")).alias("baseline_km"),
+        F.when(ok, F.col("o")).alias("optimized_km"),
+        both(saved).alias("saved_km"),
+        both(share(saved, F.col("b"))).alias("distance_reduction_pct"),
+        both(F.col("stops")).alias("pilot_bins_serviced"),
+        F.col("o").alias("optimized_truck_km"),
+        share(F.col("load"), F.col("room")).alias("reserved_truck_capacity_pct"),
+        both(saved / KM_PER_LITRE_FUEL).alias("fuel_saved_l"),
+        both(saved / KM_PER_LITRE_FUEL * FUEL_PRICE).alias("fuel_cost_saved_proxy"),
+        both(F.col("minutes")).alias("travel_minutes_saved"),
+    )
+    places = w.dim_bin.select((F.col("bin_id") + 1).alias("bin_id"), "city_id")
+    spill = w.replay_rows.where(F.col("scenario") == BASE).join(places, "bin_id").groupBy("city_id").agg(
+        (of("baseline", "overflow_l") - of("optimized", "overflow_l")).alias("modelled_spill_avoided_l")
+    )
+    known = (F.col("split") == "test") & (F.col("group") == "known_bins") & (F.col("model") == "ridge")
+    high = F.col("target_fill_pct") >= 95
+    scores = w.ridge_forecast[1].where(known).groupBy("city_id").agg(
+        (F.sum(F.abs(F.col("target_fill_pct") - F.col("prediction_pct"))) / F.count("prediction_pct")).alias("forecast_known_test_mae_pp"),
+        F.coalesce(share(F.count_if(high & (F.col("prediction_pct") >= 95)), F.count_if(high)), F.lit(0.0)).alias(
+            "forecast_near_full_recall_pct"
+        ),
+    )
+    return _per_city(w, [bins, readings, dispatch, routes, spill, scores])
+
+
+def star_kpis(w):
+    """The same metrics as measures of the star over the stored marts."""
+    by = ["city_id"]
+    city_days = star.fact_city_day(w.city_day)
+    days = kpi.city_day_measures(city_days, by).select("city_id", "overflow_slot_pct", "generated_l_per_bin_day")
+    more = city_days.groupBy("city_id").agg(
+        F.sum("collected_kg").alias("daily_collected_kg"), ratio_of_sums("fill_sum_pct", "received_readings").alias("fill_pct")
+    )
+    bins = kpi.bin_measures(star.dim_bin(w.dim_bin), by).withColumnRenamed("bin_count", "bins")
+    bin_days = kpi.bin_day_measures(with_city(w, star.fact_bin_day(w.bin_day)), by).select(
+        "city_id", F.col("overflow_bin_days").alias("overflow_days")
+    )
+    tries = kpi.attempt_measures(with_city(w, star.fact_collection_attempt(w.diagnostics)), by).select(
+        "city_id",
+        (F.col("waste_collected_t") * 1000).alias("collected_kg"),
+        F.col("collections_completed").alias("completed_collections"),
+        F.col("early_collection_pct").alias("early_success_pct"),
+        "late_risk_attempt_pct",
+    )
+    dispatch = kpi.dispatch_measures(star.fact_dispatch_snapshot(w.priority), by).select(
+        "city_id",
+        F.col("bins_requiring_collection").alias("required_bins"),
+        "high_priority_bins",
+        F.col("forecast_triggered_bins").alias("forecast_trigger_bins"),
+    )
+    base = F.col("scenario_key") == F.concat_ws(":", "city_id", F.lit(BASE))
+    routes = (
+        kpi.route_measures(star.fact_route_scenario(w.route_scenarios).where(base), by)
+        .withColumnsRenamed({"baseline_route_km": "baseline_km", "optimized_route_km": "optimized_km", "distance_saved_km": "saved_km"})
+    )
+    trucks = star.fact_truck_route(w.fact_routes).where(base)
+    reserved = kpi.truck_measures(trucks, by).select("city_id", "reserved_truck_capacity_pct")
+    optimized = kpi.truck_measures(trucks.where(F.col("method") == "optimized"), by).select(
+        "city_id", F.col("route_distance_km").alias("optimized_truck_km")
+    )
+    spill = kpi.spill_measures(star.fact_counterfactual(w.overflow_comparison).where(base), by)
+    known = (F.col("split") == "test") & (F.col("evaluation_group") == "known_bins") & (F.col("model") == "ridge")
+    scores = kpi.score_measures(star.fact_forecast_score(w.ridge_forecast[2]).where(known), by).withColumnRenamed(
+        "forecast_mae_pp", "forecast_known_test_mae_pp"
+    )
+    return _per_city(w, [bins, days, more, bin_days, tries, dispatch, routes, reserved, optimized, spill, scores])
+
+
+def reconciled_kpis(w):
+    """All 26 metrics of every city, from both sides."""
+    w.build_marts()
+    w.__dict__["replay_rows"] = cut_lineage(w.replay_rows)
+    tolerance = F.create_map(*[F.lit(x) for item in RECONCILED.items() for x in item])
+    return ql.reconcile_kpis(direct_kpis(w), star_kpis(w), ["city_id"], tolerance[F.col("metric")])
+
+
+@query("L8_all")
+def _(w):
+    return reconciled_kpis(w)
+
+
+@query("P11_all")
+def _(w):
+    return ql.reconciliation_summary(reconciled_kpis(w), F.concat_ws(":", "city_id", "metric"))

@@ -129,7 +129,7 @@ def reconcile(pairs: dict[str, tuple[str, str]], row: DataFrame, tol: float = 0.
     )
 
 
-def reconcile_kpis(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 1e-3) -> DataFrame:
+def reconcile_kpis(a: DataFrame, b: DataFrame, keys: list[str], tol: float | Column = 1e-3) -> DataFrame:
     """Two long (keys, metric, value) frames from independent paths, compared row by row."""
     left = a.select(*keys, "metric", F.col("value").alias("expected"))
     right = b.select(*keys, "metric", F.col("value").alias("actual"))

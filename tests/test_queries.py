@@ -63,3 +63,26 @@ def test_library_source_avoids_unsafe_steps():
                 text = open(os.path.join(folder, n), encoding="utf-8").read()
                 hits += [(n, m.group(0)) for m in banned.finditer(text)]
     assert hits == []
+
+
+@needs_data
+def test_every_kpi_is_reconciled(spark):
+    from pyspark.sql import functions as F
+
+    from fieldtally.bindings import World
+    from fieldtally.catalog import q_kpi
+
+    def gap(m):
+        """The marts with rows changed: readings' side, routes and scores stay as they are."""
+        m.__dict__["diagnostics"] = m.diagnostics.where("NOT (city_id = 'ASIA' AND collection_status = 'partial')")
+        m.__dict__["fact_routes"] = m.fact_routes.withColumn("distance_m", F.col("distance_m") + F.when(F.col("city_id") == "ASIA", 1).otherwise(0))
+        return m
+
+    whole = q_kpi.reconciled_kpis(World(spark, SMALL)).collect()
+    assert {(r.city_id, r.metric) for r in whole} == {(r.r_name, m) for r in World(spark, SMALL).table("region").collect() for m in q_kpi.RECONCILED}
+    assert len(whole) == 5 * 26 == len({(r.city_id, r.metric) for r in whole})
+    assert [r for r in whole if not r.passed] == []
+    assert not {r.metric for r in whole} - {r.metric for r in whole if r.expected is not None}
+    failed = {(r.city_id, r.metric) for r in q_kpi.reconciled_kpis(gap(World(spark, SMALL))).collect() if not r.passed}
+    assert {c for c, _ in failed} == {"ASIA"}
+    assert {"collected_kg", "completed_collections", "early_success_pct", "optimized_truck_km"} <= {m for _, m in failed}
