@@ -2,7 +2,8 @@
 
 Paths of a host form a tree of segments.  Segments that are variable by shape (numbers, dates,
 hexadecimal ids, uuids) become placeholders at once, so that counts shrink before any shuffle.
-Level by level, a node whose children are many and rarely repeated becomes a wildcard.  Sibling
+Level by level, down to the last one where a host has enough different segments for it, a node
+whose children are many and rarely repeated becomes a wildcard.  Sibling
 branches, alike but for one literal segment, are merged where their labelled shares agree: a
 branch within ``MERGE_Z`` standard errors of what its siblings have together joins the merged
 template, the others stay alone.  A template's purity is its share of good pages, smoothed
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 from fieldtally.session import cut_lineage
 
-DEPTH = 8
 WIDE_NODE = 24
 REPEATS = 4.0
 MERGE_Z = 2.5
@@ -72,7 +72,7 @@ def url_path(url: Column) -> Column:
 
 
 def path_shape(path: Column) -> Column:
-    """Segments of a path with those that are variable by their shape replaced; at most DEPTH + 1."""
+    """Segments of a path with those that are variable by their shape replaced."""
     segments = F.split(F.regexp_replace(path, "^/", ""), "/")
 
     def shape(s: Column) -> Column:
@@ -86,9 +86,14 @@ def path_shape(path: Column) -> Column:
             .otherwise(s)
         )
 
-    shaped = F.transform(segments, shape)
-    long = F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("<rest>")))
-    return F.when(F.size(shaped) > DEPTH, long).otherwise(shaped)
+    return F.transform(segments, shape)
+
+
+def _wide_levels(counts: DataFrame) -> list[int]:
+    """Levels where a host has more than WIDE_NODE different segments; no node of another level can be wide."""
+    seen = counts.select("host", F.posexplode("shape").alias("level", "segment")).groupBy("host", "level", "segment").agg(F.lit(1).alias("n"))
+    many = seen.groupBy("host", "level").agg(F.sum("n").alias("n")).where(F.col("n") > WIDE_NODE)
+    return many.agg(F.array_sort(F.collect_set("level"))).first()[0]
 
 
 def path_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,8 +113,7 @@ def path_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         )
     )
     tree = counts.withColumn("path", F.col("shape"))
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(min(deepest, DEPTH + 1)):
+    for done, level in enumerate(_wide_levels(counts)):
         here = F.col("path")[level]
         node = F.slice("path", 1, level)
         children = (
@@ -128,7 +132,7 @@ def path_templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("path", F.when(F.col("wide") & (F.size("path") > level), replaced).otherwise(F.col("path")))
             .drop("node", "wide")
         )
-        if level % 2:
+        if done % 2:
             tree = cut_lineage(tree)
     return _purity(_merge_siblings(tree))
 

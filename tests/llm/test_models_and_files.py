@@ -194,6 +194,22 @@ def test_url_parts_rules_and_templates(spark, rng):
     assert {r.verdict for r in url_filter.judge_urls(pages.where("url LIKE '%site%'"), none, ()).collect()} == {"allow"}
 
 
+def test_branches_of_deep_paths_part(spark, rng):
+    deep = "http://deep.net/" + "/".join("abcdefghi")
+    urls = [f"{deep}/{'ads' if k % 2 else 'news'}/x" for k in range(200)]
+    urls += [f"{deep}/w/{words(rng, 2).replace(' ', '-')}{'q' * (k % 5)}-{'abcdefghij'[k % 10]}/page" for k in range(200)]
+    urls.append("http://deep.net" + "/s" * 300)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, "/ads/" not in u) for k, u in enumerate(urls) if k % 3], "page_key long, good boolean")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, labels, ()).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        assert got[k].verdict == ("block" if "/ads/" in u else "allow"), (u, got[k].template)
+    wide = {got[k].template for k in range(200, 400)}
+    assert len(wide) == 1 and url_filter.WILDCARD in wide.pop().split("/")
+    assert len({got[k].template for k in range(200)}) == 2
+
+
 def test_pipeline_by_stages(spark, rng):
     import corpus_pipeline as pipeline
 
