@@ -174,7 +174,7 @@ def _(w):
     return q.q09(w.route_day)
 
 
-ANOMALY = """WITH d AS (
+TOP_ANOMALIES = """WITH d AS (
          SELECT zone_id, service_date_local AS day, sum(arrivals_l_true) AS v,
                 row_number() OVER (PARTITION BY zone_id ORDER BY service_date_local) AS i
          FROM slot_city GROUP BY zone_id, service_date_local),
@@ -184,7 +184,8 @@ ANOMALY = """WITH d AS (
        SELECT zone_id, day AS service_date_local, v AS arrivals_l_simulated, m AS prior_28day_mean_l, dev AS prior_window_z,
               'investigate' AS review_flag
        FROM z WHERE dev >= 3 OR dev <= -3
-       QUALIFY row_number() OVER (ORDER BY greatest(dev, -dev) DESC, zone_id, day) <= 50"""
+       QUALIFY row_number() OVER (ORDER BY greatest(dev, -dev) DESC, zone_id, day) <= {k}"""
+ANOMALY = TOP_ANOMALIES.format(k=50)
 
 
 @query("Q10", ANOMALY, "arrivals_l_simulated prior_28day_mean_l prior_window_z")

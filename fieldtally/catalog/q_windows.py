@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from fieldtally.catalog.q_questions import ANOMALY
+from fieldtally.catalog.q_questions import ANOMALY, TOP_ANOMALIES
 from fieldtally.catalog.registry import query
 from fieldtally.operators import ordering, windows as win
 from fieldtally.plans import questions as q
@@ -120,6 +120,11 @@ def _(w):
     return q.anomalies(w.zone_day, k=200)
 
 
+@query("E8_top200", TOP_ANOMALIES.format(k=200), "arrivals_l_simulated prior_28day_mean_l prior_window_z")
+def _(w):
+    return q.anomalies(w.zone_day, k=200)
+
+
 @query(
     "E9",
     f"""SELECT bin_id, service_date_local, lag(mean_observed_fill_pct, 6) OVER ({BIN_SERIES}) AS back6,
