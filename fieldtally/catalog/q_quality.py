@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from fieldtally.catalog.q_sources import OBSERVED, with_parts
 from fieldtally.catalog.registry import query
 from fieldtally.operators.joins import orphans
 from fieldtally.plans import quality as ql, questions as q, star
 from fieldtally.schemas import CONTRACTS
-from fieldtally.session import scratch_path
+from fieldtally.session import cut_lineage, scratch_path
 from fieldtally.sources import files, sinks
 
 PK_SQL = """SELECT '{name}' AS table_name, CAST(sum(c) AS BIGINT) AS rows, count(*) AS distinct_keys,
@@ -109,9 +111,41 @@ def _(w):
     return ql.profile(w.table("orders"), "orders")
 
 
-@query(
-    "L5",
-    """SELECT check_name, CAST(violations AS BIGINT) AS violations, violations > 0 AS is_issue FROM (
+PROFILED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def profiled_tables(w):
+    """The input tables, every dimension and fact of the readings, every day mart, places and roads."""
+    derived = {
+        "dim_city": w.dim_city,
+        "dim_zone": w.dim_zone,
+        "dim_bin": w.dim_bin,
+        "fact_bin_readings": w.obs_city,
+        "simulation_truth": w.truth_city,
+        "interim_readings": w.interim_zoned,
+        "collection_events": w.events,
+        "collection_diagnostics": w.diagnostics,
+        "bin_daily_metrics": w.bin_day,
+        "zone_daily_metrics": w.zone_day,
+        "city_daily_metrics": w.city_day,
+        "route_daily_metrics": w.route_day,
+        "vehicle_daily_metrics": w.vehicle_day,
+        "pois": w.pois_xy,
+        "road_nodes": w.road_nodes.withColumn("tags", F.to_json("tags")),
+        "road_ways": w.road_ways.withColumn("tags", F.to_json("tags")),
+    }
+    star_only = {t: cut_lineage(df) for t, df in star.star_tables(w).items() if t not in derived}
+    return {t: w.table(t) for t in PROFILED} | derived | star_only
+
+
+@query("L4_all")
+def _(w):
+    """Each table's profile is stored as it is made, so that the plans of all tables never stand in one."""
+    tables = profiled_tables(w.build_marts())
+    return reduce(DataFrame.unionByName, [cut_lineage(ql.profile(df, t)) for t, df in tables.items()])
+
+
+CRITICAL_SQL = """SELECT check_name, CAST(violations AS BIGINT) AS violations, violations > 0 AS is_issue FROM (
          SELECT 'reading_id_duplicates' AS check_name, count(*) - count(DISTINCT reading_id) AS violations FROM slot
          UNION ALL SELECT 'reading_orphan_bin', count(*) FROM slot WHERE bin_id NOT IN (SELECT bin_id FROM bin_dim)
          UNION ALL SELECT 'invalid_fill', count(*) FROM slot WHERE fill_level_pct < 0 OR fill_level_pct > 100
@@ -121,28 +155,45 @@ def _(w):
          UNION ALL SELECT 'negative_route_distance', count(*) FROM routeday WHERE distance_km_assumed < 0
          UNION ALL SELECT 'invalid_collection_status', count(*) FROM attempt
            WHERE collection_status NOT IN ('collected', 'partial', 'missed')
-         UNION ALL SELECT 'order_line_duplicates', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem)""",
-)
-def _(w):
+         UNION ALL SELECT 'order_line_duplicates', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem)"""
+
+
+def checks_of(w):
     n = lambda cond: F.count_if(cond).alias("n")
     rows = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
     surplus = lambda df, keys: ql.check_pk(df, keys, "t").select(F.col("duplicates").alias("n"))
-    return ql.critical_checks(
-        {
-            "reading_id_duplicates": surplus(w.obs, ["reading_id"]),
-            "reading_orphan_bin": rows(orphans(w.obs.select("bin_id"), w.dim_bin, "bin_id")),
-            "invalid_fill": w.obs.agg(n((F.col("fill_level_pct") < 0) | (F.col("fill_level_pct") > 100))),
-            "invalid_bin_coordinates": w.dim_bin.agg(
-                n(~F.col("latitude").between(-90, 90) | ~F.col("longitude").between(-180, 180))
-            ),
-            "bin_orphan_zone": rows(orphans(w.dim_bin.select("zone_id"), w.dim_zone, "zone_id")),
-            "negative_route_distance": w.route_day.agg(n(F.col("distance_km_assumed") < 0)),
-            "invalid_collection_status": w.events.agg(
-                n(~F.col("collection_status").isin("collected", "partial", "missed"))
-            ),
-            "order_line_duplicates": surplus(w.table("lineitem"), ["l_orderkey", "l_linenumber"]),
-        }
-    )
+    return {
+        "reading_id_duplicates": surplus(w.obs, ["reading_id"]),
+        "reading_orphan_bin": rows(orphans(w.obs.select("bin_id"), w.dim_bin, "bin_id")),
+        "invalid_fill": w.obs.agg(n((F.col("fill_level_pct") < 0) | (F.col("fill_level_pct") > 100))),
+        "invalid_bin_coordinates": w.dim_bin.agg(
+            n(~F.col("latitude").between(-90, 90) | ~F.col("longitude").between(-180, 180))
+        ),
+        "bin_orphan_zone": rows(orphans(w.dim_bin.select("zone_id"), w.dim_zone, "zone_id")),
+        "negative_route_distance": w.route_day.agg(n(F.col("distance_km_assumed") < 0)),
+        "invalid_collection_status": w.events.agg(
+            n(~F.col("collection_status").isin("collected", "partial", "missed"))
+        ),
+        "order_line_duplicates": surplus(w.table("lineitem"), ["l_orderkey", "l_linenumber"]),
+    }
+
+
+@query("L5", CRITICAL_SQL)
+def _(w):
+    return ql.critical_checks(checks_of(w))
+
+
+MISMATCH_SQL = """
+         UNION ALL SELECT 'reading_zone_mismatch', count(*) FROM slot_city r JOIN bin_dim b USING (bin_id)
+           WHERE r.zone_id <> b.zone_id)"""
+
+
+@query("L5_all", CRITICAL_SQL.removesuffix(")") + MISMATCH_SQL)
+def _(w):
+    """The checks of L5, and readings stored under another zone than their bin's."""
+    own = w.dim_bin.select("bin_id", F.col("zone_id").alias("__own"))
+    stray = w.obs_city.select("bin_id", "zone_id").join(own, "bin_id").agg(F.count_if(F.col("zone_id") != F.col("__own")).alias("n"))
+    return ql.critical_checks(checks_of(w) | {"reading_zone_mismatch": stray})
 
 
 RECONCILE_SQL = """SELECT check_name, a AS left_value, b AS right_value, abs(a - b) AS absolute_difference,
@@ -262,9 +313,13 @@ def _(w):
 
 @query("L11", "SELECT 0::BIGINT AS only_filtered, 0::BIGINT AS only_whole FROM region LIMIT 1")
 def _(w):
-    one = q.q16(w.zone_day, "ASIA")
-    both = q.q16(w.zone_day).where(F.col("city_id") == "ASIA")
-    return ql.check_filter_consistency(one, both)
+    """The query asked for each city in turn against the rows of that city in the whole result."""
+    days = cut_lineage(w.zone_day)
+    asked = [r["city_id"] for r in w.dim_city.select("city_id").orderBy("city_id").toLocalIterator()]  # one row per city
+    mark = lambda df, city: df.select(F.lit(city).alias("asked"), "*")
+    one = reduce(DataFrame.unionByName, [mark(q.q16(days, city), city) for city in asked])
+    whole = q.q16(days)
+    return ql.check_filter_consistency(one, whole.select(F.col("city_id").alias("asked"), "*"))
 
 
 @query(

@@ -105,3 +105,43 @@ def test_anomalies_beyond_the_fiftieth_match_sql(spark):
     want = sorted(repr([norm(v) for v in r]) for r in want.fetchall())
     assert len(want) > 50
     assert sorted(repr([norm(v) for v in r]) for r in df.select(*columns).collect()) == want
+
+
+@needs_data
+def test_filters_and_zones_are_checked_for_every_city(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldtally.bindings import World
+    from fieldtally.plans import questions
+
+    plain = lambda name: [tuple(r) for r in entry.queries()[name](spark, SMALL).collect()]
+    assert plain("L11") == [(0, 0)]
+    stray = {r[0]: r[1] for r in plain("L5_all")}
+    assert stray["reading_zone_mismatch"] == 0 and stray["order_line_duplicates"] == {r[0]: r[1] for r in plain("L5")}["order_line_duplicates"]
+    only, stored = questions.only_city, World(spark, SMALL).obs_city
+    monkeypatch.setattr(questions, "only_city", lambda df, city=None: only(df, None if city == "EUROPE" else city))  # a filter that fails
+    assert plain("L11")[0] != (0, 0)
+    moved = stored.withColumn("zone_id", F.when(F.col("line_id") == 3, "999").otherwise(F.col("zone_id")))
+    monkeypatch.setattr(World, "obs_city", moved)
+    assert {r[0]: r[1] for r in plain("L5_all")}["reading_zone_mismatch"] == stored.where("line_id = 3").count() > 0
+
+
+@needs_data
+def test_every_table_is_profiled(spark):
+    from fieldtally.bindings import World
+    from fieldtally.plans import star
+
+    got = {(r.table_name, r.field): r for r in entry.queries()["L4_all"](spark, SMALL).collect()}
+    names = {t for t, _ in got}
+    assert names >= {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "simulation_truth"} | set(star.GRAINS)
+    w = World(spark, SMALL)
+    for name, df in (("supplier", w.table("supplier")), ("fact_bin_readings", w.obs_city), ("zone_daily_metrics", w.zone_day)):
+        rows = df.collect()
+        assert {f for t, f in got if t == name} == set(df.columns)
+        for c in df.columns:
+            values = [r[c] for r in rows if r[c] is not None]
+            r = got[name, c]
+            assert (r.rows, r.distinct_values) == (len(rows), len(set(values))), (name, c)
+            assert r.null_pct == pytest.approx(100 * (len(rows) - len(values)) / len(rows), abs=1e-5)
+            if values and isinstance(values[0], str):
+                assert (r.min_value, r.max_value) == (min(values), max(values))
