@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import jaccard, mixing, nearest, packing, quality, repeats, secret_scan, token_files, toxicity, url_filter
+from fieldtally.llm import fill_in_middle, jaccard, mixing, nearest, packing, quality, repeats, secret_scan, token_files, toxicity, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -163,3 +163,44 @@ def op4(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6(spark, sf_dir):
     return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(u)::BIGINT AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, array_to_string(u[1:least(c1, c2)], '') AS prefix, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+         array_to_string(u[greatest(c1, c2) + 1:], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13(spark, sf_dir):
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return fill_in_middle.restore_text(made).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
