@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtally.llm import fill_in_middle, jaccard, mixing, nearest, packing, quality, repeats, secret_scan, token_files, toxicity, url_filter
+from fieldtally.llm import fill_in_middle, jaccard, mixing, nearest, packing, phrases, quality, repeats, secret_scan, spelling, token_files, toxicity, url_filter
 from fieldtally.llm.catalog import query, table
 
 
@@ -204,3 +204,14 @@ def op13(spark, sf_dir):
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query("op12_document_fingerprints")
+def op12(spark, sf_dir):
+    return phrases.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    found = spelling.spelling_forms(table(spark, sf_dir, "documents"))
+    return found.select("word", "n", "form", "form_n", "root", "n_near")
