@@ -16,11 +16,13 @@ from fieldtally.operators.spatial import haversine_m
 from fieldtally.plans import forecast, marts, priority, replay, routes, star
 from fieldtally.schemas import INPUT
 from fieldtally.session import cut_lineage
-from fieldtally.settings import KG_PER_LITRE
+from fieldtally.settings import ATTEMPTED, KG_PER_LITRE
+from fieldtally.sources.store import FactStore, open_store
 
 CAPACITY_L = 50
 # the five columns that identify a reading; its text id is built from the same ones
 READING_KEY = ("bin_id", "service_date_local", "order_id", "line_id", "part_id")
+BIN_DAY = ("bin_id", "service_date_local")
 # the event stream covers January 2024
 EVENT_CALENDAR = forecast.Calendar("2024-01-08", "2024-01-15", "2024-01-20", "2024-01-30")
 ISSUE_DATE = "2024-01-25"
@@ -30,6 +32,13 @@ def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(INPUT[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reading_id(
+    order: str = "order_id", line: str = "line_id", part: str = "part_id", bin_id: str = "bin_id", day: str = "service_date_local"
+) -> Column:
+    numbers = [F.col(c).cast("string") for c in (order, line, part, bin_id)]
+    return F.concat_ws("-", *numbers, F.col(day).cast("date").cast("string"))
+
+
 def longitude(key: str) -> Column:
     return F.lit(80.15) + ((F.col(key) * 7919) % 2300) / F.lit(10000.0)
 
@@ -183,11 +192,7 @@ class World:
         ).otherwise(F.lit(0.0))
         inventory = F.col("l_quantity") - removed
         return self.table("lineitem").select(
-            F.concat_ws(
-                "-",
-                *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-                F.col("l_shipdate").cast("date").cast("string"),
-            ).alias("reading_id"),
+            reading_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("reading_id"),
             F.col("l_suppkey").alias("bin_id"),
             (midnight_utc + F.make_dt_interval(hours=(slot * 2).cast("int"))).alias("timestamp_utc"),
             F.col("l_shipdate").cast("date").alias("service_date_local"),
@@ -248,26 +253,58 @@ class World:
         return self._with_bin(self.truth, "city_id", "bin_key")
 
     # marts ----------------------------------------------------------------
+    @cached_property
+    def store(self) -> FactStore:
+        """Facts and marts of the present input files, shared by all questions of the session."""
+        return open_store(self.spark, self.sf_dir, ("lineitem", "supplier", "nation", "region"))
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        """Each reading beside its latent side, joined 1:1 once; kept in buckets of bin and day."""
+        observed = ("timestamp_utc", "fill_level_pct", "sensor_status", "collection_status")
+        latent = ("arrivals_l_true", "inventory_l_true", "overflow_l_true", "removed_l_true", "capacity_l")
+
+        def make(obs: DataFrame, truth: DataFrame) -> DataFrame:
+            return marts.fact_pair(obs, truth, READING_KEY)
+
+        return self.store.fact(
+            "paired", make, BIN_DAY, self.interim.select(*READING_KEY, *observed), self.interim.select(*READING_KEY, *latent)
+        )
+
+    @cached_property
+    def stored_bins(self) -> DataFrame:
+        """The bins as a stored table, whose true size decides whether Spark broadcasts it."""
+        return self.store.mart("bins", lambda: self.dim_bin)
+
     def build_marts(self) -> World:
-        """Stores the bin-day rollup and the attempts once; all other marts, questions and checks
-        asked of this object afterwards read what is stored."""
-        self.__dict__["bin_day_rollup"] = cut_lineage(self.bin_day_rollup)
-        self.__dict__["events"] = cut_lineage(self.events)
+        """Makes sure that the bin-day rollup and the attempts, which all other marts follow from, are stored."""
+        for mart in ("bin_day_rollup", "diagnostics"):
+            getattr(self, mart)
         return self
 
     @cached_property
     def events(self) -> DataFrame:
-        return marts.collection_events(self.interim_zoned, self.truth, READING_KEY)
+        return self.diagnostics.select(*marts.EVENT_COLUMNS)
 
     @cached_property
     def diagnostics(self) -> DataFrame:
         extra = ("city_id", "city_name", "bin_key", "zone_key")
-        return marts.collection_diagnostics(self.interim_zoned, self.truth, extra, READING_KEY)
+
+        def make() -> DataFrame:
+            tried = self.paired.where(F.col("collection_status").isin(*ATTEMPTED)).withColumnRenamed("timestamp_utc", "attempted_at_utc")
+            placed = tried.withColumn("reading_id", reading_id()).join(self.stored_bins.select("bin_id", "zone_id", *extra), "bin_id")
+            return marts.attempt_rows(placed, extra)
+
+        return self.store.mart("attempts", make, BIN_DAY)
 
     @cached_property
     def bin_day_rollup(self) -> DataFrame:
         keep = ("zone_id", "city_id", "city_name", "bin_key", "zone_key")
-        return marts.bin_daily(self.obs, self.truth, self.dim_bin, keep, READING_KEY, rollup=True)
+
+        def make() -> DataFrame:
+            return marts.bin_days(self.paired, self.stored_bins, keep, rollup=True)
+
+        return self.store.mart("bin_day", make, BIN_DAY)
 
     @cached_property
     def bin_day(self) -> DataFrame:
@@ -275,11 +312,11 @@ class World:
 
     @cached_property
     def zone_day(self) -> DataFrame:
-        return marts.zone_daily(self.bin_day, ("city_id", "city_name", "zone_key"))
+        return self.store.mart("zone_day", lambda: marts.zone_daily(self.bin_day, ("city_id", "city_name", "zone_key")))
 
     @cached_property
     def route_day(self) -> DataFrame:
-        return marts.route_daily(self.events)
+        return self.store.mart("route_day", lambda: marts.route_daily(self.events))
 
     @cached_property
     def vehicle_day(self) -> DataFrame:
@@ -287,7 +324,7 @@ class World:
 
     @cached_property
     def city_day(self) -> DataFrame:
-        return marts.city_daily_rollup(self.bin_day_rollup)
+        return self.store.mart("city_day", lambda: marts.city_daily_rollup(self.bin_day_rollup))
 
     # event stream as readings of customer bins ------------------------------
     @cached_property

@@ -29,44 +29,56 @@ def fact_pair(facts: DataFrame, latent: DataFrame, key: tuple[str, ...]) -> Data
 
 
 def _attempts(interim: DataFrame, key: tuple[str, ...], extra: tuple[str, ...]) -> DataFrame:
-    named = ["reading_id", "bin_id", "zone_id", "service_date_local", "collection_status", *extra]
+    named = ["reading_id", "bin_id", "service_date_local", "collection_status", *extra]
     return interim.where(F.col("collection_status").isin(*ATTEMPTED)).select(
         *named, *[k for k in key if k not in named], F.col("timestamp_utc").alias("attempted_at_utc")
     )
 
 
+EVENT_COLUMNS = (
+    "collection_id",
+    "bin_id",
+    "zone_id",
+    "service_date_local",
+    "attempted_at_utc",
+    "collection_status",
+    "collected_kg",
+    "residual_kg",
+    "data_origin",
+)
+
+
 def collection_events(interim: DataFrame, truth: DataFrame, key: tuple[str, ...] = ("reading_id",)) -> DataFrame:
     """One row per service attempt; the status filter runs below the join."""
-    attempts = _attempts(interim, key, ())
-    mass = truth.select(
-        *key,
-        (F.col("removed_l_true") * KG_PER_LITRE).alias("collected_kg"),
-        (F.col("inventory_l_true") * KG_PER_LITRE).alias("residual_kg"),
-    )
-    return fact_pair(attempts, mass, key).select(
-        F.col("reading_id").alias("collection_id"),
-        "bin_id",
-        "zone_id",
-        F.col("service_date_local").cast("date").alias("service_date_local"),
-        "attempted_at_utc",
-        "collection_status",
-        "collected_kg",
-        "residual_kg",
-        synthetic(),
-    )
+    return collection_diagnostics(interim, truth, (), key).select(*EVENT_COLUMNS)
 
 
 def collection_diagnostics(
-    interim: DataFrame, truth: DataFrame, extra: tuple[str, ...] = (), key: tuple[str, ...] = ("reading_id",)
+    interim: DataFrame,
+    truth: DataFrame,
+    extra: tuple[str, ...] = (),
+    key: tuple[str, ...] = ("reading_id",),
 ) -> DataFrame:
     """Attempts with the latent fill before service, in one join with truth.
 
     Attempt and truth share the reading key, so the attempt mart and the
-    diagnostic columns come out of the same shuffle.
+    diagnostic columns come out of the same join.
     """
-    attempts = _attempts(interim, key, extra)
-    latent = truth.select(
-        *key,
+    attempts = _attempts(interim, key, ("zone_id", *extra))
+    latent = truth.select(*key, "removed_l_true", "inventory_l_true", "overflow_l_true", "capacity_l")
+    return attempt_rows(fact_pair(attempts, latent, key), extra)
+
+
+def attempt_rows(paired: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The diagnostic mart from attempts that stand beside their latent columns."""
+    return paired.select(
+        F.col("reading_id").alias("collection_id"),
+        "bin_id",
+        "zone_id",
+        F.col("service_date_local").cast("date").alias("service_date_local"),
+        "attempted_at_utc",
+        "collection_status",
+        *extra,
         (F.col("removed_l_true") * KG_PER_LITRE).alias("collected_kg"),
         (F.col("inventory_l_true") * KG_PER_LITRE).alias("residual_kg"),
         (
@@ -75,19 +87,6 @@ def collection_diagnostics(
             / F.col("capacity_l")
         ).alias("pre_service_fill_pct"),
         (F.col("overflow_l_true") > 0).alias("overflow_at_attempt"),
-    )
-    return fact_pair(attempts, latent, key).select(
-        F.col("reading_id").alias("collection_id"),
-        "bin_id",
-        "zone_id",
-        F.col("service_date_local").cast("date").alias("service_date_local"),
-        "attempted_at_utc",
-        "collection_status",
-        *extra,
-        "collected_kg",
-        "residual_kg",
-        "pre_service_fill_pct",
-        "overflow_at_attempt",
         synthetic(),
     )
 
@@ -119,11 +118,15 @@ def bin_daily(
         "collection_status",
     )
     latent = truth.select(*key, "arrivals_l_true", "overflow_l_true", "removed_l_true")
+    return bin_days(fact_pair(facts, latent, key), dim_bin, keep, rollup)
+
+
+def bin_days(paired: DataFrame, dim_bin: DataFrame, keep: tuple[str, ...] = ("zone_id",), rollup: bool = False) -> DataFrame:
+    """The same mart from readings that stand beside their latent columns."""
     day = F.col("service_date_local").cast("date").alias("service_date_local")
     extra = [F.sum("fill_level_pct").alias("fill_sum_pct"), count_where(F.col("overflow_l_true") > 0).alias("overflow_slots")]
     daily = (
-        fact_pair(facts, latent, key)
-        .groupBy("bin_id", day)
+        paired.groupBy("bin_id", day)
         .agg(
             F.count(F.lit(1)).alias("scheduled_readings"),
             F.count("fill_level_pct").alias("received_readings"),
