@@ -9,6 +9,7 @@ from fieldtally.catalog.registry import query
 from fieldtally.functions.expressions import ratio_of_sums
 from fieldtally.operators import aggregates as ag, sampling
 from fieldtally.operators.ordering import exact_quantiles, split_position
+from fieldtally.operators.scan import CappedSum, final_fold
 from fieldtally.plans import questions as q
 
 
@@ -329,14 +330,9 @@ def _(w):
     "state",
 )
 def _(w):
-    """Decayed, capped fold over each user's sorted values (one user's month)."""
-    series = w.table("events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return series.select(
-        "user_id",
-        ag.fold_sorted(
-            F.col("v"), F.lit(0.0), lambda acc, v: F.least(F.lit(400.0), acc * 0.95 + v)
-        ).alias("state"),
-    )
+    """Decayed, capped fold over each user's sorted values; equal values are one row."""
+    counts = w.table("events").groupBy("user_id", "value").agg(F.count(F.lit(1)).alias("times"))
+    return final_fold(counts, ["user_id"], "value", "value", "state", CappedSum(400.0, 0.95), "times")
 
 
 # sorts and top-k ----------------------------------------------------------

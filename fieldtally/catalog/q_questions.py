@@ -14,12 +14,12 @@ MONTH = ("1996-01-01", "1996-01-31")
          SELECT r.zone_id, r.service_date_local AS d, count(DISTINCT r.bin_id) AS k, sum(r.arrivals_l_true) AS litres,
                 sum(r.overflow_l_true) AS spilt
          FROM slot_city r GROUP BY r.zone_id, r.service_date_local),
-       z AS (SELECT zone_id, sum(1)::BIGINT AS n, max(k) AS bins, sum(litres) AS litres, sum(spilt) AS spilt, sum(k) AS bin_days
+       z AS (SELECT zone_id, count(*) AS n, max(k) AS bins, sum(litres) AS litres, sum(spilt) AS spilt, sum(k) AS bin_days
              FROM per_day GROUP BY zone_id),
-       q AS (SELECT *, litres / bin_days AS rate FROM z WHERE n > 299)
+       q AS (SELECT *, litres / bin_days AS rate FROM z WHERE n >= 300)
        SELECT q.zone_id, n AS observed_days, bins, 0.12 * litres AS generated_kg_simulated, rate AS litres_per_bin_day,
               spilt AS overflow_l_simulated, 1 + (SELECT count(*) FROM q o WHERE o.rate > q.rate) AS per_bin_rank
-       FROM q QUALIFY row_number() OVER (ORDER BY rate DESC, zone_id) <= 25""",
+       FROM q ORDER BY rate DESC, q.zone_id LIMIT 25""",
     "generated_kg_simulated litres_per_bin_day overflow_l_simulated",
 )
 def _(w):
@@ -32,7 +32,7 @@ def _(w):
          SELECT bin_id, service_date_local AS d, sum(arrivals_l_true) AS v, avg(fill_level_pct) AS f FROM slot GROUP BY 1, 2),
        spread AS (SELECT bin_id, list(v ORDER BY v) AS vs, avg(f) AS f FROM litres GROUP BY bin_id),
        stats AS (
-         SELECT bin_id, len(vs) AS n, list_sum(vs) AS total, f, 0.9 * (len(vs) - 1) AS place, vs FROM spread WHERE len(vs) > 299),
+         SELECT bin_id, len(vs) AS n, list_sum(vs) AS total, f, 0.9 * (len(vs) - 1) AS place, vs FROM spread WHERE len(vs) >= 300),
        one AS (
          SELECT bin_id, n, total, f,
                 vs[1 + floor(place)::INT] + (place - floor(place)) * (vs[1 + ceil(place)::INT] - vs[1 + floor(place)::INT]) AS p90
@@ -41,7 +41,7 @@ def _(w):
        SELECT bin_id, zone_id, capacity_l, n AS days, total / n AS mean_arrival_l_day, pct AS gross_capacity_pct_day,
               p90 AS p90_arrival_l_day, f AS mean_observed_fill_pct,
               1 + (SELECT count(*) FROM full_rows o WHERE round(o.pct, 9) > round(e.pct, 9)) AS fill_rate_rank
-       FROM full_rows e QUALIFY row_number() OVER (ORDER BY fill_rate_rank, bin_id) <= 25""",
+       FROM full_rows e ORDER BY fill_rate_rank, bin_id LIMIT 25""",
     "mean_arrival_l_day gross_capacity_pct_day p90_arrival_l_day mean_observed_fill_pct",
 )
 def _(w):
@@ -60,7 +60,7 @@ def _(w):
               round(wet_days * 100.0 / n, 2) AS overflow_day_pct,
               1 + (SELECT count(*) FROM r o WHERE (o.wet_days, o.spilt) > (r.wet_days, r.spilt)) AS risk_rank
        FROM r JOIN bin_dim b ON b.bin_id = r.bin_id
-       QUALIFY row_number() OVER (ORDER BY risk_rank, r.bin_id) <= 25""",
+       ORDER BY risk_rank, r.bin_id LIMIT 25""",
     "overflow_l_simulated overflow_day_pct",
 )
 def _(w):
@@ -151,7 +151,7 @@ def _(w):
              FROM d GROUP BY zone_id)
        SELECT zone_id, bins, days, good::BIGINT AS successful_collections, bad::BIGINT AS missed_attempts,
               good / (bin_days / 7.0) AS collections_per_bin_week, spilt / bin_days AS overflow_l_per_bin_day
-       FROM z WHERE days > 299 QUALIFY row_number() OVER (ORDER BY round(good * 7.0 / bin_days, 9) DESC, zone_id) <= 25""",
+       FROM z WHERE days >= 300 ORDER BY round(good * 7.0 / bin_days, 9) DESC, zone_id LIMIT 25""",
     "collections_per_bin_week overflow_l_per_bin_day",
 )
 def _(w):
@@ -183,8 +183,7 @@ TOP_ANOMALIES = """WITH d AS (
        z AS (SELECT *, (v - m) / nullif(sqrt((sq - 28 * m * m) / 27), 0) AS dev FROM h WHERE n = 28)
        SELECT zone_id, day AS service_date_local, v AS arrivals_l_simulated, m AS prior_28day_mean_l, dev AS prior_window_z,
               'investigate' AS review_flag
-       FROM z WHERE dev >= 3 OR dev <= -3
-       QUALIFY row_number() OVER (ORDER BY greatest(dev, -dev) DESC, zone_id, day) <= {k}"""
+       FROM z WHERE abs(dev) >= 3 ORDER BY abs(dev) DESC, zone_id, day LIMIT {k}"""
 ANOMALY = TOP_ANOMALIES.format(k=50)
 
 

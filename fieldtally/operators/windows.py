@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from fieldtally.functions.expressions import col
+from fieldtally.operators.scan import DecayedMean, running_fold
 
 
 def top_ranked(df: DataFrame, order: list[Column], tie_break: list[str], k: int, name: str) -> DataFrame:
@@ -52,45 +53,5 @@ def ffill(c, w: WindowSpec) -> Column:
 
 
 def ewm(df: DataFrame, key: list[str], ts: str, c: str, name: str, span: int = 7, min_n: int = 3) -> DataFrame:
-    """Recursive exponentially weighted mean (no adjustment), gaps decay by position.
-
-    One date-ordered array per key (the key's calendar) is folded once; the fold
-    carries the weighted mean, the number of values seen, and the weight left to
-    the past, and emits one state per position.
-    """
-    alpha = 2.0 / (span + 1.0)
-    state = "struct<w:double,n:int,d:double,out:array<struct<w:double,n:int>>>"
-    series = df.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(c).cast("double").alias("x")))).alias("s")
-    )
-    start = F.struct(
-        F.lit(None).cast("double").alias("w"),
-        F.lit(0).alias("n"),
-        F.lit(1.0).alias("d"),
-        F.array().cast("array<struct<w:double,n:int>>").alias("out"),
-    ).cast(state)
-
-    def fold(acc, row):
-        x = row["x"]
-        aged = acc["d"] * (1.0 - alpha)
-        mean = (
-            F.when(x.isNull(), acc["w"])
-            .when(acc["w"].isNull(), x)
-            .otherwise((acc["w"] * aged + x * alpha) / (aged + alpha))
-        )
-        decay = F.when(x.isNotNull(), F.lit(1.0)).when(acc["w"].isNull(), acc["d"]).otherwise(aged)
-        seen = acc["n"] + F.when(x.isNotNull(), 1).otherwise(0)
-        return F.struct(
-            mean.alias("w"),
-            seen.alias("n"),
-            decay.alias("d"),
-            F.concat(acc["out"], F.array(F.struct(mean.alias("w"), seen.alias("n")))).alias("out"),
-        ).cast(state)
-
-    folded = series.select(*key, "s", F.aggregate("s", start, fold)["out"].alias("o"))
-    flat = folded.select(*key, F.explode(F.arrays_zip("s", "o")).alias("z")).select(
-        *key,
-        F.col("z.s.t").alias(ts),
-        F.when(F.col("z.o.n") >= min_n, F.col("z.o.w")).alias(name),
-    )
-    return df.join(flat, [*key, ts])
+    """``df`` with the recursive exponentially weighted mean (no adjustment), gaps decay by position."""
+    return running_fold(df, key, ts, c, name, DecayedMean(span, min_n))

@@ -72,6 +72,8 @@ def feature_frame(obs: DataFrame, dim_bin: DataFrame, cal: Calendar) -> DataFram
         F.max(F.when((hour == 6) & ok, F.col("fill_level_pct"))).alias("fill06"),
         F.max(F.when(early & succeeded(), F.col("timestamp_utc"))).alias("__service"),
     )
+    # bin-days are stored once: the fold, its key counts and the windows all read them
+    day = ewm(cut_lineage(day), ["bin_id"], "issue_date", "fill04", "ewm7_04")
     w = Window.partitionBy("bin_id").orderBy("issue_date")
     local_midnight = F.col("issue_date").cast("timestamp_ntz") - F.expr("INTERVAL '05:30' HOUR TO MINUTE")
     shifted = day.withColumns(
@@ -87,11 +89,8 @@ def feature_frame(obs: DataFrame, dim_bin: DataFrame, cal: Calendar) -> DataFram
             "last_service_utc": ffill("__service", w),
         }
     ).withColumn("history_growth_pct", rolling_mean("__overnight", 7, 3, w))
-    smooth = ewm(day.select("bin_id", "issue_date", "fill04"), ["bin_id"], "issue_date", "fill04", "ewm7_04").select(
-        "bin_id", "issue_date", "ewm7_04"
-    )
     full = (
-        shifted.join(smooth, ["bin_id", "issue_date"])
+        shifted
         .where(F.col("issue_date") >= F.lit(cal.first_issue).cast("date"))
         .join(dim_bin.select("bin_id", "zone_id", "city_id", "bin_key", "zone_key", "capacity_l"), "bin_id")
     )
