@@ -126,8 +126,12 @@ def pilot_stops(w):
 
 @query("N6")
 def _(w):
+    """Distance, time, last step and node list between all pilot stops."""
     edges, stops = pilot_stops(w)
-    return graph.shortest_paths(edges, stops, stops)
+    state = cut_lineage(graph.shortest_paths(edges, stops))
+    paths = graph.tree_paths(graph.jump_tables(state, edges), stops)
+    cells = state.join(stops, "node", "left_semi")
+    return cells.join(paths.withColumnRenamed("target", "node"), ["source", "node"])
 
 
 @query(
@@ -136,8 +140,8 @@ def _(w):
 )
 def _(w):
     edges, stops = pilot_stops(w)
-    state = graph.shortest_paths(edges, stops)
-    return graph.audit_paths(graph.walk_paths(state, stops), edges, state)
+    state = cut_lineage(graph.shortest_paths(edges, stops))
+    return graph.audit_tree(graph.jump_tables(state, edges), state, stops)
 
 
 @query("N8")

@@ -323,3 +323,81 @@ def unreachable(pairs: DataFrame, state: DataFrame) -> DataFrame:
     """Expected (source, target) pairs without a distance."""
     have = state.select("source", F.col("node").alias("target"))
     return pairs.join(have, ["source", "target"], "left_anti")
+
+
+# predecessor trees by pointer doubling ---------------------------------------
+
+
+def jump_tables(state: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """Ancestors of every (source, node) at 1, 2, 4, ... steps, up to the root of each tree.
+
+    A row has ``up`` (the ancestor), ``hops`` (steps that exist; a root stays where it is), ``known`` (steps
+    that are edges) and the summed ``length_m`` and ``travel_seconds`` of these steps.  Each round joins a
+    table with itself, so the rounds grow with the logarithm of the longest path.
+    """
+    hop = edges.groupBy(F.col("u").alias("pred"), F.col("v").alias("node")).agg(
+        F.min(F.struct("length_m", "travel_seconds")).alias("e")
+    )
+    first = state.select("source", "node", "pred").join(hop, ["pred", "node"], "left")
+    moves = F.col("pred").isNotNull()
+    zero = F.lit(0.0)
+    levels = [
+        cut_lineage(
+            first.select(
+                "source",
+                "node",
+                F.coalesce("pred", "node").alias("up"),
+                moves.cast("bigint").alias("hops"),
+                (moves & F.col("e").isNotNull()).cast("bigint").alias("known"),
+                F.coalesce("e.length_m", zero).alias("length_m"),
+                F.coalesce("e.travel_seconds", zero).alias("travel_seconds"),
+            )
+        )
+    ]
+    sums = ("hops", "known", "length_m", "travel_seconds")
+    largest = state.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    while True:
+        near = levels[-1]
+        far = near.select("source", F.col("node").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in sums])
+        doubled = near.join(far, ["source", "up"]).select(
+            "source", "node", F.col("__up").alias("up"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums], (F.col("__hops") > 0).alias("__moved")
+        )
+        doubled = cut_lineage(doubled)
+        if doubled.where("__moved").isEmpty():
+            return levels
+        if 2 ** (len(levels) - 1) > largest:
+            raise ValueError("the predecessors of a source form a cycle")
+        levels.append(doubled.drop("__moved"))
+
+
+def tree_paths(levels: list[DataFrame], targets: DataFrame) -> DataFrame:
+    """``source, target, hops, path``: the nodes from each source to each target it reaches.
+
+    Every place of every path is looked up at once: the node so many steps above the target is found
+    along the binary digits of that number, one join a digit.
+    """
+    ends = levels[-1].join(targets.select("node").distinct(), "node", "left_semi")
+    places = ends.select("source", F.col("node").alias("target"), "hops", F.explode(F.sequence(F.lit(0).cast("bigint"), "hops")).alias("back"))
+    places = places.withColumn("node", F.col("target"))
+    for k, level in enumerate(levels):
+        jump = level.select("source", "node", F.col("up").alias("__up"))
+        here = F.shiftright("back", k).bitwiseAND(F.lit(1)) == 1
+        places = places.where(~here).unionByName(
+            places.where(here).join(jump, ["source", "node"]).select("source", "target", "hops", "back", F.col("__up").alias("node"))
+        )
+        places = cut_lineage(places)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node")))
+    return places.groupBy("source", "target", "hops").agg(F.transform(ordered, lambda p: p["node"]).alias("path"))
+
+
+def audit_tree(levels: list[DataFrame], state: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets whose way up does not end at the source, uses unknown edges or differs from its cell."""
+    ways = levels[-1].join(targets.select("node").distinct(), "node", "left_semi")
+    cells = state.select("source", "node", "distance_m", "travel_s")
+    return ways.join(cells, ["source", "node"]).agg(
+        F.count(F.lit(1)).alias("paths"),
+        F.count_if(F.col("up") != F.col("source")).alias("wrong_ends"),
+        F.count_if(F.col("hops") != F.col("known")).alias("unknown_edges"),
+        F.count_if(F.abs(F.col("length_m") - F.col("distance_m")) > 1e-6).alias("distance_gaps"),
+        F.count_if(F.abs(F.col("travel_seconds") - F.col("travel_s")) > 1e-6).alias("time_gaps"),
+    )
