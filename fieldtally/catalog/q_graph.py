@@ -128,7 +128,7 @@ def pilot_stops(w):
 def _(w):
     """Distance, time, last step and node list between all pilot stops."""
     edges, stops = pilot_stops(w)
-    state = cut_lineage(graph.shortest_paths(edges, stops))
+    state = cut_lineage(graph.shortest_paths(edges, stops, stops, ways=True))
     paths = graph.tree_paths(graph.jump_tables(state, edges), stops)
     cells = state.join(stops, "node", "left_semi")
     return cells.join(paths.withColumnRenamed("target", "node"), ["source", "node"])
@@ -140,7 +140,7 @@ def _(w):
 )
 def _(w):
     edges, stops = pilot_stops(w)
-    state = cut_lineage(graph.shortest_paths(edges, stops))
+    state = cut_lineage(graph.shortest_paths(edges, stops, stops, ways=True))
     return graph.audit_tree(graph.jump_tables(state, edges), state, stops)
 
 

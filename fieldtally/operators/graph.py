@@ -226,53 +226,85 @@ def largest_scc(edges: DataFrame) -> DataFrame:
 # shortest paths -----------------------------------------------------------
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_rounds: int = 100000) -> DataFrame:
+MERGE_ROUNDS = 8
+
+
+def _best_labels(parts: list[DataFrame]) -> DataFrame:
+    """The label of smallest (distance, predecessor) of each (source, node)."""
+    labels = parts[0]
+    for more in parts[1:]:
+        labels = labels.unionByName(more)
+    best = labels.groupBy("source", "node").agg(F.min(F.struct("distance_m", "pred", "travel_s")).alias("b"))
+    return best.select("source", "node", "b.distance_m", "b.travel_s", "b.pred")
+
+
+def _settled(best: DataFrame, targets: DataFrame, n_targets: int) -> DataFrame:
+    """Sources that have reached all targets, and the distance beyond which nothing can change for them."""
+    reached = best.join(targets, "node", "left_semi").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.max("distance_m").alias("bound")
+    )
+    return reached.where(F.col("n") == n_targets).select("source", "bound")
+
+
+def shortest_paths(
+    edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_rounds: int = 100000, ways: bool = False
+) -> DataFrame:
     """Distances, predecessor and travel time from every source (column ``node``) to the nodes it reaches.
 
     Frontier relaxation: improved nodes are joined with the edges, the best
     offer per (source, node) is kept, and only improvements travel on.  Of equal
     distances the smaller predecessor wins, so times are reproducible.
+
+    A round writes its improvements only; labels are the best of all that were written, merged into
+    one table every ``MERGE_ROUNDS`` rounds.  With ``targets``, a source that has reached them all sends
+    on only labels that are not beyond its farthest target, and ends when none is left.  Then the targets
+    are returned, and with ``ways`` all nodes up to that distance, which hold every way to them.
     """
     hop = cut_lineage(edges.select("u", "v", "length_m", "travel_seconds"))
-    columns = ["source", "node", "distance_m", "travel_s", "pred"]
-    state = cut_lineage(
-        sources.select(
-            F.col("node").alias("source"),
-            "node",
-            F.lit(0.0).alias("distance_m"),
-            F.lit(0.0).alias("travel_s"),
-            F.lit(None).cast("bigint").alias("pred"),
-            F.lit(True).alias("fresh"),
-        )
+    start = sources.select(
+        F.col("node").alias("source"),
+        "node",
+        F.lit(0.0).alias("distance_m"),
+        F.lit(0.0).alias("travel_s"),
+        F.lit(None).cast("bigint").alias("pred"),
     )
+    wanted = None if targets is None else cut_lineage(targets.select("node").distinct())
+    n_targets = 0 if wanted is None else wanted.count()
+    parts = [cut_lineage(start)]
+    front = parts[0]
     for _ in range(max_rounds):
-        front = state.where("fresh").select("source", F.col("node").alias("u"), "distance_m", "travel_s")
         offer = F.struct(
             (F.col("distance_m") + F.col("length_m")).alias("d"),
-            F.col("u").alias("p"),
+            F.col("node").alias("p"),
             (F.col("travel_s") + F.col("travel_seconds")).alias("t"),
         )
-        offers = front.join(hop, "u").groupBy("source", F.col("v").alias("node")).agg(F.min(offer).alias("o"))
+        offers = front.join(hop, front["node"] == hop["u"]).groupBy("source", F.col("v").alias("node")).agg(F.min(offer).alias("o"))
+        best = _best_labels(parts)
         d, p = F.col("distance_m"), F.col("pred")
-        closer = F.col("o").isNotNull() & (
-            d.isNull()
-            | (F.col("o.d") < d)
-            | ((F.col("o.d") == d) & F.coalesce(F.col("o.p") < p, F.lit(False)))
-        )
-        take = lambda field, old: F.when(closer, F.col(f"o.{field}")).otherwise(F.col(old)).alias(old)
-        state = cut_lineage(
-            state.drop("fresh")
-            .join(offers, ["source", "node"], "full_outer")
-            .select("source", "node", take("d", "distance_m"), take("t", "travel_s"), take("p", "pred"), closer.alias("fresh"))
+        closer = d.isNull() | (F.col("o.d") < d) | ((F.col("o.d") == d) & F.coalesce(F.col("o.p") < p, F.lit(False)))
+        improved = cut_lineage(
+            offers.join(best, ["source", "node"], "left")
+            .where(closer)
+            .select("source", "node", F.col("o.d").alias("distance_m"), F.col("o.t").alias("travel_s"), F.col("o.p").alias("pred"))
         )
-        if state.where("fresh").isEmpty():
+        if improved.isEmpty():
             break
+        parts.append(improved)
+        if len(parts) > MERGE_ROUNDS:
+            parts = [cut_lineage(_best_labels(parts))]
+        front = improved
+        if wanted is not None:
+            bound = _settled(_best_labels(parts), wanted, n_targets)
+            front = improved.join(bound, "source", "left").where("bound IS NULL OR distance_m <= bound").drop("bound")
     else:
         raise RuntimeError(f"paths are not settled after {max_rounds} rounds")
-    state = state.select(*columns)
-    if targets is None:
-        return state
-    return state.join(targets.select("node"), "node", "left_semi").select(*state.columns)
+    best = _best_labels(parts)
+    if wanted is None:
+        return best
+    if ways:
+        bound = _settled(best, wanted, n_targets)
+        return best.join(bound, "source", "left").where("bound IS NULL OR distance_m <= bound").drop("bound")
+    return best.join(wanted, "node", "left_semi").select(*best.columns)
 
 
 def walk_paths(state: DataFrame, targets: DataFrame) -> DataFrame:
