@@ -30,22 +30,44 @@ def check_pk(df: DataFrame, key: list[str], name: str) -> DataFrame:
     ).select(F.lit(name).alias("table_name"), "rows", "distinct_keys", "duplicates", "repeated_keys")
 
 
+def _link_key(df: DataFrame, column: str, other: DataFrame, other_column: str) -> Column:
+    """A key as text that equals the other side's text exactly where the keys are equal."""
+    one, two = df.schema[column].dataType, other.schema[other_column].dataType
+    if one != two and isinstance(one, NumericType) and isinstance(two, NumericType):
+        return F.col(column).cast("decimal(38,6)").cast("string")
+    return F.col(column).cast("string")
+
+
 def check_links(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Orphans per (parent, key, child, key) link; child keys collapse before the anti join."""
-    rows = []
-    for parent, pk, child, fk in links:
-        keys = tables[child].where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("__k")).agg(
-            F.count(F.lit(1)).alias("__c")
-        )
-        lost = keys.join(tables[parent].select(F.col(pk).alias("__k")), "__k", "left_anti")
-        rows.append(
-            lost.agg(
-                F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("__c"), F.lit(0)).alias("orphan_rows")
-            ).select(
-                F.lit(f"{parent}.{pk}").alias("parent"), F.lit(f"{child}.{fk}").alias("child"), "orphan_keys", "orphan_rows"
-            )
-        )
-    return _stack(rows)
+    """Orphans per (parent, key, child, key) link.
+
+    Each child is read once, whatever its number of links: its keys are unpivoted to (link, key)
+    and counted before the shuffle.  The keys of all parents are one table, so one anti join, on link and
+    key, finds the orphans of all links.
+    """
+    keys, known = [], []
+    for child in dict.fromkeys(c for _, _, c, _ in links):
+        own = [
+            F.struct(F.lit(n).alias("link"), _link_key(tables[child], fk, tables[parent], pk).alias("key"))
+            for n, (parent, pk, c, fk) in enumerate(links)
+            if c == child
+        ]
+        unpivoted = tables[child].select(F.explode(F.array(*own)).alias("e")).select("e.link", "e.key")
+        keys.append(unpivoted.where(F.col("key").isNotNull()).groupBy("link", "key").agg(F.count(F.lit(1)).alias("__c")))
+    for parent in dict.fromkeys(p for p, _, _, _ in links):
+        own = [
+            F.struct(F.lit(n).alias("link"), _link_key(tables[parent], pk, tables[child], fk).alias("key"))
+            for n, (p, pk, child, fk) in enumerate(links)
+            if p == parent
+        ]
+        known.append(tables[parent].select(F.explode(F.array(*own)).alias("e")).select("e.link", "e.key"))
+    lost = _stack(keys).join(_stack(known), ["link", "key"], "left_anti")
+    found = lost.groupBy("link").agg(F.count(F.lit(1)).alias("k"), F.sum("__c").alias("r"))
+    names = [(n, f"{parent}.{pk}", f"{child}.{fk}") for n, (parent, pk, child, fk) in enumerate(links)]
+    listed = found.sparkSession.createDataFrame(names, "link int, parent string, child string")
+    return listed.join(found, "link", "left").select(
+        "parent", "child", F.coalesce("k", F.lit(0)).alias("orphan_keys"), F.coalesce("r", F.lit(0)).alias("orphan_rows")
+    )
 
 
 def check_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

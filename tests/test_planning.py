@@ -120,3 +120,22 @@ def test_overflow_comparison(spark):
     df = spark.createDataFrame(rows, "scenario string, method string, overflow_l double")
     got = {r.scenario: r.overflow_l_avoided_modelled for r in star.overflow_comparison(df, ["scenario"]).collect()}
     assert np.isclose(got["base"], 11.063418809686297) and np.isclose(got["t70"], -7.353544694432657)
+
+
+def test_links_of_all_kinds_in_one_pass(spark):
+    from fieldtally.plans import quality
+
+    tables = {
+        "a": spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string"),
+        "b": spark.createDataFrame([(1, "x", 1), (3, "z", 2), (3, None, None), (4, "y", 9)], "a_id bigint, a_name string, own int"),
+        "c": spark.createDataFrame([(None,), ("x",)], "name string"),
+    }
+    links = [("a", "id", "b", "a_id"), ("a", "name", "b", "a_name"), ("b", "own", "b", "own"), ("a", "name", "c", "name"), ("c", "name", "a", "name")]
+    got = {(r.parent, r.child): (r.orphan_keys, r.orphan_rows) for r in quality.check_links(tables, links).collect()}
+    assert got == {
+        ("a.id", "b.a_id"): (2, 3),
+        ("a.name", "b.a_name"): (1, 1),
+        ("b.own", "b.own"): (0, 0),
+        ("a.name", "c.name"): (0, 0),
+        ("c.name", "a.name"): (1, 1),
+    }
