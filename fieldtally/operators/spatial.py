@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldtally.functions.expressions import choose, col
+from fieldtally.operators.polygon_index import build_index, cell_side, containing, crossing, touches
 from fieldtally.session import cut_lineage
 from fieldtally.settings import EARTH_RADIUS_M, MAX_SNAP_M
 
@@ -321,50 +322,44 @@ def contains(edges, x, y) -> Column:
 
     def crosses(e):
         spans = (e["y1"] > y) != (e["y2"] > y)
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return F.coalesce(spans & (x < at), F.lit(False))
-
-    def touches(e):
-        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return (
-            (F.abs(turn) <= 1e-12)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
+        return F.coalesce(spans & (x < crossing(e, y)), F.lit(False))
 
     odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != crosses(e))
-    return odd | F.exists(edges, touches)
+    return odd | F.exists(edges, lambda e: touches(e, x, y))
+
+
+def _closed(rings) -> Column:
+    """Rings without missing or infinite points, ended where they began."""
+    finite = lambda v: F.abs(v) < F.lit(float("inf"))
+
+    def close(ring):
+        whole = F.filter(ring, lambda p: finite(p["lon"]) & finite(p["lat"]))
+        return F.concat(whole, F.slice(whole, 1, 1))
+
+    return F.transform(F.filter(rings, lambda r: r.isNotNull()), close)
 
 
 def assign_zone(
     points: DataFrame, polygons: DataFrame, zone: str = "zone_id", lon: str = "longitude", lat: str = "latitude",
-    cell: float = 0.02,
+    cell: float | None = None,
 ) -> DataFrame:
     """First containing polygon (smallest id) and number of containing polygons.
 
-    Polygons are listed under the grid cells of their bounds; distinct places
-    meet them by cell, and the exact test decides.
+    Distinct places meet the cells of a polygon index (``polygon_index``): inside cells
+    answer at once, edge cells by their own edges.  ``cell`` is the side of a cell; without
+    it the side follows from the polygons' bounds and edges.  Open rings count as closed, points
+    with a missing coordinate lie in no polygon, and repeated polygons count each time.
     """
-    x = lambda: F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["lon"])))
-    y = lambda: F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["lat"])))
-    step = lambda c: F.floor(c / F.lit(cell))
-    shapes = polygons.select(
-        F.col(zone).alias("__z"),
-        ring_edges("rings").alias("__e"),
-        F.sequence(step(F.array_min(x())), step(F.array_max(x()))).alias("__xs"),
-        F.sequence(step(F.array_min(y())), step(F.array_max(y()))).alias("__ys"),
-    )
-    listed = shapes.select("__z", "__e", F.explode("__xs").alias("gx"), "__ys").select(
-        "__z", "__e", "gx", F.explode("__ys").alias("gy")
-    )
-    places = _places(points, lon, lat).withColumns(
-        {"gx": step(F.col("px")), "gy": step(F.col("py"))}
+    shapes = (
+        polygons.groupBy(F.col(zone).alias("__z"), F.xxhash64("rings").alias("__h"))
+        .agg(F.any_value("rings").alias("rings"), F.count(F.lit(1)).alias("__n"))
+        .select("__z", "__h", "__n", ring_edges(_closed("rings")).alias("edges"))
     )
+    side = cell or cell_side(shapes)
     found = (
-        places.join(listed, ["gx", "gy"])
-        .where(contains("__e", "px", "py"))
+        containing(_places(points, lon, lat), build_index(shapes, ["__z", "__h", "__n"], side), side)
         .groupBy("px", "py")
-        .agg(F.min("__z").alias(f"assigned_{zone}"), F.count(F.lit(1)).alias("match_count"))
+        .agg(F.min("__z").alias(f"assigned_{zone}"), F.sum("__n").alias("match_count"))
     )
     return _back(points, found, lon, lat).withColumn("match_count", F.coalesce("match_count", F.lit(0)))
 
@@ -453,8 +448,8 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
 
 
 def nearest_polygon_m(
-    points: DataFrame, polygons: DataFrame, zone: str = "zone_id", x: str = "x", y: str = "y", cell: float = 2000.0,
-    name: str = "nearest_polygon_m",
+    points: DataFrame, polygons: DataFrame, zone: str = "zone_id", x: str = "x", y: str = "y",
+    cell: float | None = None, name: str = "nearest_polygon_m",
 ) -> DataFrame:
     """Distance to the nearest polygon (planar rings), 0 on or inside one."""
     edges = polygons.select(F.explode(ring_edges("rings")).alias("e")).select("e.*")
