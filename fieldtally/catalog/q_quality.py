@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from fieldtally.bindings import reading_id
 from fieldtally.catalog.q_sources import OBSERVED, with_parts
 from fieldtally.catalog.registry import query
-from fieldtally.operators.joins import orphans
 from fieldtally.plans import quality as ql, questions as q, star
 from fieldtally.schemas import CONTRACTS
 from fieldtally.session import cut_lineage, scratch_path
@@ -158,24 +158,40 @@ CRITICAL_SQL = """SELECT check_name, CAST(violations AS BIGINT) AS violations, v
          UNION ALL SELECT 'order_line_duplicates', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem)"""
 
 
+def known(df: DataFrame, parents: DataFrame, key: str, flag: str) -> DataFrame:
+    """Rows with a flag that their key stands among the parents' keys (null keys do not)."""
+    marked = parents.select(key).distinct().withColumn(flag, F.lit(True))
+    return df.join(marked, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def checks_of(w):
-    n = lambda cond: F.count_if(cond).alias("n")
-    rows = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
-    surplus = lambda df, keys: ql.check_pk(df, keys, "t").select(F.col("duplicates").alias("n"))
-    return {
-        "reading_id_duplicates": surplus(w.obs, ["reading_id"]),
-        "reading_orphan_bin": rows(orphans(w.obs.select("bin_id"), w.dim_bin, "bin_id")),
-        "invalid_fill": w.obs.agg(n((F.col("fill_level_pct") < 0) | (F.col("fill_level_pct") > 100))),
-        "invalid_bin_coordinates": w.dim_bin.agg(
-            n(~F.col("latitude").between(-90, 90) | ~F.col("longitude").between(-180, 180))
+    """Each table is read once for all of its checks."""
+    readings = known(w.obs, w.stored_bins, "bin_id", "has_bin")
+    bins = known(w.stored_bins, w.dim_zone, "zone_id", "has_zone")
+    return [
+        ql.check_table(
+            readings,
+            {"reading_id_duplicates": ["reading_id"], "order_line_duplicates": ["order_id", "line_id"]},
+            {
+                "reading_orphan_bin": ~F.col("has_bin"),
+                "invalid_fill": ~F.col("fill_level_pct").between(0, 100),
+            },
         ),
-        "bin_orphan_zone": rows(orphans(w.dim_bin.select("zone_id"), w.dim_zone, "zone_id")),
-        "negative_route_distance": w.route_day.agg(n(F.col("distance_km_assumed") < 0)),
-        "invalid_collection_status": w.events.agg(
-            n(~F.col("collection_status").isin("collected", "partial", "missed"))
+        ql.check_table(
+            bins,
+            {},
+            {
+                "invalid_bin_coordinates": ~F.col("latitude").between(-90, 90) | ~F.col("longitude").between(-180, 180),
+                "bin_orphan_zone": ~F.col("has_zone"),
+            },
         ),
-        "order_line_duplicates": surplus(w.table("lineitem"), ["l_orderkey", "l_linenumber"]),
-    }
+        ql.check_table(w.route_day, {}, {"negative_route_distance": F.col("distance_km_assumed") < 0}),
+        ql.check_table(
+            w.events,
+            {},
+            {"invalid_collection_status": ~F.col("collection_status").isin("collected", "partial", "missed")},
+        ),
+    ]
 
 
 @query("L5", CRITICAL_SQL)
@@ -191,9 +207,10 @@ MISMATCH_SQL = """
 @query("L5_all", CRITICAL_SQL.removesuffix(")") + MISMATCH_SQL)
 def _(w):
     """The checks of L5, and readings stored under another zone than their bin's."""
-    own = w.dim_bin.select("bin_id", F.col("zone_id").alias("__own"))
-    stray = w.obs_city.select("bin_id", "zone_id").join(own, "bin_id").agg(F.count_if(F.col("zone_id") != F.col("__own")).alias("n"))
-    return ql.critical_checks(checks_of(w) | {"reading_zone_mismatch": stray})
+    own = w.stored_bins.select("bin_id", F.col("zone_id").alias("__own"))
+    placed = w.obs_city.select("bin_id", "zone_id").join(own, "bin_id")
+    stray = ql.check_table(placed, {}, {"reading_zone_mismatch": F.col("zone_id") != F.col("__own")})
+    return ql.critical_checks([*checks_of(w), stray])
 
 
 RECONCILE_SQL = """SELECT check_name, a AS left_value, b AS right_value, abs(a - b) AS absolute_difference,
@@ -237,11 +254,12 @@ def _(w):
        UNION ALL SELECT 'fact_truth_join', count(*), count(DISTINCT reading_id) FROM slot""",
 )
 def _(w):
-    joined = w.obs.select("reading_id").join(w.truth.select("reading_id"), "reading_id")
+    """The stored pairs are the join; a reading's id names its bin and day, so all keys lie in the stored buckets."""
+    joined = w.paired.select("bin_id", "service_date_local", reading_id().alias("reading_id"))
     return (
         ql.check_pk(w.bin_day, ["bin_id", "service_date_local"], "bin_day")
         .union(ql.check_pk(w.zone_day, ["zone_id", "service_date_local"], "zone_day"))
-        .union(ql.check_pk(joined, ["reading_id"], "fact_truth_join"))
+        .union(ql.check_pk(joined, joined.columns, "fact_truth_join"))
         .select("table_name", "rows", "distinct_keys")
     )
 

@@ -30,6 +30,36 @@ def check_pk(df: DataFrame, key: list[str], name: str) -> DataFrame:
     ).select(F.lit(name).alias("table_name"), "rows", "distinct_keys", "duplicates", "repeated_keys")
 
 
+def check_table(df: DataFrame, keys: dict[str, list[str]], rules: dict[str, Column]) -> DataFrame:
+    """Surplus copies under every key and violations of every rule, from one scan and one shuffle of keys.
+
+    A row gives one (key name, key values) entry for each key; rules are counted with
+    the first key's entries before the shuffle.  A key of nulls is a value like any other, and
+    the values of a hot key are counts by then.  Without keys no row is shuffled at all.
+    Returns check_name and violations; an empty table has none.
+    """
+    counted = {f"__r{i}": bad for i, bad in enumerate(rules.values())}
+    if not keys:
+        row = df.agg(*[F.count_if(bad).alias(name) for name, bad in counted.items()])
+    else:
+        entries = F.array(*[
+            F.struct(F.lit(i).alias("k"), F.array(*[F.col(c).cast("string") for c in columns]).alias("v"))
+            for i, columns in enumerate(keys.values())
+        ])
+        marked = df.select(F.explode(entries).alias("e"), *[bad.alias(name) for name, bad in counted.items()])
+        per_value = marked.groupBy("e.k", "e.v").agg(
+            F.count(F.lit(1)).alias("c"), *[F.count_if(F.col(name) & (F.col("e.k") == 0)).alias(name) for name in counted]
+        )
+        none = F.lit(0).cast("bigint")
+        row = per_value.agg(
+            *[F.coalesce(F.sum(F.when(F.col("k") == i, F.col("c") - 1)), none).alias(f"__k{i}") for i in range(len(keys))],
+            *[F.coalesce(F.sum(name), none).alias(name) for name in counted],
+        )
+    names = [(f"__k{i}", name) for i, name in enumerate(keys)] + list(zip(counted, rules))
+    listed = F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(c).alias("violations")) for c, name in names])
+    return row.select(F.explode(listed).alias("e")).select("e.*")
+
+
 def _link_key(df: DataFrame, column: str, other: DataFrame, other_column: str) -> Column:
     """A key as text that equals the other side's text exactly where the keys are equal."""
     one, two = df.schema[column].dataType, other.schema[other_column].dataType
@@ -124,10 +154,9 @@ def numeric_fields(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def critical_checks(checks: dict[str, DataFrame]) -> DataFrame:
-    """Named one-row counts (column ``n``) as a table with an issue flag."""
-    rows = [df.select(F.lit(name).alias("check_name"), F.col("n").cast("bigint").alias("violations")) for name, df in checks.items()]
-    return _stack(rows).withColumn("is_issue", F.col("violations") > 0)
+def critical_checks(checks: list[DataFrame]) -> DataFrame:
+    """Results of ``check_table`` as one table with an issue flag."""
+    return _stack(checks).withColumn("is_issue", F.col("violations") > 0)
 
 
 def reconcile(pairs: dict[str, tuple[str, str]], row: DataFrame, tol: float = 0.01) -> DataFrame:

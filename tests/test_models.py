@@ -97,6 +97,28 @@ def test_quality_counts(spark):
     assert (prof["k"].distinct_values, round(prof["k"].null_pct, 3), prof["id"].max_value) == (1, 33.333, "2")
 
 
+def test_checks_of_a_table_come_from_one_pass(spark):
+    rows = [(1, 1, "a"), (1, 1, "b"), (1, 2, "b"), (None, 2, "b"), (None, 2, None)] + [(7, 7, "hot")] * 500
+    df = spark.createDataFrame(rows, "x int, y int, k string")
+    rules = {"small": F.col("x") < 5, "no_k": F.col("k").isNull()}
+    checks = ql.check_table(df, {"pair_copies": ["x", "y"], "k_copies": ["k"]}, rules)
+    want = {"pair_copies": 501, "k_copies": 501, "small": 3, "no_k": 1}
+    assert {r.check_name: r.violations for r in checks.collect()} == want
+    plain = ql.critical_checks([ql.check_table(df, {}, rules)])
+    assert {r.check_name: (r.violations, r.is_issue) for r in plain.collect()} == {"small": (3, True), "no_k": (1, True)}
+    none = ql.check_table(df.limit(0), {"pair_copies": ["x", "y"]}, rules)
+    assert {r.check_name: r.violations for r in none.collect()} == {"pair_copies": 0, "small": 0, "no_k": 0}
+
+
+def test_critical_checks_scan_the_readings_once(spark):
+    """Marts are stored by then; the check of zones reads the readings a second time."""
+    from __spark_entry__ import queries
+
+    for name, scans in {"L5": 1, "L5_all": 2, "L7": 0}.items():
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[0].count("lineitem.parquet") == scans, name
+
+
 def test_balance_and_step(spark):
     rows = [(1, f"2026-01-31 {h:02d}:00:00", 5.0, 10.0 + 5 * (i + 1), 0.0, 0.0) for i, h in enumerate((20, 22))]
     rows += [(1, "2026-02-01 00:00:00", 5.0, 25.0, 0.0, 0.0), (1, "2026-02-01 04:00:00", 5.0, 24.0, 0.0, 5.0)]
