@@ -10,6 +10,7 @@ from fieldtally.catalog.registry import query
 from fieldtally.plans import questions as q
 from fieldtally.session import cut_lineage, scratch_path
 from fieldtally.sources import files, sinks
+from fieldtally.sources.commits import TargetGroup
 
 STORED = (
     "reading_id string, bin_id bigint, timestamp_utc timestamp_ntz, service_date_local date, "
@@ -83,12 +84,13 @@ def _(w):
         GROUP BY ALL""",
 )
 def _(w):
-    base = scratch_path(w.spark, "layers")
+    """The three layers are committed as one batch; a reader never finds one without the others."""
     layers = {"interim": STORED_NAMES, "observed": OBSERVED, "truth": TRUTH}
-    sinks.write_split(with_parts(w.interim), {f"{base}/{k}": v for k, v in layers.items()}, ["year", "month"])
+    group = TargetGroup(w.spark, scratch_path(w.spark, "layers"), layers, ["year", "month"])
+    group.write("load", with_parts(w.interim), replace=True)
     out = None
     for name in layers:
-        df = files.read_partitioned(w.spark, f"{base}/{name}")
+        df = group.read(name)
         counted = df.groupBy(F.col("year").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
         counted = counted.select(F.lit(name).alias("layer"), "year", "rows", F.lit(len(df.columns) - 2).alias("columns"))
         out = counted if out is None else out.union(counted)
@@ -101,13 +103,14 @@ def _(w):
         FROM (SELECT *, {PART_SQL} FROM slot_city) GROUP BY ALL""",
 )
 def _(w):
-    target = scratch_path(w.spark, "city-readings")
-    parts = ["city_id", "year", "month"]
-    rows = with_parts(w.obs_city).select("reading_id", "bin_key", "fill_level_pct", *parts)
-    sinks.append_missing_partitions(rows.where(F.col("year") <= 1997), target, parts)
-    sinks.append_missing_partitions(rows, target, parts)
+    """Loaded in two batches: the second brings only partitions that the first did not."""
+    parts, columns = ["city_id", "year", "month"], ["reading_id", "bin_key", "fill_level_pct"]
+    rows = with_parts(w.obs_city).select(*columns, *parts)
+    group = TargetGroup(w.spark, scratch_path(w.spark, "city-readings"), {"readings": columns}, parts)
+    group.write_missing("to 1997", rows.where(F.col("year") <= 1997))
+    group.write_missing("all", rows)
     return (
-        files.read_partitioned(w.spark, target)
+        group.read("readings")
         .groupBy("city_id", F.col("year").cast("bigint").alias("year"), "month")
         .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("bin_key").alias("bins"))
     )
