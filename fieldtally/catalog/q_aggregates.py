@@ -8,7 +8,7 @@ from fieldtally.catalog.q_questions import BIN_SUMMARY, CITY_FRAME
 from fieldtally.catalog.registry import query
 from fieldtally.functions.expressions import ratio_of_sums
 from fieldtally.operators import aggregates as ag, sampling
-from fieldtally.operators.ordering import exact_quantiles, split_position
+from fieldtally.operators.ordering import exact_quantiles, total_position
 from fieldtally.operators.scan import CappedSum, final_fold
 from fieldtally.plans import questions as q
 
@@ -345,11 +345,9 @@ def _(w):
     "arrivals_l_simulated",
 )
 def _(w):
-    """The whole order: places inside bands of litres and bins, plus what earlier bands hold."""
+    """The whole order, in ranges of litres, bins and days taken together."""
     order = [F.desc("arrivals_l_simulated"), F.col("bin_id"), F.col("service_date_local")]
-    rows = w.bin_day.select("bin_id", "service_date_local", "arrivals_l_simulated").withColumn("__all", F.lit(0))
-    band = -F.floor(F.col("arrivals_l_simulated"))
-    return split_position(rows, ["__all"], [band], order, "place").withColumn("place", F.col("place").cast("bigint")).drop("__all")
+    return total_position(w.bin_day.select("bin_id", "service_date_local", "arrivals_l_simulated"), order, "place")
 
 
 @query(

@@ -36,6 +36,40 @@ def part_of(value: str, edges: str) -> Column:
     return F.size(F.filter(edges, lambda e: e < v)).cast("bigint")
 
 
+def in_ranges(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
+    """Rows with the number of their range (``__part``) and their place in it (``__at``, from 0).
+
+    Ranges are cut by Spark's sample of the order columns taken together, so many equal values
+    of the first column spread over ranges as far as the later ones tell them apart.  A range is sorted
+    where it lies, and its rows are numbered as they come.  The result is stored, since another
+    run would sample other ranges.
+    """
+    per_range = F.lit((1 << 33) - 1)  # lower bits of an increasing id: the row's number within its partition
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    numbered = ranged.withColumns(
+        {"__part": F.shiftright("__id", 33).cast("int"), "__at": F.col("__id").bitwiseAND(per_range)}
+    )
+    return cut_lineage(numbered.drop("__id"))
+
+
+def total_position(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """Place of every row in the order of the whole table, from 1.
+
+    ``order`` has to name a row: rows equal in all of it stay in one range, in no fixed order.
+    One shuffle by ranges; what earlier ranges hold is a table of one row a range.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_ranges(df, order, parts)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    before = (
+        rows.groupBy("__part")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    )
+    placed = rows.join(F.broadcast(before), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],

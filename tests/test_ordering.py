@@ -88,3 +88,28 @@ def test_null_keys_match(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
     b = spark.createDataFrame([(None, 10), ("x", 20)], "k string, b int")
     assert sorted((r.a, r.b) for r in o.match_keys(a, b, ["k"]).collect()) == [(1, 10), (2, 20)]
+
+
+def test_total_position_with_mostly_equal_values(spark):
+    """Nine rows of ten share the first order column; the ranges are even all the same."""
+    n = 20_000
+    rng = np.random.default_rng(8)
+    value = np.where(rng.random(n) < 0.9, 7.0, rng.uniform(0, 14, n).round(2))
+    ids = rng.permutation(n)
+    rows = [(int(i), None if i % 97 == 0 else float(v)) for i, v in zip(ids, value)]
+    df = spark.createDataFrame(rows, "id bigint, v double").repartition(5)
+    order = [F.desc("v"), F.col("id")]
+    sizes = [r["count"] for r in o.in_ranges(df, order, 8).groupBy("__part").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 2 * n / 8
+    got = o.total_position(df, order, "place", 8)
+    assert got.columns == ["id", "v", "place"]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [r.id for r in got.orderBy("place").collect()] == [r[0] for r in want]
+    assert {r.place for r in got.select("place").collect()} == set(range(1, n + 1))
+
+
+def test_total_position_of_nothing_and_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, 2.0)] * 5, "id bigint, v double")
+    order = [F.desc("v"), F.col("id")]
+    assert sorted(r.place for r in o.total_position(df, order, "place").collect()) == [1, 2, 3, 4, 5]
+    assert o.total_position(df.limit(0), order, "place").count() == 0
