@@ -11,6 +11,7 @@ from fieldtally.plans import questions as q
 from fieldtally.session import cut_lineage, scratch_path
 from fieldtally.sources import files, sinks
 from fieldtally.sources.commits import TargetGroup
+from fieldtally.sources.tables import TableRegistry
 
 STORED = (
     "reading_id string, bin_id bigint, timestamp_utc timestamp_ntz, service_date_local date, "
@@ -280,6 +281,35 @@ def _(w):
     return audit.groupBy(zone_of().alias("zone_id"), "status").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "A11_states",
+    """SELECT city_id, status, count(*) AS zones FROM (
+         SELECT city_id, zone_id, CASE WHEN city_id = 'EUROPE' THEN 'unlisted' WHEN city_id = 'ASIA' THEN 'missing'
+                WHEN city_id = 'AMERICA' AND max(service_date_local) > DATE '1997-12-31' THEN 'changed' ELSE 'ok' END AS status
+         FROM zoneday GROUP BY city_id, zone_id) GROUP BY ALL""",
+)
+def _(w):
+    """Two deliveries of zone files: the second lacks one city, brings another anew and cuts the years of a third."""
+    daily = w.zone_day.select("city_id", "zone_id", "service_date_local", "bins", "scheduled_readings")
+    cut = (F.col("city_id") == "AMERICA") & (F.col("service_date_local") > F.lit("1997-12-31").cast("date"))
+
+    def delivered(label, rows):
+        path = scratch_path(w.spark, label)
+        ordered = rows.repartition("city_id", "zone_id").sortWithinPartitions("city_id", "zone_id", "service_date_local")
+        ordered.write.partitionBy("city_id", "zone_id").option("header", True).csv(path)
+        folder = F.regexp_extract("path", r"(city_id=[^/]+/zone_id=[^/]+)/", 1).alias("zone_folder")
+        return files.hash_files(w.spark, path, "*.csv").select(folder, "bytes", "sha256")
+
+    manifest = delivered("delivery-1", daily.where(F.col("city_id") != "EUROPE"))
+    found = delivered("delivery-2", daily.where((F.col("city_id") != "ASIA") & ~cut))
+    city = F.regexp_extract("zone_folder", r"city_id=([^/]+)/", 1)
+    return (
+        files.audit_hashes(found, manifest, "zone_folder")
+        .groupBy(F.url_decode(city).alias("city_id"), "status")
+        .agg(F.count(F.lit(1)).alias("zones"))
+    )
+
+
 @query(
     "A12",
     """SELECT zone_id, '.csv' AS kind, 'service_date_local,bins,scheduled_readings' AS header,
@@ -294,8 +324,31 @@ def _(w):
 
 @query("A13", "SELECT city_id, count(*) AS bins FROM bin_dim GROUP BY 1")
 def _(w):
-    view = sinks.register("fieldtally_dim_bin", w.dim_bin)
-    return view.groupBy("city_id").agg(F.count(F.lit(1)).alias("bins"))
+    """Asked through an alias of the stored table."""
+    registry = TableRegistry(w.spark, scratch_path(w.spark, "tables"))
+    registry.put("dim_bin", w.dim_bin)
+    registry.alias("bins", "dim_bin")
+    return registry.table("bins").groupBy("city_id").agg(F.count(F.lit(1)).alias("bins"))
+
+
+@query(
+    "A13_replace",
+    """SELECT moment, city_id, count(*) AS bins FROM bin_dim JOIN supplier ON s_suppkey = bin_id
+       JOIN (VALUES ('before', 0.0), ('during', 0.0), ('after', -1e9)) v(moment, least) ON s_acctbal >= least GROUP BY ALL""",
+)
+def _(w):
+    """One question before, while and after a table is replaced: first the bins of at least average demand, then all."""
+    registry = TableRegistry(w.spark, scratch_path(w.spark, "tables"))
+    registry.put("dim_bin", w.dim_bin.where(F.col("demand_factor") >= 1))
+    registry.alias("bins", "dim_bin")
+    ask = lambda moment: (
+        registry.table("bins").groupBy(F.lit(moment).alias("moment"), "city_id").agg(F.count(F.lit(1)).alias("bins"))
+    )
+    before = ask("before")
+    staged = registry.stage("dim_bin", w.dim_bin)
+    during = ask("during")
+    staged.publish()
+    return before.union(during).union(ask("after"))
 
 
 @query(

@@ -27,23 +27,47 @@ LOG = (
 STAGE = "__stage"  # partition column that names a batch's folder; readers drop it
 
 
-class TargetGroup:
-    """``targets`` (name -> columns) under one root, all partitioned by ``parts``."""
+class CommitLog:
+    """Numbered JSON entries in one folder, each renamed into place when it is complete."""
 
-    def __init__(self, spark: SparkSession, root: str, targets: dict[str, list[str]], parts: list[str]):
-        self.spark, self.root, self.targets, self.parts = spark, root, targets, parts
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
         self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
         return self._hadoop.Path(name)
 
+    def entries(self) -> list:
+        """Oldest first; one row an entry."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        return self.spark.read.schema(self.schema).json(self.folder).orderBy("seq").collect()
+
+    def matching(self, pattern: str) -> list[str]:
+        return [status.getPath().toString() for status in self._fs.globStatus(self._path(pattern)) or []]
+
+    def publish(self, seq: int, entry: dict) -> None:
+        name = f"{seq:012d}"
+        final = self._path(f"{self.folder}/{name}.json")
+        draft = self._path(f"{self.folder}/.{name}-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps({**entry, "seq": seq}), "utf-8"))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"another writer committed {name} first; write again")
+
+
+class TargetGroup:
+    """``targets`` (name -> columns) under one root, all partitioned by ``parts``."""
+
+    def __init__(self, spark: SparkSession, root: str, targets: dict[str, list[str]], parts: list[str]):
+        self.spark, self.root, self.targets, self.parts = spark, root, targets, parts
+        self._log = CommitLog(spark, f"{root}/commits", LOG)
+
     def log(self) -> list:
         """Committed batches, oldest first."""
-        folder = f"{self.root}/commits"
-        if not self._fs.exists(self._path(folder)):
-            return []
-        return self.spark.read.schema(LOG).json(folder).orderBy("seq").collect()  # one row a batch
+        return self._log.entries()
 
     def write(self, batch: str, df: DataFrame, replace: bool = False) -> bool:
         """Commit the rows of ``df`` to all targets; False if the batch is committed already.
@@ -61,13 +85,11 @@ class TargetGroup:
             rows = source.select(*columns, *self.parts)
             _partitioned(rows, self.parts).parquet(folder)
             schemas[target] = rows.schema.json()
-            found = self._fs.globStatus(self._path(folder + "/*=*" * len(self.parts))) or []
-            names = [status.getPath().toString().split(f"{STAGE}={stage}/", 1)[1] for status in found]
+            names = [p.split(f"{STAGE}={stage}/", 1)[1] for p in self._log.matching(folder + "/*=*" * len(self.parts))]
             written += [{"target": target, "folder": f"{STAGE}={stage}", "part": name} for name in names]
             if first is None and names:
                 first = self.spark.read.schema(rows.schema).parquet(folder)
-        entry = {"batch": batch, "seq": len(log), "replaces": replace, "schemas": schemas, "parts": written}
-        self._publish(f"{len(log):012d}", json.dumps(entry))
+        self._log.publish(len(log), {"batch": batch, "replaces": replace, "schemas": schemas, "parts": written})
         return True
 
     def write_missing(self, batch: str, df: DataFrame) -> bool:
@@ -78,15 +100,6 @@ class TargetGroup:
             df = df.join(present.distinct(), same, "left_anti")
         return self.write(batch, df)
 
-    def _publish(self, name: str, text: str) -> None:
-        final = self._path(f"{self.root}/commits/{name}.json")
-        draft = self._path(f"{self.root}/commits/.{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(text, "utf-8"))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"another writer committed {name} first; write the batch again")
-
     def live(self, target: str, log: list | None = None) -> list[str]:
         """Folders of the partitions that the log names, without replaced ones."""
         held: dict[str, list[str]] = {}

@@ -161,14 +161,14 @@ def hash_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def audit_hashes(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Status of every file named on either side."""
+def audit_hashes(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """Status of every file named on either side; ``key`` is what names a file on both."""
     a, b = files.alias("a"), manifest.alias("b")
     same = (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.sha256") == F.col("b.sha256"))
-    return a.join(b, F.col("a.path") == F.col("b.path"), "full_outer").select(
-        F.coalesce("a.path", "b.path").alias("path"),
-        F.when(F.col("a.path").isNull(), "missing")
-        .when(F.col("b.path").isNull(), "unlisted")
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(
+        F.coalesce(f"a.{key}", f"b.{key}").alias(key),
+        F.when(F.col(f"a.{key}").isNull(), "missing")
+        .when(F.col(f"b.{key}").isNull(), "unlisted")
         .when(same, "ok")
         .otherwise("changed")
         .alias("status"),

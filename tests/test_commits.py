@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.plans.quality import assert_pruned
-from fieldtally.sources.commits import TargetGroup
+from fieldtally.sources.commits import CommitLog, TargetGroup
 from fieldtally.streaming.ingest import ingest_committed
 
 PARTS = ["year", "month"]
@@ -35,7 +35,7 @@ def test_failure_between_two_targets_shows_in_neither(spark, group):
 def test_failure_before_the_manifest_shows_in_neither(spark, group, monkeypatch):
     group.write("a", frame(spark, [(1, 1.0, 1.0, 2026, "01")]))
     with monkeypatch.context() as m:
-        m.setattr(TargetGroup, "_publish", lambda *_: (_ for _ in ()).throw(OSError("down")))
+        m.setattr(CommitLog, "publish", lambda *_: (_ for _ in ()).throw(OSError("down")))
         with pytest.raises(OSError):
             group.write("b", frame(spark, [(2, 2.0, 2.0, 2026, "01")]), replace=True)
     assert ids(group.read("observed")) == ids(group.read("truth")) == [1]
@@ -70,19 +70,19 @@ def test_replayed_stream_batch_enters_once(spark, tmp_path):
     group = TargetGroup(spark, str(tmp_path / "g"), {"a": ["id"], "b": ["id", "service_date_local"]}, PARTS)
     schema = "id bigint, service_date_local date"
     (inbox / "01.csv").write_text("id,service_date_local\n1,2026-01-05\n")
-    publish = TargetGroup._publish
+    publish = CommitLog.publish
 
     def publish_then_die(*args):
         publish(*args)
         raise OSError("driver lost after the commit")
 
     run = lambda: ingest_committed(spark, str(inbox), schema, group, "drops", seen).awaitTermination()
-    TargetGroup._publish = publish_then_die
+    CommitLog.publish = publish_then_die
     try:
         with pytest.raises(Exception):
             run()
     finally:
-        TargetGroup._publish = publish
+        CommitLog.publish = publish
     run()  # the batch is replayed
     (inbox / "02.csv").write_text("id,service_date_local\n2,2026-02-05\n")
     run()
