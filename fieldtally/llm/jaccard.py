@@ -47,7 +47,6 @@ SKETCH_BITS = 24  # cells of the count sketch: a bounded 16 MB, one byte each
 SKETCH_PARTS = 256  # of 2 ** 16 cells each, so a cell inside a part takes two bytes
 COMPARE_COST = 20.0  # comparing two sets, in keys written
 MAX_SUBSET_SIZE = 64  # sizes tried as boundary
-LAST = 1 << 62
 LONG_LIST = 8  # members beyond which a list's shingle goes to the end of the order
 LONG_BITS = 26  # bits of the filter that remembers such shingles: 8 MB
 REFINEMENTS = 1
@@ -235,7 +234,7 @@ def candidate_keys(
             keys, _, _ = _keys(values, first, _fresh(node, first, seen), shared.value, small, percent)
             yield cell_rows(keys, bits)
 
-    again = context.broadcast(gather(map_arrow(texts, cells, CELLS), bits, LAST))  # bounded as well
+    again = context.broadcast(gather(map_arrow(texts, cells, CELLS), bits))  # bounded as well
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -64,18 +64,26 @@ class Sketch:
         return bit(self.hot, one) & bit(self.hot, two)
 
 
-def gather(rows: DataFrame, bits: int, hot: int) -> Sketch:
-    """Sums the rows of ``cell_rows`` from all tasks."""
+def _some(flags: np.ndarray) -> bytes:
+    """The flags as bits; nothing where none is set."""
+    return np.packbits(flags).tobytes() if flags.any() else b""
+
+
+def gather(rows: DataFrame, bits: int, hot: int | None = None) -> Sketch:
+    """Sums the rows of ``cell_rows`` from all tasks; the second bitmap is made and sent only for a limit."""
     per_part = (1 << bits) // CELL_PARTS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, count in count_by_part(batches, per_part, "<u4"):
-            maps = [np.packbits(count >= 2).tobytes(), np.packbits(count > hot).tobytes()]
+            maps = [np.packbits(count >= 2).tobytes(), b"" if hot is None else _some(count > hot)]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], ["part", "twice", "hot"])
 
-    twice, often = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
+    twice, often = np.zeros((1 << bits) // 8, np.uint8), np.empty(0, np.uint8)
     sent = rows.repartition("part").sortWithinPartitions("part")
     for row in bounded_rows(map_arrow(sent, add, "part int, twice binary, hot binary")):
         at = slice(row["part"] * per_part // 8, (row["part"] + 1) * per_part // 8)
-        twice[at], often[at] = np.frombuffer(row["twice"], np.uint8), np.frombuffer(row["hot"], np.uint8)
-    return Sketch(twice, often if often.any() else np.empty(0, np.uint8), bits)  # nothing is hot: nothing to send
+        twice[at] = np.frombuffer(row["twice"], np.uint8)
+        if row["hot"]:
+            often = often if len(often) else np.zeros((1 << bits) // 8, np.uint8)
+            often[at] = np.frombuffer(row["hot"], np.uint8)
+    return Sketch(twice, often, bits)  # nothing is hot: nothing to send
