@@ -12,8 +12,8 @@ again need sorting, and only among the occurrences of one anchor.
    the ranks from there on, and the few bytes after the last.  Equal neighbours are equal
    windows; all but the first in corpus order are repeats.  Memory holds one block of contexts,
    its ranks and one bucket.
-4. An anchor with very many occurrences would make one block; its windows go through a
-   distributed minimum per window content instead, which combines within tasks.
+4. An anchor with very many occurrences would make one block; its windows are compared within
+   their slice first, and only a slice's first of equal windows meets those of other slices.
 
 Texts equal as a whole are settled by their hash: all but the first document lose every byte.
 
@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.sketch import CELLS, Sketch, bit, bits_for, cell_rows, gather
@@ -46,6 +46,7 @@ SPAN = WIDTH - GRAM  # windows start up to so many bytes before their anchor
 ROOM = 2 * SPAN + GRAM  # columns of a context
 MODULUS = 16
 HOT = 20_000  # occurrences of an anchor beyond which its windows are compared one by one
+SALTS = 64  # shares of one window's occurrences among very many
 BLOCK_ROWS = 20_000
 FILTER_BITS = 26
 LAST = (1 << 63) - 1
@@ -304,28 +305,70 @@ def anchor_spans(found: DataFrame) -> DataFrame:
     return map_arrow(found.repartition("anchor").sortWithinPartitions("anchor"), step, _SPAN_SCHEMA)
 
 
+def _settled(part: np.ndarray, starts: np.ndarray, rows: np.ndarray, order: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Flags of windows that equal an earlier one of the same slice, byte by byte."""
+    value = Hasher(part).ranges(starts, starts + WIDTH)
+    by = np.lexsort((starts, ties[rows], order[rows], value))
+    near = np.flatnonzero(value[by[1:]] == value[by[:-1]])
+    again = np.zeros(len(starts), bool)
+    for k in range(0, len(near), 50_000):
+        x, y = by[near[k : k + 50_000]], by[near[k : k + 50_000] + 1]
+        wide = np.arange(WIDTH)
+        again[y] = np.all(part[starts[x][:, None] + wide] == part[starts[y][:, None] + wide], axis=1)
+    return again
+
+
 def hot_spans(sources: Sources, sketch: Sketch) -> DataFrame:
-    """Repeats among windows of anchors with very many occurrences, by the first of equal windows."""
+    """Repeats among windows of anchors with very many occurrences, by the first of equal windows.
+
+    A task emits the windows that repeat an earlier one of their slice as spans at once; only a
+    slice's first of equal windows goes on, under 128 bits of hash.  Those meet in ``SALTS``
+    shares of a window first, whose firsts meet once more, so no window's rows are one task's.
+    """
     shared = sources[0][0].sparkSession.sparkContext.broadcast(sketch)
 
     def step(parts: Iterator) -> Iterator[pa.RecordBatch]:
         for part, offsets, order, ties in parts:
             first, last, _, value = anchors(part, offsets)
             use = np.flatnonzero(shared.value.again(value) & shared.value.very_often(value))
+            if not len(use):
+                continue
             count = last[use] - first[use] + 1
             start = np.repeat(first[use], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             row = np.searchsorted(offsets, start, "right") - 1
-            for k in range(0, len(start), 100_000):
-                s, r = start[k : k + 100_000], row[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [_ragged(part, s, s + WIDTH), pa.array(order[r]), pa.array(ties[r]), pa.array((s - offsets[r]).astype(np.int32))],
-                    ["window", "ord", "tie", "start"],
-                )
-
-    windows = _each(sources, step, "window binary, ord long, tie long, start int")
-    least = windows.groupBy("window").agg(F.min(F.struct("ord", "tie", "start")).alias("first"))
-    later = windows.join(least, "window").where(F.struct("ord", "tie", "start") != F.col("first"))
-    return later.select("ord", "tie", "start", (F.col("start") + WIDTH).cast("int").alias("end"))
+            again = _settled(part, start, row, order, ties)
+            if again.any():
+                moved = start[again] + row[again]  # a byte between rows, so that no run crosses them
+                begin, end = merge_spans(moved, moved + WIDTH)
+                own = np.searchsorted(offsets + np.arange(len(offsets)), begin, "right") - 1
+                shift = own + offsets[own]
+                yield _hot_rows(pa.nulls(len(own), pa.binary()), order[own], ties[own], begin - shift, end - shift)
+            start, row = start[~again], row[~again]
+            for k in range(0, len(start), 50_000):
+                s, r = start[k : k + 50_000], row[k : k + 50_000]
+                raw = [hashlib.blake2b(part[x : x + WIDTH], digest_size=16).digest() for x in s.tolist()]
+                at = s - offsets[r]
+                yield _hot_rows(pa.array(raw, pa.binary()), order[r], ties[r], at, at + WIDTH)
+
+    found = _each(sources, step, "window binary, ord long, tie long, start int, end int")
+    folder = scratch_path(found.sparkSession, "hot-windows")
+    found.write.parquet(folder)
+    found = found.sparkSession.read.schema(found.schema).parquet(folder)
+
+    def place(*keys: str) -> Column:
+        return F.rank().over(Window.partitionBy(*keys).orderBy("ord", "tie", "start"))
+
+    salt = F.pmod(F.xxhash64("ord", "tie", "start"), F.lit(SALTS)).cast("int")
+    shares = found.where("window IS NOT NULL").withColumn("salt", salt).withColumn("nth", place("window", "salt"))
+    heads = shares.where("nth = 1").withColumn("nth", place("window"))
+    columns = ["ord", "tie", "start", "end"]
+    parts = [found.where("window IS NULL"), shares.where("nth > 1"), heads.where("nth > 1")]
+    return functools.reduce(DataFrame.union, [p.select(*columns) for p in parts])
+
+
+def _hot_rows(window: pa.Array, order: np.ndarray, ties: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    columns = [window, pa.array(order), pa.array(ties), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["window", "ord", "tie", "start", "end"])
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -395,7 +438,7 @@ def _without_copies(texts: DataFrame, rows: DataFrame) -> Sources:
         for batch in batches:
             yield cell_rows(batch.column(0).to_numpy().view(np.uint64), bits)
 
-    skip = spark.sparkContext.broadcast(gather(map_arrow(rows.select("tie"), cells, CELLS), bits, LAST))
+    skip = spark.sparkContext.broadcast(gather(map_arrow(rows.select("tie"), cells, CELLS), bits))
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
