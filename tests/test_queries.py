@@ -107,6 +107,22 @@ def test_anomalies_beyond_the_fiftieth_match_sql(spark):
     assert sorted(repr([norm(v) for v in r]) for r in df.select(*columns).collect()) == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_anomalies_and_their_sql_end_at_the_same_row(spark):
+    import duckdb
+
+    from check import norm
+
+    data = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("region", "nation", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()["E8"])
+    columns = [d[0] for d in want.description]
+    want = sorted(repr([norm(v) for v in r]) for r in want.fetchall())
+    assert sorted(repr([norm(v) for v in r]) for r in entry.queries()["E8"](spark, data).select(*columns).collect()) == want
+
+
 @needs_data
 def test_filters_and_zones_are_checked_for_every_city(spark, monkeypatch):
     from pyspark.sql import functions as F
