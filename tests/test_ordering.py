@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -28,6 +30,18 @@ def test_quantiles_equal_numpy(skewed):
             assert np.isclose(got[k][name], np.quantile(g.v, p)), (k, name)
 
 
+def test_quantiles_hold_when_every_sketch_differs(spark, skewed, monkeypatch):
+    """A sketch merges its parts as they arrive, so evaluated again it gives other split points."""
+    pdf, df = skewed
+    sketch = o.split_points
+    loose = F.udf(lambda edges: sorted(e * random.uniform(0.2, 5) for e in edges), "array<double>").asNondeterministic()
+    monkeypatch.setattr(o, "split_points", lambda value, parts: loose(sketch(value, parts)))
+    probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    got = {r.k: r for r in o.exact_quantiles(df, ["k"], "v", probs, buckets=64).collect()}
+    for k, g in pdf.dropna().groupby("k"):
+        assert [got[k][name] for name in probs] == pytest.approx(list(np.quantile(g.v, list(probs.values())))), k
+
+
 def test_quantile_without_key_and_with_one_value(spark, skewed):
     pdf, df = skewed
     assert np.isclose(o.exact_quantiles(df, [], "v", {"m": 0.5}).first().m, pdf.v.median())
