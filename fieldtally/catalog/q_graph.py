@@ -8,7 +8,7 @@ from fieldtally.catalog.oracle import cte
 from fieldtally.catalog.q_aggregates import HAVERSINE_SQL
 from fieldtally.catalog.registry import query
 from fieldtally.operators import graph, spatial as sp
-from fieldtally.session import cut_lineage
+from fieldtally.session import store_rows
 from fieldtally.settings import PILOT_SIZE
 
 cte(
@@ -115,20 +115,23 @@ def _(w):
 
 
 def pilot_stops(w):
-    """The reachable pilot: the depot and the pilot stops, nodes of the largest component nearest to the centre."""
-    edges = cut_lineage(w.road_edges)
-    core = graph.largest_scc(edges)
+    """The reachable pilot: the depot and the pilot stops, nodes of the largest component nearest to the centre.
+
+    Only the component's edges are returned, as no way between two of its nodes leaves it.
+    """
+    edges = store_rows(w.road_edges.select("u", "v", "length_m", "travel_seconds"))
+    core = store_rows(graph.largest_scc(edges))
     at = w.road_nodes.select(
         F.col("node_id").alias("node"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude")
     ).join(core, "node", "left_semi")
-    return edges, cut_lineage(sp.k_nearest_to(at, 80.2707, 13.0827, 1 + PILOT_SIZE, "node").select("node"))
+    return graph.edges_within(edges, core), store_rows(sp.k_nearest_to(at, 80.2707, 13.0827, 1 + PILOT_SIZE, "node").select("node"))
 
 
 @query("N6")
 def _(w):
     """Distance, time, last step and node list between all pilot stops."""
     edges, stops = pilot_stops(w)
-    state = cut_lineage(graph.shortest_paths(edges, stops, stops, ways=True))
+    state = store_rows(graph.shortest_paths(edges, stops, stops, ways=True))
     paths = graph.tree_paths(graph.jump_tables(state, edges), stops)
     cells = state.join(stops, "node", "left_semi")
     return cells.join(paths.withColumnRenamed("target", "node"), ["source", "node"])
@@ -140,7 +143,7 @@ def _(w):
 )
 def _(w):
     edges, stops = pilot_stops(w)
-    state = cut_lineage(graph.shortest_paths(edges, stops, stops, ways=True))
+    state = store_rows(graph.shortest_paths(edges, stops, stops, ways=True))
     return graph.audit_tree(graph.jump_tables(state, edges), state, stops)
 
 
