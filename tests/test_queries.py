@@ -161,3 +161,22 @@ def test_every_table_is_profiled(spark):
             assert r.null_pct == pytest.approx(100 * (len(rows) - len(values)) / len(rows), abs=1e-5)
             if values and isinstance(values[0], str):
                 assert (r.min_value, r.max_value) == (min(values), max(values))
+
+
+def test_columns_of_a_whole_table_are_counted_once(spark, monkeypatch):
+    from fieldtally.bindings import World
+    from fieldtally.catalog import q_quality
+
+    whole = spark.createDataFrame([(1, "a"), (2, None), (2, "a")], "reading_id int, zone string")
+    tables = {"interim_readings": whole, "fact_bin_readings": whole.select("zone"), "simulation_truth": whole.select("reading_id")}
+    counted, profile = [], q_quality.ql.profile
+    monkeypatch.setattr(World, "build_marts", lambda self: self)
+    monkeypatch.setattr(q_quality, "profiled_tables", lambda w: tables)
+    monkeypatch.setattr(q_quality.ql, "profile", lambda df, name: counted.append(name) or profile(df, name))
+    got = {(r.table_name, r.field): (r.rows, r.distinct_values, r.max_value) for r in entry.queries()["L4_all"](spark, SMALL).collect()}
+    assert counted == ["interim_readings"]
+    zone, reading = (3, 1, "a"), (3, 2, "2")
+    assert got == {
+        ("interim_readings", "zone"): zone, ("interim_readings", "reading_id"): reading,
+        ("fact_bin_readings", "zone"): zone, ("simulation_truth", "reading_id"): reading,
+    }
