@@ -42,7 +42,8 @@ class CommitLog:
         """Oldest first; one row an entry."""
         if not self._fs.exists(self._path(self.folder)):
             return []
-        return self.spark.read.schema(self.schema).json(self.folder).orderBy("seq").collect()
+        found = self.spark.read.schema(self.schema).json(self.folder)
+        return list(found.coalesce(1).sortWithinPartitions("seq").toLocalIterator())
 
     def matching(self, pattern: str) -> list[str]:
         return [status.getPath().toString() for status in self._fs.globStatus(self._path(pattern)) or []]
