@@ -104,13 +104,27 @@ CHAIN_SQL = """SELECT DISTINCT u, v FROM (SELECT p_partkey AS u, p_partkey // 2
 
 @query(
     "N5",
-    f"""WITH RECURSIVE arc AS ({CHAIN_SQL}),
-        ahead(n) AS (SELECT 0::BIGINT UNION SELECT v FROM ahead JOIN arc ON u = n),
-        behind(n) AS (SELECT 0::BIGINT UNION SELECT u FROM behind JOIN arc ON v = n)
-        SELECT n AS node FROM ahead WHERE n IN (SELECT n FROM behind)""",
+    f"""WITH RECURSIVE arc AS MATERIALIZED ({CHAIN_SQL}),
+        spot AS MATERIALIZED (SELECT u AS n FROM arc UNION SELECT v FROM arc),
+        heart AS MATERIALIZED (SELECT u AS n FROM (SELECT u, count(*) AS o FROM arc GROUP BY 1) JOIN (SELECT v, count(*) AS i FROM arc GROUP BY 1) ON u = v
+           ORDER BY o * i DESC, u LIMIT 1),
+        ahead(n) AS (SELECT n FROM heart UNION SELECT v FROM ahead JOIN arc ON u = n),
+        behind(n) AS (SELECT n FROM heart UNION SELECT u FROM behind JOIN arc ON v = n),
+        core AS MATERIALIZED (SELECT n FROM ahead WHERE n IN (SELECT n FROM behind)),
+        rest AS MATERIALIZED (SELECT n FROM spot WHERE n NOT IN (SELECT n FROM core)
+           AND 2 * (SELECT count(*) FROM core) <= (SELECT count(*) FROM spot)),
+        reach(s, n) AS (SELECT n, n FROM rest UNION SELECT s, v FROM reach JOIN arc ON u = n WHERE v IN (SELECT n FROM rest)),
+        part_of AS MATERIALIZED (SELECT n, max(n) OVER () AS component FROM core
+           UNION ALL SELECT x.s, max(x.n) FROM reach x JOIN reach y ON x.s = y.n AND x.n = y.s GROUP BY 1)
+        SELECT n AS node FROM part_of WHERE component IN
+          (SELECT component FROM part_of GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""",
 )
 def _(w):
-    """Every part leads down to part 0, so the largest component is the one of part 0."""
+    """The largest component, of equal ones that whose largest node is smallest.
+
+    Its SQL takes the component of one well-linked part; all others are compared too, unless
+    that one holds more than half of the nodes.
+    """
     return graph.largest_scc(part_chain(w))
 
 
