@@ -30,14 +30,14 @@ an empty result; further columns are ignored.  Sets are compared by 64-bit shing
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.sketch import CELLS, bit, bits_for, cell_rows, gather
+from fieldtally.llm.sketch import CELLS, Filter, bits_for, cell_rows, gather, key_filter, load_parts, store_parts
 from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, bounded_rows, count_by_part, map_arrow, mix, slices, utf8
 from fieldtally.session import cut_lineage
 
@@ -101,15 +101,16 @@ def _each_slice(batches: Iterator[pa.RecordBatch], width: int, column: int = 0):
 class Order:
     """Occurrence levels of sketch cells, rare ones first; shingles known from long lists come last."""
 
-    levels: np.ndarray
+    folder: str
     bits: int
-    long_lists: np.ndarray | None = None
+    empty: int  # cells without a shingle
+    long_lists: tuple[Filter, ...] = ()
 
     def keys(self, values: np.ndarray) -> np.ndarray:
-        level = self.levels[(values >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int16)
-        if self.long_lists is not None:
-            at = (mix(values) >> np.uint64(64 - LONG_BITS)).astype(np.int64)
-            level += 64 * bit(self.long_lists, at).astype(np.int16)
+        levels = load_parts(self.folder, "levels", 1 << self.bits, SKETCH_PARTS)
+        level = levels[(values >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int16)
+        if self.long_lists:
+            level += 64 * np.any([lists.has(values) for lists in self.long_lists], axis=0).astype(np.int16)
         return level
 
 
@@ -168,14 +169,14 @@ def count_sketch(texts: DataFrame, width: int = WIDTH, bits: int = SKETCH_BITS)
         for p, count in count_by_part(batches, per_part, "<u2"):
             level = np.ceil(np.log2(count + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "levels"]
+                [pa.array([p], pa.int32()), pa.array([int((level > 0).sum())], pa.int64()), pa.array([level.tobytes()], pa.binary())],
+                ["part", "filled", "levels"],
             )
 
     sent = map_arrow(texts, step, "part int, cells binary").repartition("part").sortWithinPartitions("part")
-    levels = np.zeros(1 << bits, np.uint8)
-    for row in bounded_rows(map_arrow(sent, add, "part int, levels binary")):  # 2 ** bits bytes in all
-        levels[row["part"] * per_part : (row["part"] + 1) * per_part] = np.frombuffer(row["levels"], np.uint8)
-    return Order(levels, bits)
+    folder = store_parts(map_arrow(sent, add, "part int, filled long, levels binary"), "levels")
+    filled = texts.sparkSession.read.schema("filled long").parquet(folder).agg(F.coalesce(F.sum("filled"), F.lit(0))).first()[0]
+    return Order(folder, bits, (1 << bits) - filled)
 
 
 def boundary(sizes: np.ndarray, sets: np.ndarray, repeats: float, percent: int = PERCENT) -> int:
@@ -224,23 +225,21 @@ def candidate_keys(
 
     ``expected`` is the number of keys, about; it sets the size of the sketch that drops them.
     """
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast(order)  # bounded: 2 ** bits bytes
     bits = bits_for(expected)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, _, values, first, node in _each_slice(batches, width):
-            keys, _, _ = _keys(values, first, _fresh(node, first, seen), shared.value, small, percent)
+            keys, _, _ = _keys(values, first, _fresh(node, first, seen), order, small, percent)
             yield cell_rows(keys, bits)
 
-    again = context.broadcast(gather(map_arrow(texts, cells, CELLS), bits))  # bounded as well
+    sketch = gather(map_arrow(texts, cells, CELLS), bits)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, _, values, first, node in _each_slice(batches, width):
-            keys, owner, place = _keys(values, first, _fresh(node, first, seen), shared.value, small, percent)
-            use = again.value.again(keys)
+            keys, owner, place = _keys(values, first, _fresh(node, first, seen), order, small, percent)
+            use = sketch.again(keys)
             keys, owner, place = keys[use], owner[use], place[use]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -260,32 +259,15 @@ def _bits_for(candidates: int) -> int:
     return int(np.clip(np.ceil(np.log2(16 * max(candidates, 1))), 24, 27))
 
 
-def _filter(nodes: DataFrame, bits: int) -> np.ndarray:
-    """Bit array with the bits of all nodes set; a fixed size, so it may go to every task."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
-        for batch in batches:
-            flags[(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["bits"])
-
-    packed = np.zeros((1 << bits) // 8, np.uint8)
-    for row in bounded_rows(map_arrow(nodes.select("node").repartition(8, "node"), step, "bits binary")):
-        packed |= np.frombuffer(row["bits"], np.uint8)
-    return packed
-
-
 def sets_of(texts: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
     """``node, size, shingles`` (sorted 8-byte hashes) of the given nodes, once each."""
-    bits = _bits_for(nodes.count())
-    shared = texts.sparkSession.sparkContext.broadcast(_filter(nodes, bits))  # at most 16 MB
+    wanted = key_filter(nodes.select("node"), _bits_for(nodes.count()))  # at most 16 MB
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, _, _, values, first, node in _each_slice(batches, width):
             rows = _fresh(node, first, seen)
-            at = (mix(node[rows].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            rows = rows[bit(shared.value, at)]
+            rows = rows[wanted.has(node[rows])]
             blobs = [values[first[r] : first[r + 1]].tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
@@ -421,18 +403,16 @@ def similar_groups(
     sizes, counts = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
     order = count_sketch(texts, width)
     total = float((sizes * counts).sum())
-    cells = len(order.levels)
-    empty = max(float((order.levels == 0).sum()), 1.0)
-    distinct = max(cells * np.log(cells / empty), 1.0)  # linear counting
+    cells = 1 << order.bits
+    distinct = max(cells * np.log(cells / max(order.empty, 1)), 1.0)  # linear counting
     small = boundary(sizes, counts, max(total / distinct - 1, 0.0), percent)
     lead = sizes - least_common(sizes, percent)
     expected = float(((lead + 1) * np.where(sizes <= small, lead + 2, 1) * counts).sum())
     keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
     for _ in range(REFINEMENTS):
         # what the sketch took for rare but is not; a few shingles more each round, as prefixes refill
-        many = keys.groupBy("key").count().where(F.col("count") > LONG_LIST).select(F.col("key").alias("node"))
-        found = _filter(many, LONG_BITS)
-        order = Order(order.levels, order.bits, found if order.long_lists is None else found | order.long_lists)
+        many = keys.groupBy("key").count().where(F.col("count") > LONG_LIST).select("key")
+        order = replace(order, long_lists=(*order.long_lists, key_filter(many, LONG_BITS)))
         keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25))).cast("int")
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")

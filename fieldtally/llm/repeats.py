@@ -32,12 +32,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.sketch import CELLS, Sketch, bit, bits_for, cell_rows, gather
-from fieldtally.llm.text import Hasher, bounded_rows, map_arrow, mix, slices, utf8
+from fieldtally.llm.sketch import CELLS, Sketch, bits_for, cell_rows, gather, key_filter
+from fieldtally.llm.text import Hasher, map_arrow, slices, utf8
 from fieldtally.session import cut_lineage, scratch_path
 
 WIDTH = 100
@@ -101,7 +100,7 @@ def _tie(raw: bytes) -> int:
     return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big", signed=True)
 
 
-Sources = list[tuple[DataFrame, Broadcast | None]]
+Sources = list[tuple[DataFrame, Sketch | None]]
 
 
 def _each(sources: Sources, step: Callable[[Iterator], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -110,7 +109,7 @@ def _each(sources: Sources, step: Callable[[Iterator], Iterator[pa.RecordBatch]]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _fresh_slices(batches: Iterator[pa.RecordBatch], skip: Broadcast | None):
+def _fresh_slices(batches: Iterator[pa.RecordBatch], skip: Sketch | None):
     """Slices of texts of at least a window: bytes, row offsets, orders and text hashes."""
     for batch in batches:
         data, offsets = utf8(batch.column(0))
@@ -122,7 +121,7 @@ def _fresh_slices(batches: Iterator[pa.RecordBatch], skip: Broadcast | None):
                     rows.append(r)
                     ties.append(_tie(data[offsets[r] : offsets[r + 1]].tobytes()))
             if rows and skip is not None:
-                own = ~skip.value.again(np.array(ties, np.int64).view(np.uint64))
+                own = ~skip.again(np.array(ties, np.int64).view(np.uint64))
                 rows, ties = np.array(rows)[own].tolist(), np.array(ties)[own].tolist()
             if rows:
                 part = data[offsets[a] : offsets[b]]
@@ -157,12 +156,10 @@ def contexts(sources: Sources, sketch: Sketch) -> DataFrame:
     ``bytes`` are those that the anchor's windows cover, ``before`` of them before the anchor,
     which begins at ``place`` of its text.
     """
-    shared = sources[0][0].sparkSession.sparkContext.broadcast(sketch)
-
     def step(parts: Iterator) -> Iterator[pa.RecordBatch]:
         for part, offsets, order, ties in parts:
             first, last, at, value = anchors(part, offsets)
-            use = np.flatnonzero(shared.value.again(value) & ~shared.value.very_often(value))
+            use = np.flatnonzero(sketch.again(value) & ~sketch.very_often(value))
             first, last, at, value = first[use], last[use], at[use], value[use]
             row = np.searchsorted(offsets, first, "right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -325,12 +322,10 @@ def hot_spans(sources: Sources, sketch: Sketch) -> DataFrame:
     slice's first of equal windows goes on, under 128 bits of hash.  Those meet in ``SALTS``
     shares of a window first, whose firsts meet once more, so no window's rows are one task's.
     """
-    shared = sources[0][0].sparkSession.sparkContext.broadcast(sketch)
-
     def step(parts: Iterator) -> Iterator[pa.RecordBatch]:
         for part, offsets, order, ties in parts:
             first, last, _, value = anchors(part, offsets)
-            use = np.flatnonzero(shared.value.again(value) & shared.value.very_often(value))
+            use = np.flatnonzero(sketch.again(value) & sketch.very_often(value))
             if not len(use):
                 continue
             count = last[use] - first[use] + 1
@@ -406,7 +401,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sources = _without_copies(texts, rows)
     sketch = anchor_sketch(sources, bits_for(2 * volume / (SPAN + 1)))  # windows have about so many anchors
     spans = anchor_spans(contexts(sources, sketch))
-    if sketch.hot.any():
+    if sketch.some_hot:
         spans = spans.union(hot_spans(sources, sketch))
     spans = spans.groupBy("ord", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by a text's length
     spans = cut_lineage(spans)
@@ -438,13 +433,13 @@ def _without_copies(texts: DataFrame, rows: DataFrame) -> Sources:
         for batch in batches:
             yield cell_rows(batch.column(0).to_numpy().view(np.uint64), bits)
 
-    skip = spark.sparkContext.broadcast(gather(map_arrow(rows.select("tie"), cells, CELLS), bits))
+    skip = gather(map_arrow(rows.select("tie"), cells, CELLS), bits)
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sha = [hashlib.sha256(raw.as_buffer()).digest() for raw in batch.column(0)]
             ties = np.array([int.from_bytes(s[:8], "big") for s in sha], np.uint64)
-            use = pa.array(skip.value.again(ties))
+            use = pa.array(skip.again(ties))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(use), batch.column(1).filter(use), pa.array(sha, pa.binary()).filter(use)], ["raw", "ord", "sha"]
             )
@@ -458,22 +453,11 @@ def _without_copies(texts: DataFrame, rows: DataFrame) -> Sources:
 def _cleaned(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """``ord, tie, n_removed, n_spans, kept, spans`` of the texts with spans."""
 
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in bounded_rows(map_arrow(spans.select("ord").repartition(8, "ord"), flag, "bits binary")):
-        packed |= np.frombuffer(row["bits"], np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(packed)  # 8 MB
+    wanted = key_filter(spans.select("ord"), FILTER_BITS)  # 8 MB
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = (mix(batch.column(1).to_numpy().view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            use = bit(shared.value, at)
-            kept = batch.filter(pa.array(use))
+            kept = batch.filter(pa.array(wanted.has(batch.column(1).to_numpy())))
             ties = [_tie(raw.as_buffer()) for raw in kept.column(0)]
             yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(ties, pa.int64()), kept.column(0)], ["ord", "tie", "raw"])
 
