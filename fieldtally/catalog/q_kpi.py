@@ -262,7 +262,9 @@ def direct_kpis(w):
     done = F.col("collection_status").isin("collected", "partial")
     tried = F.col("collection_status") != "none"
     before = F.lit(100.0) * (F.col("inventory_l_true") + F.col("removed_l_true")) / F.col("capacity_l")
-    bin_days = w.interim_zoned.groupBy("city_id", "bin_id", "service_date_local").agg(
+    # dealt over as many tasks as the store, since nearly every reading is a bin-day of its own
+    dealt = w.interim_zoned.repartition(w.store.buckets, "bin_id", "service_date_local")
+    bin_days = dealt.groupBy("city_id", "bin_id", "service_date_local").agg(
         F.sum("arrivals_l_true").alias("made"),
         F.sum("overflow_l_true").alias("spilt"),
         F.sum(F.when(tried, F.col("removed_l_true"))).alias("tried_l"),

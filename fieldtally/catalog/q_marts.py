@@ -164,7 +164,7 @@ def _(w):
        UNION ALL SELECT 'fact_collection_attempt', count(*), count(*) - count(DISTINCT collection_id) FROM attempt""",
 )
 def _(w):
-    return star.grain_report(star.core_star(w))
+    return star.grain_report(star.core_star(w), w.store.buckets)
 
 
 @query(

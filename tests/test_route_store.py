@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from fieldtally.bindings import World
 from fieldtally.operators import ordering
-from fieldtally.plans import routes
+from fieldtally.plans import quality, routes
+from fieldtally.sources.store import FactStore
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -65,3 +66,25 @@ def test_running_sum_over_chunks_with_null_keys(spark):
     for k in (None, "a"):
         assert np.allclose([got[(k, i)] for i in range(95)], np.cumsum([i % 7 for i in range(95)]))
     assert got[("b", 3)] == 2.0 and len(got) == len(rows)
+
+
+def test_buckets_grow_with_the_input(spark):
+    """A task's share is bounded: ten times the bytes are dealt over ten times the buckets."""
+    small, large = (FactStore(spark, (("lineitem", 1, n, 0), ("orders", 3, n, 7))).buckets for n in (200 << 20, 2000 << 20))
+    assert (small, large) == (100, 1000)
+    assert FactStore(spark).buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_large_keys_and_times_are_dealt_over_the_given_tasks(spark, folder):
+    w = World(spark, str(folder))
+    assert "partitioning(vehicle#" not in plan(w.route_metrics)
+    assert ", 77), REPARTITION_BY_NUM" in plan(routes.times_of(w.reached_stops, parts=77))
+    checked = quality.check_pk(w.fact_routes, ["route_key"], "routes", 77)
+    assert ", 77), REPARTITION_BY_NUM" in plan(checked)
+    assert tuple(checked.first()) == tuple(quality.check_pk(w.fact_routes, ["route_key"], "routes").first())
+
+
+def test_a_mart_in_buckets_has_one_file_a_bucket(spark, folder):
+    w = World(spark, str(folder))
+    for mart in (w.diagnostics, w.bin_day_rollup, w.stored_metrics):
+        assert len(mart.inputFiles()) <= w.store.buckets
