@@ -57,6 +57,20 @@ def test_stored_legs_equal_the_general_step_and_keep_unknown_places(spark, folde
     assert w.route_metrics.agg(F.sum("unknown_legs")).first()[0] == lost.count()
 
 
+def test_replay_reads_stored_times_without_ordering_stops_again(spark, folder):
+    """Times are those of the general step, with a lost supplier too; first services need one grouping, no window."""
+    kept = spark.read.parquet(f"{SOURCE}/supplier.parquet").where("s_suppkey <> 3")
+    os.remove(folder / "supplier.parquet")
+    kept.write.parquet(str(folder / "supplier.parquet"))
+    w = World(spark, str(folder))
+    shown = plan(w.first_services)
+    assert "Window" not in shown and "Sort " not in shown and shown.count("Exchange hashpartitioning") == 1
+    general = routes.times_of(w.reached_stops).select("vehicle", "stop_sequence", F.col("arrival_minutes").alias("want"))
+    both = w.timed_stops.join(general, ["vehicle", "stop_sequence"], "full")
+    assert both.count() == w.reached_stops.count() > 0
+    assert both.where("NOT coalesce(abs(arrival_minutes - want) < 1e-9, false)").count() == 0
+
+
 def test_running_sum_over_chunks_with_null_keys(spark):
     rows = [(k, i, float(i % 7)) for k in (None, "a") for i in range(95)] + [("b", 3, 2.0)]
     df = spark.createDataFrame(rows, "k string, i bigint, v double")
