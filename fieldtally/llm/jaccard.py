@@ -16,10 +16,12 @@ The boundary minimises the estimated cost of keys written plus sets compared, fr
 all sets and the mean number of repeats of a shingle.
 
 Equal sets are one node.  Members of lists are gathered into clusters around pivots (see
-``linked``), so near copies that share many lists are sent and compared once, not once a list.
-A cluster is compared block by block, and a task reports only links that span the groups it
-found: every pair of different sets that link is compared, and none of a group's pairs is
-listed.  Groups are exact.
+``clusters``), so near copies that share many lists are sent and compared once, not once a list.
+What a cluster compares first are parity bits, one or two a shingle: two sets' bits differ in no
+more places than the sets do, so a set whose bits are too far from all others has no link there
+and leaves, and only the other sets are sent.  A cluster is compared block by block, and a task
+reports only links that span the groups it found: every pair of different sets that link is
+compared, and none of a group's pairs is listed.  Groups are exact.
 
 Defined cases: null or word-less texts have an empty set and link with nothing; shorter texts
 count as one shingle; rows with equal doc_id are one document in the groups (its rows' sets are
@@ -34,12 +36,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.sketch import CELLS, Filter, bits_for, cell_rows, gather, key_filter, load_parts, store_parts
 from fieldtally.llm.text import LOWER, WINDOW_VALUES, Hasher, Words, bounded_rows, count_by_part, map_arrow, mix, slices, utf8
-from fieldtally.session import cut_lineage
+from fieldtally.session import cut_lineage, store_rows
 
 WIDTH = 5
 PERCENT = 80
@@ -89,6 +91,45 @@ def set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(total[first[1:]] - total[first[:-1]] + size) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
+def parity_bits(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Per row its size, then a word for every 64 cells: whether an odd number of the shingles fall there.
+
+    Cells are the least power of two that is not below the size, 64 at least.
+    """
+    size = np.diff(first)
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(cells)])
+    own = np.repeat(np.arange(len(size)), size)
+    at = begin[own] + (values & (cells[own] - 1).astype(np.uint64)).astype(np.int64)
+    words = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(bool)).view(np.uint64)
+    return [np.concatenate([[np.uint64(n)], words[a:b]]) for n, a, b in zip(size, begin[:-1] // 64, begin[1:] // 64, strict=True)]
+
+
+def may_link(bits: list[np.ndarray], sides: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
+    """Which sets have another one (across the sides, if given) that their ``parity_bits`` allow to link with.
+
+    Sets that link differ in size by a quarter at most, so their cells are as many, or twice as many.
+    """
+    size = np.array([int(b[0]) for b in bits])
+    width = np.array([len(b) - 1 for b in bits])
+    found = np.zeros(len(bits), bool)
+    for w in np.unique(width).tolist():
+        same, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        halves = [bits[k][1 : w + 1] ^ bits[k][w + 1 :] for k in twice]
+        cells = np.stack([*(bits[k][1:] for k in same), *halves])
+        those = np.concatenate([same, twice])
+        for place, k in enumerate(same.tolist()):
+            other, rest = those[place + 1 :], cells[place + 1 :]
+            apart = np.maximum(np.bitwise_count(rest ^ cells[place]).sum(1, dtype=np.int64), np.abs(size[other] - size[k]))
+            near = apart * (100 + percent) <= (100 - percent) * (size[other] + size[k])
+            if sides is not None:
+                near &= sides[other] != sides[k]
+            if near.any():
+                found[k] = True
+                found[other[near]] = True
+    return found
+
+
 def _each_slice(batches: Iterator[pa.RecordBatch], width: int, column: int = 0):
     for batch in batches:
         data, offsets = utf8(batch.column(column))
@@ -115,17 +156,18 @@ class Order:
 
 
 def document_sets(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node`` of each row; ``node`` identifies the set (0 for none)."""
+    """``doc_id, n_shingles, node, bits`` of each row; ``node`` identifies the set (0 for none)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, _, first, node in _each_slice(batches, width, 1):
+        for batch, a, b, values, first, node in _each_slice(batches, width, 1):
+            bits = pa.array([x.tobytes() for x in parity_bits(values, first)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(node)],
-                ["doc_id", "n_shingles", "node"],
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(first).astype(np.int64)), pa.array(node), bits],
+                ["doc_id", "n_shingles", "node", "bits"],
             )
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(narrow, step, "doc_id long, n_shingles long, node long")
+    return map_arrow(narrow, step, "doc_id long, n_shingles long, node long, bits binary")
 
 
 def _fresh(node: np.ndarray, first: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -314,59 +356,83 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None,
     return out
 
 
-def linked(lists: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Links ``a, b`` that span all groups among sets that share a list.
+def clusters(keys: DataFrame) -> DataFrame:
+    """``pivot, node``: the sets that share a list, in clusters.
 
     A list's members of about one size belong to the cluster of their pivot, the member whose
     place in the list is lowest: among near copies the one with fewest changes of its own, so
     many lists name the same pivot and a set is sent once for all of them.  Members stand in
-    their size class and the next, so any two that may link meet in one.  A cluster of more
-    than ``BLOCK`` sets is cut into blocks, and every pair of blocks is a tile of its own.
+    their size class and the next, so any two that may link meet in one.  The keys are shuffled
+    once; lists are windows of that one order.
     """
-    near = lists.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    pivots = (
-        near.groupBy("key", "band")
-        .agg(F.min(F.struct("place", "node")).alias("p"), F.min("node").alias("least"), F.max("node").alias("most"))
-        .where("least <> most")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    dealt = keys.repartition("key").withColumn("band", F.explode(F.array(band, band + 1)))
+    whole = Window.partitionBy("key", "band")
+    pivot = F.min(F.struct("place", "node")).over(whole)
+    listed = dealt.select(
+        "node", pivot.alias("p"), F.min("node").over(whole).alias("least"), F.max("node").over(whole).alias("most")
     )
-    members = near.join(pivots, ["key", "band"]).select(F.col("p.node").alias("pivot"), "node").distinct()
-    members = cut_lineage(members)
-    sets = sets_of(texts, cut_lineage(members.select("node").distinct()), width)
+    return listed.where("least <> most").select(F.col("p.node").alias("pivot"), "node").distinct()
+
+
+def tiles(members: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """Clusters with a value of each set, tile by tile: ``pivot, i, j, own, node, value``.
+
+    A cluster of more than ``BLOCK`` sets is cut into blocks, and every pair of blocks is a tile of its own.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
-    tiles = (
+    placed = (
         members.join(members.groupBy("pivot").count(), "pivot")
         .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
     )
+    sent = placed.join(sets, "node").select("pivot", "i", "j", "own", "node", value)
+    return sent.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+
+
+def _each_tile(batches: Iterator[pa.RecordBatch]):
+    """Pivot, nodes, values and (in a tile of two blocks) sides of every tile of two sets or more."""
+    tile, held = None, []
+
+    def whole():
+        if len(held) > 1:
+            own, nodes = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+            yield tile[0], nodes, [h[2] for h in held], own if tile[1] != tile[2] else None
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(5)]
+        for pivot, i, j, own, node, blob in zip(*columns, batch.column(5), strict=True):
+            if (pivot, i, j) != tile:
+                yield from whole()
+                tile, held = (pivot, i, j), []
+            held.append((own, node, np.frombuffer(blob.as_buffer(), "<u8")))
+    yield from whole()
+
+
+def near_members(members: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The clusters without the sets that their parity bits keep from linking with any other one there."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            out = []
-            for pivot, i, j, own, node, blob in zip(*columns, batch.column(5), strict=True):
-                if (pivot, i, j) != tile:
-                    out += _tile_links(tile, held, percent)
-                    tile, held = (pivot, i, j), []
-                held.append((own, node, np.frombuffer(blob.as_buffer(), "<u8")))
-            yield _links(out)
-        yield _links(_tile_links(tile, held, percent))
+        for pivot, nodes, values, sides in _each_tile(batches):
+            stay = nodes[may_link(values, sides, percent)]
+            if len(stay):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(stay), pivot)), pa.array(stay)], ["pivot", "node"])
 
-    sent = tiles.join(sets, "node").select("pivot", "i", "j", "own", "node", "shingles")
-    dealt = sent.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return map_arrow(dealt, step, "a long, b long")
+    return map_arrow(tiles(members, bits, "bits"), step, "pivot long, node long").distinct()
 
 
-def _tile_links(tile: tuple | None, held: list, percent: int) -> list[tuple[int, int]]:
-    if len(held) < 2:
-        return []
-    own, nodes = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-    return forest(nodes, [h[2] for h in held], own if tile[1] != tile[2] else None, percent)
+def linked(members: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Links ``a, b`` that span all groups among sets of a cluster."""
+    sets = sets_of(texts, cut_lineage(members.select("node").distinct()), width)
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, nodes, values, sides in _each_tile(batches):
+            found = forest(nodes, values, sides, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return map_arrow(tiles(members, sets, "shingles"), step, "a long, b long")
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -395,7 +461,7 @@ def similar_groups(
 ) -> DataFrame:
     """``doc_id, n_shingles, node, component_id`` of each row."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    rows = cut_lineage(document_sets(docs, width, key, text))
+    rows = store_rows(document_sets(docs, width, key, text))
     histogram = (  # one row per set size
         rows.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("size")).groupBy("size").count()
     )
@@ -408,22 +474,22 @@ def similar_groups(
     small = boundary(sizes, counts, max(total / distinct - 1, 0.0), percent)
     lead = sizes - least_common(sizes, percent)
     expected = float(((lead + 1) * np.where(sizes <= small, lead + 2, 1) * counts).sum())
-    keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
+    keys = candidate_keys(texts, order, small, expected, width, percent)
     for _ in range(REFINEMENTS):
         # what the sketch took for rare but is not; a few shingles more each round, as prefixes refill
-        many = keys.groupBy("key").count().where(F.col("count") > LONG_LIST).select("key")
+        lists = keys.select("key", "node").repartition("key").distinct()
+        many = lists.groupBy("key").count().where(F.col("count") > LONG_LIST).select("key")
         order = replace(order, long_lists=(*order.long_lists, key_filter(many, LONG_BITS)))
-        keys = candidate_keys(texts, order, small, expected, width, percent).distinct()
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
-    lists = cut_lineage(keys.join(shared, "key").withColumn("band", band))
+        keys = candidate_keys(texts, order, small, expected, width, percent)
+    bits = rows.where("node <> 0").groupBy("node").agg(F.first("bits").alias("bits"))
+    members = cut_lineage(near_members(cut_lineage(clusters(keys)), bits, percent))
 
     # rows of one doc_id are one document
     twice = rows.where("doc_id IS NOT NULL AND node <> 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     twice = twice.where("a <> z").join(rows.where("node <> 0").select("doc_id", F.col("node").alias("b")), "doc_id")
     links = cut_lineage(twice.where("a <> b").select("a", "b").distinct())
 
-    comp = groups(cut_lineage(links.union(linked(lists, texts, width, percent)).distinct()))
+    comp = groups(cut_lineage(links.union(linked(members, texts, width, percent)).distinct()))
     least_doc = rows.where("node <> 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"))
     grouped = least_doc.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = grouped.groupBy("comp").agg(F.min("doc").alias("component_id"))

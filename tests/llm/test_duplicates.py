@@ -81,6 +81,43 @@ def test_every_boundary_finds_all_links(spark, near_copies, small, monkeypatch):
     assert got == plain_groups(rows)
 
 
+def test_parity_bits_keep_every_link(rng):
+    """Whatever the sizes and sides, a set with a linked one stays; unrelated sets leave."""
+    sets = []
+    for size in [1, 2, 5, 40, 63, 64, 65, 120, 128, 129, 250, 700]:
+        base = [rng.getrandbits(64) for _ in range(size)]
+        for drop, add in [(0, 0), (0, size // 4), (size // 5, 0), (size // 9, size // 9), (size // 7, size // 7)]:
+            sets.append(sorted({*base[drop:], *(rng.getrandbits(64) for _ in range(add))}))
+    values, first = np.array(sum(sets, []), np.uint64), np.cumsum([0, *map(len, sets)])
+    bits = jaccard.parity_bits(values, first)
+    sides = np.array([k % 2 for k in range(len(sets))])
+    for s in (None, sides):
+        close = [
+            any(100 * len({*a} & {*b}) >= 80 * len({*a} | {*b}) for j, b in enumerate(sets) if j != i and (s is None or s[i] != s[j]))
+            for i, a in enumerate(sets)
+        ]
+        stay = jaccard.may_link(bits, s)
+        assert any(close) and (stay | ~np.array(close)).all()
+    alone = [[rng.getrandbits(64) for _ in range(n)] for n in range(30, 300, 3)]
+    unlike = jaccard.parity_bits(np.array(sum(alone, []), np.uint64), np.cumsum([0, *map(len, alone)]))
+    assert jaccard.may_link(unlike, None).sum() < 5
+
+
+def test_sets_that_only_share_passages_are_not_sent(spark, rng, monkeypatch):
+    """No shingle is rare, so whatever leads is shared; whole sets are sent of near copies only."""
+    passages = [words(rng, 60) for _ in range(12)]
+    rows = [(k, " ".join(rng.sample(passages, 3))) for k in range(40)]
+    rows += [(100, rows[0][1] + " x"), (101, rows[1][1] + " y z")]
+    sent = []
+    sets_of = jaccard.sets_of
+    monkeypatch.setattr(jaccard, "sets_of", lambda texts, nodes, width: (sent.append(nodes.count()), sets_of(texts, nodes, width))[1])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs_frame(spark, rows)).collect())
+    want = plain_groups(rows)
+    assert got == want
+    size = Counter(c for _, _, c in want)
+    assert sent[0] < 42 and sent[0] <= sum(1 for _, _, c in want if size[c] > 1) + 4
+
+
 def plain_repeats(rows):
     seen, out = set(), {}
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, repeats._tie((r[1] or "").encode()))):
