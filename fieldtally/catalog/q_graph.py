@@ -125,20 +125,23 @@ def _(w):
     Its SQL takes the component of one well-linked part; all others are compared too, unless
     that one holds more than half of the nodes.
     """
-    return graph.largest_scc(part_chain(w))
+    return graph.largest_scc(store_rows(part_chain(w)))
 
 
 def pilot_stops(w):
     """The reachable pilot: the depot and the pilot stops, nodes of the largest component nearest to the centre.
 
-    Only the component's edges are returned, as no way between two of its nodes leaves it.
+    Only the component's edges are returned, as no way between two of its nodes leaves it.  Edges are stored with
+    their speed, which has few values, and not with the seconds that follow from it.
     """
-    edges = store_rows(w.road_edges.select("u", "v", "length_m", "travel_seconds"))
+    roads = graph.measured_edges(w.road_ways, w.road_nodes, w.road_relations, ("speed_kmh",))
+    edges = store_rows(roads.select("u", "v", "length_m", "speed_kmh"))
     core = store_rows(graph.largest_scc(edges))
     at = w.road_nodes.select(
         F.col("node_id").alias("node"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude")
     ).join(core, "node", "left_semi")
-    return graph.edges_within(edges, core), store_rows(sp.k_nearest_to(at, 80.2707, 13.0827, 1 + PILOT_SIZE, "node").select("node"))
+    inner = graph.with_seconds(graph.edges_within(edges, core)).drop("speed_kmh")
+    return inner, store_rows(sp.k_nearest_to(at, 80.2707, 13.0827, 1 + PILOT_SIZE, "node").select("node"))
 
 
 @query("N6")
