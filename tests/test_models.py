@@ -97,6 +97,26 @@ def test_quality_counts(spark):
     assert (prof["k"].distinct_values, round(prof["k"].null_pct, 3), prof["id"].max_value) == (1, 33.333, "2")
 
 
+def test_profile_reads_each_column_once(spark, tmp_path):
+    import re
+
+    rows = [(1, 0.5, "b", None), (3, 0.5, None, None), (None, 12.0, "a", None), (12, None, "b", None)]
+    spark.createDataFrame(rows, "k int, x double, s string, none date").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    prof = ql.profile(df, "t")
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", prof._jdf.queryExecution().executedPlan().treeString())
+    assert sorted(",".join(read).split(",")) == ["k:int", "none:date", "s:string", "x:double"]
+    got = {r.field: (r.type, r.rows, r.null_pct, r.min_value, r.max_value, r.distinct_values) for r in prof.collect()}
+    assert got == {
+        "k": ("int", 4, 25.0, "1", "12", 3),
+        "x": ("double", 4, 25.0, "0.5", "12.0", 2),
+        "s": ("string", 4, 25.0, "a", "b", 2),
+        "none": ("date", 4, 100.0, None, None, 0),
+    }
+    none = ql.profile(df.limit(0), "t").collect()
+    assert {(r.field, r.rows, r.null_pct, r.distinct_values) for r in none} == {(c, 0, None, 0) for c in df.columns}
+
+
 def test_checks_of_a_table_come_from_one_pass(spark):
     rows = [(1, 1, "a"), (1, 1, "b"), (1, 2, "b"), (None, 2, "b"), (None, 2, None)] + [(7, 7, "hot")] * 500
     df = spark.createDataFrame(rows, "x int, y int, k string")

@@ -180,3 +180,20 @@ def test_columns_of_a_whole_table_are_counted_once(spark, monkeypatch):
         ("interim_readings", "zone"): zone, ("interim_readings", "reading_id"): reading,
         ("fact_bin_readings", "zone"): zone, ("simulation_truth", "reading_id"): reading,
     }
+
+
+def test_events_are_columns_of_the_diagnostics(spark, monkeypatch):
+    from fieldtally.bindings import World
+    from fieldtally.catalog import q_quality
+
+    whole = spark.createDataFrame([(1, "x"), (2, None)], "bin_id int, collection_status string")
+    tables = {"collection_diagnostics": whole, "collection_events": whole.select("bin_id")}
+    counted, profile = [], q_quality.ql.profile
+    monkeypatch.setattr(World, "build_marts", lambda self: self)
+    monkeypatch.setattr(q_quality, "profiled_tables", lambda w: tables)
+    monkeypatch.setattr(q_quality.ql, "profile", lambda df, name: counted.append(name) or profile(df, name))
+    got = {(r.table_name, r.field): r.distinct_values for r in entry.queries()["L4_all"](spark, SMALL).collect()}
+    assert counted == ["collection_diagnostics"]
+    assert got == {
+        ("collection_diagnostics", "bin_id"): 2, ("collection_diagnostics", "collection_status"): 1, ("collection_events", "bin_id"): 2,
+    }
